@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm._common import new_path, no_white, written
+from sparkweave.llm._common import new_path, no_white, table, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Record files folded into the state in one micro-batch.
@@ -95,3 +95,18 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     same = F.col(id_col).eqNullSafe(F.col("__kept"))
     once = docs.join(stay, same, "left_semi").join(again, same, "left_semi").dropDuplicates([id_col, text_col])
     return out.join(again, F.col(id_col) == F.col("__kept"), "left_anti").unionByName(once)
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact duplicates among all documents."""
+    found = duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+OP8_SQL = r"""
+WITH n AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(text) DESC, doc_id) AS keep_id,
+       count(*) OVER (PARTITION BY norm) AS group_size,
+       row_number() OVER (PARTITION BY norm ORDER BY length(text) DESC, doc_id) = 1 AS kept, sha256(norm) AS text_sha256
+FROM n
+"""

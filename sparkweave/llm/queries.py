@@ -5,54 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from sparkweave.llm import exact, simhash, substring, tokens
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate classes of all documents."""
-    found = simhash.classes(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact duplicates among all documents."""
-    found = exact.duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
-
-
-OP8_SQL = r"""
-WITH n AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
-SELECT doc_id, first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(text) DESC, doc_id) AS keep_id,
-       count(*) OVER (PARTITION BY norm) AS group_size,
-       row_number() OVER (PARTITION BY norm ORDER BY length(text) DESC, doc_id) = 1 AS kept, sha256(norm) AS text_sha256
-FROM n
-"""
-
-
-def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents encoded and decoded again."""
-    vocab = tokens.vocabulary()
-    coded = tokens.decode(tokens.encode(table(spark, sf_dir, "documents"), vocab), vocab)
-    return coded.select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
-def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without passages that came earlier."""
-    found = substring.remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
+from sparkweave.llm.exact import OP8_SQL, op8_exact_dedup
+from sparkweave.llm.simhash import op5_simhash
+from sparkweave.llm.substring import op10_substring
+from sparkweave.llm.tokens import op9_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op5_simhash": op5_simhash,
-    "op8_exact_dedup": op8_exact_dedup,
-    "op9_bpe": op9_bpe,
-    "op10_substring": op10_substring,
+    f.__name__: f
+    for f in (
+        op5_simhash,
+        op8_exact_dedup,
+        op9_bpe,
+        op10_substring,
+    )
 }
 
 ORACLES: dict[str, str] = {"op8_exact_dedup": OP8_SQL}

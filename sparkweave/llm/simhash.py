@@ -20,10 +20,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm._common import as_bytes, clean_id, components, in_batches, written
+from sparkweave.llm._common import as_bytes, clean_id, components, in_batches, table, written
 
 BITS = 64
 SEED = 42
@@ -105,3 +105,9 @@ def classes(docs: DataFrame, k: int = 3, views: int = 1, id_col: str = "doc_id",
     roots = components(edges).select(F.col("node").alias("low"), "root")
     placed = nodes.where("view = 0").join(roots, "low", "left").select("fp", F.coalesce("root", "low").alias("component_id"))
     return marked.where("view = 0").join(placed, "fp").select("doc_id", "fp", "component_id")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    found = classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -25,10 +25,10 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm._common import as_bytes, cut, written
+from sparkweave.llm._common import as_bytes, cut, table, written
 from sparkweave.llm._spans import SpanHashes
 
 WINDOW = 20
@@ -263,3 +263,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = own.join(found.join(first, "doc_id", "left"), "doc_id", "left").select("doc_id", "text", "found", "first")
     out = marked.mapInArrow(cut_out, "doc_id long, n_words long, n_removed long, kept string")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+
+
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without passages that came earlier."""
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

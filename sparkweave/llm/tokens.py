@@ -9,10 +9,11 @@ from __future__ import annotations
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkweave.llm import bpe
-from sparkweave.llm._common import clean_id, in_batches
+from sparkweave.llm._common import clean_id, in_batches, table
 
 
 def vocabulary(path: str | None = None) -> str:
@@ -45,3 +46,10 @@ def decode(coded: DataFrame, vocab: str) -> DataFrame:
         yield {"doc_id": batch.column(0), "ids": batch.column(1), "decoded": [own.decode(x) for x in batch.column(1).to_pylist()]}
 
     return coded.select("doc_id", "ids").mapInArrow(in_batches(work, schema), "doc_id long, ids binary, decoded string")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again."""
+    vocab = vocabulary()
+    coded = decode(encode(table(spark, sf_dir, "documents"), vocab), vocab)
+    return coded.select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
