@@ -6,12 +6,16 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most bytes of variable-length values in one Arrow batch that Python gives back.
 BATCH_BYTES = 16_000_000
+#: Bytes of an Arrow batch that are worked on at once.
+PIECE_BYTES = 4_000_000
 #: The ASCII white space [\x20\x09-\x0D] (fixed values).
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -46,16 +50,37 @@ def clean_id(docs: DataFrame, id_col: str, *cols: str) -> DataFrame:
 
 
 def in_batches(work: Callable[[pa.RecordBatch], Iterable[dict[str, list | pa.Array]]], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for mapInArrow; work gives columns by name for each batch."""
+    """A function for mapInArrow; work gives columns by name for each batch of at most about PIECE_BYTES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cols in work(batch):
-                yield from cut(cols, schema)
+            for piece in pieces(batch):
+                for cols in work(piece):
+                    yield from cut(cols, schema)
 
     return run
 
 
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """batch in runs of rows of about PIECE_BYTES; a larger row stands alone."""
+    ends = np.cumsum(sum(sizes(c) for c in batch.columns))
+    start = 0
+    while start < batch.num_rows:
+        end = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PIECE_BYTES, "right"))
+        end = max(end, start + 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def sizes(column: pa.Array) -> np.ndarray:
+    """Bytes of each value, near enough."""
+    if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+        return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if pa.types.is_list(column.type):
+        return 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.full(len(column), 8)
+
+
 def cut(cols: dict[str, list | pa.Array], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Record batches of at most about BATCH_BYTES each."""
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in ((f, cols[f.name]) for f in schema)]

@@ -298,7 +298,7 @@ def _between(parts: list[str], number: int) -> list[str | int]:
     return [x for p in parts for x in (number, p)][1:]
 
 
-@lru_cache(2)
+@lru_cache(1)
 def load(text: str) -> Bpe:
     """The encoder of a vocabulary, once in each worker."""
     return Bpe(text)

@@ -25,15 +25,17 @@ def vocabulary(path: str | None = None) -> str:
     return Path(path).read_text(encoding="utf-8")
 
 
-def encode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) with ids as a binary of little-endian unsigned 32-bit integers."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+def encode(docs: DataFrame, vocab: str, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids) with ids as a binary of little-endian unsigned 32-bit integers; decoded adds the text they stand for."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), *[("decoded", pa.string())] * decoded])
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def work(batch):
-        yield {"doc_id": batch.column(0), "ids": bpe.load(shared.value).encode(batch.column(1).to_pylist())}
+        own = bpe.load(shared.value)
+        ids = own.encode(batch.column(1).to_pylist())
+        yield {"doc_id": batch.column(0), "ids": ids} | ({"decoded": [own.decode(x) for x in ids]} if decoded else {})
 
-    return clean_id(docs, id_col, text_col).mapInArrow(in_batches(work, schema), "doc_id long, ids binary")
+    return clean_id(docs, id_col, text_col).mapInArrow(in_batches(work, schema), "doc_id long, ids binary" + ", decoded string" * decoded)
 
 
 def decode(coded: DataFrame, vocab: str) -> DataFrame:
@@ -43,7 +45,7 @@ def decode(coded: DataFrame, vocab: str) -> DataFrame:
 
     def work(batch):
         own = bpe.load(shared.value)
-        yield {"doc_id": batch.column(0), "ids": batch.column(1), "decoded": [own.decode(x) for x in batch.column(1).to_pylist()]}
+        yield {"doc_id": batch.column(0), "ids": batch.column(1), "decoded": [own.decode(x or b"") for x in batch.column(1).to_pylist()]}
 
     return coded.select("doc_id", "ids").mapInArrow(in_batches(work, schema), "doc_id long, ids binary, decoded string")
 
