@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkweave.llm.exact import OP8_SQL, op8_exact_dedup
+from sparkweave.llm.lm import op3_lm_scoring
 from sparkweave.llm.packing import op2_packing
 from sparkweave.llm.simhash import op5_simhash
 from sparkweave.llm.substring import op10_substring
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_packing,
+        op3_lm_scoring,
         op5_simhash,
         op8_exact_dedup,
         op9_bpe,
