@@ -52,6 +52,5 @@ def decode(coded: DataFrame, vocab: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again."""
-    vocab = vocabulary()
-    coded = decode(encode(table(spark, sf_dir, "documents"), vocab), vocab)
+    coded = encode(table(spark, sf_dir, "documents"), vocabulary(), decoded=True)
     return coded.select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
