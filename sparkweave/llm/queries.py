@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkweave.llm.exact import OP8_SQL, op8_exact_dedup
+from sparkweave.llm.langid import op4_langid
 from sparkweave.llm.lm import op3_lm_scoring
 from sparkweave.llm.packing import op2_packing
 from sparkweave.llm.simhash import op5_simhash
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op2_packing,
         op3_lm_scoring,
+        op4_langid,
         op5_simhash,
         op8_exact_dedup,
         op9_bpe,
