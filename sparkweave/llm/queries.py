@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkweave.llm.chat import OP1_SQL, op1_chat
 from sparkweave.llm.exact import OP8_SQL, op8_exact_dedup
 from sparkweave.llm.langid import op4_langid
 from sparkweave.llm.lm import op3_lm_scoring
@@ -17,6 +18,7 @@ from sparkweave.llm.tokens import op9_bpe
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_chat,
         op2_packing,
         op3_lm_scoring,
         op4_langid,
@@ -27,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op8_exact_dedup": OP8_SQL}
