@@ -14,6 +14,7 @@ from sparkweave.llm.packing import op2_packing
 from sparkweave.llm.simhash import op5_simhash
 from sparkweave.llm.substring import op10_substring
 from sparkweave.llm.tokens import op9_bpe
+from sparkweave.llm.topk import OP7_SQL, op7_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -23,10 +24,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_lm_scoring,
         op4_langid,
         op5_simhash,
+        op7_topk,
         op8_exact_dedup,
         op9_bpe,
         op10_substring,
     )
 }
 
-ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op7_topk": OP7_SQL, "op8_exact_dedup": OP8_SQL}
