@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from sparkweave.llm._common import new_path, no_white, table, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Records for which one partition of the state is meant, and the fewest partitions. A state partition holds at least
+#: 4 MB of disk, whatever lies in it, so their number follows the records and not the shuffles of other operators.
+STATE_RECORDS, STATE_PARTITIONS = 2_000_000, 24
 #: Record files folded into the state in one micro-batch.
 FILES_PER_TRIGGER = 1000
 
@@ -46,14 +49,17 @@ def fold(spark: SparkSession, source: str, schema, files: int = FILES_PER_TRIGGE
     def emit(changed: DataFrame, number: int) -> None:
         changed.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/state/part={number}")
 
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, ROCKSDB)
+    parts = max(STATE_PARTITIONS, spark.read.schema(schema).parquet(source).count() // STATE_RECORDS)
+    own = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.internal.stateStore.partitions": str(parts)}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         query = state.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     kinds = {f.name: f.dataType for f in state.schema}
     done = query.recentProgress
     if not any(p["numInputRows"] for p in done):
