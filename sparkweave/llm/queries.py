@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkweave.llm.chat import OP1_SQL, op1_chat
 from sparkweave.llm.exact import OP8_SQL, op8_exact_dedup
 from sparkweave.llm.langid import op4_langid
+from sparkweave.llm.licenses import op6_licenses
 from sparkweave.llm.lm import op3_lm_scoring
 from sparkweave.llm.packing import op2_packing
 from sparkweave.llm.simhash import op5_simhash
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_lm_scoring,
         op4_langid,
         op5_simhash,
+        op6_licenses,
         op7_topk,
         op8_exact_dedup,
         op9_bpe,
