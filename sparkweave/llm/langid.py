@@ -17,10 +17,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm._common import clean_id, in_batches, table
+from sparkweave.llm._common import clean_id, in_batches, pieces, table
 
 #: Buckets of hashed n-grams.
 DIM = 2048
@@ -209,28 +210,59 @@ def sample(docs: DataFrame, learn: Column, most: int = SAMPLE, most_all: int = S
     return x, found["lang"].to_numpy(object)
 
 
-def identify(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per row of docs: doc_id, held_out, lang_pred, score."""
-    own = clean_id(docs, id_col, text_col, lang_col).select("doc_id", F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    held = held_out(F.col("doc_id")) if held is None else held
-    x, lang = sample(own, ~held)
-    shared = docs.sparkSession.sparkContext.broadcast(Model(x, lang) if len(lang) else None)
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
+def predictor(model: Model | None):
+    """A function from texts to their languages and scores."""
 
-    def work(batch):
-        model, texts = shared.value, batch.column(2).to_pylist()
+    def run(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        said, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
         for a in range(0, len(texts), 64):
-            part = texts[a : a + 64]
-            told = [i for i, t in enumerate(part) if model and has_letter(t)]
-            said, score = [UNKNOWN] * len(part), np.zeros(len(part))
+            told = [i for i in range(a, min(a + 64, len(texts))) if model and has_letter(texts[i])]
             if told:
-                names, sure = model.predict(features([part[i] for i in told]))
+                names, sure = model.predict(features([texts[i] for i in told]))
                 score[told] = sure
                 for i, name in zip(told, names):
                     said[i] = name
-            yield {"doc_id": batch.column(0).slice(a, 64), "held_out": batch.column(1).slice(a, 64), "lang_pred": said, "score": pa.array(score)}
+        return said, score
+
+    return run
+
+
+def fit(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """The machines of the labelled rows that are not held out."""
+    own = clean_id(docs, id_col, text_col, lang_col).select("doc_id", F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    x, lang = sample(own, ~(held_out(F.col("doc_id")) if held is None else held))
+    return Model(x, lang) if len(lang) else None
+
+
+def identify(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One row per row of docs: doc_id, held_out, lang_pred, score."""
+    held = held_out(F.col("doc_id")) if held is None else held
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, held, id_col, text_col, lang_col))
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
+
+    def work(batch):
+        said, score = predictor(shared.value)(batch.column(2).to_pylist())
+        yield {"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": said, "score": pa.array(score)}
+
+    own = clean_id(docs, id_col, text_col).select("doc_id", held.alias("held_out"), text_col)
+    return own.mapInArrow(in_batches(work, schema), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs whose language is told, with all their columns; a null language becomes the one told."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, None, id_col, text_col, lang_col))
+    names = docs.columns
+    text, lang = names.index(text_col), names.index(lang_col)
+
+    def run(batches):
+        for batch in batches:
+            for piece in pieces(batch):
+                said = pa.array(predictor(shared.value)(piece.column(text).to_pylist())[0])
+                filled = pc.coalesce(piece.column(lang), said)
+                columns = [filled if i == lang else piece.column(i) for i in range(piece.num_columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=names).filter(pc.not_equal(said, UNKNOWN))
 
-    return own.select("doc_id", held.alias("held_out"), "text").mapInArrow(in_batches(work, schema), "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

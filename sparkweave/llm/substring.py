@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkweave.llm._common import as_bytes, cut, table, written
 from sparkweave.llm._spans import SpanHashes
@@ -220,48 +221,59 @@ def firsts(table: pa.Table) -> pa.Table:
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
-def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (doc_id, text, found, first): the words that stay."""
-    for batch in batches:
-        found, first = lists(batch.column(2)), lists(batch.column(3))
-        for a, b, texts in chunks(batch):
-            words = Words(texts)
-            n = len(words.starts)
-            again = np.zeros(n + 1, bool)
-            again[candidate_starts(words, found[a:b])] = True
-            for base, count, own in zip(words.first.tolist(), words.counts.tolist(), first[a:b]):
-                again[base + own[own < count]] = False
-            marks = np.zeros(n + WINDOW + 1, np.int64)
-            at = np.flatnonzero(again[:n])
-            marks[at] += 1
-            marks[at + WINDOW] -= 1
-            gone = np.cumsum(marks)[:n] > 0
-            kept, removed = [], []
-            for base, count in zip(words.first.tolist(), words.counts.tolist()):
-                own = gone[base : base + count]
-                r = int(own.sum())
-                removed.append(r)
-                if not count or r == count:
-                    kept.append(b"")
-                elif not r:
-                    kept.append(words.text[words.starts[base] : words.ends[base + count - 1]])
-                else:
-                    turns = np.flatnonzero(np.diff(np.concatenate([[True], own, [True]]).astype(np.int8)))
-                    kept.append(b" ".join(words.text[words.starts[base + x] : words.ends[base + y - 1]] for x, y in turns.reshape(-1, 2).tolist()))
-            yield from cut({"doc_id": batch.column(0).slice(a, b - a), "n_words": pa.array(words.counts), "n_removed": removed, "kept": pa.array(kept, pa.binary()).cast(pa.string())}, OUT)
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) for every row; kept: the words that stay, joined by one blank."""
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+def cut_out(whole: bool):
+    """For mapInArrow over (doc_id, text, found, first, others): the words that stay, and the others as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, first = lists(batch.column(2)), lists(batch.column(3))
+            for a, b, texts in chunks(batch):
+                words = Words(texts)
+                n = len(words.starts)
+                again = np.zeros(n + 1, bool)
+                again[candidate_starts(words, found[a:b])] = True
+                for base, count, own in zip(words.first.tolist(), words.counts.tolist(), first[a:b]):
+                    again[base + own[own < count]] = False
+                marks = np.zeros(n + WINDOW + 1, np.int64)
+                at = np.flatnonzero(again[:n])
+                marks[at] += 1
+                marks[at + WINDOW] -= 1
+                gone = np.cumsum(marks)[:n] > 0
+                kept, removed = [], []
+                for base, count in zip(words.first.tolist(), words.counts.tolist()):
+                    own = gone[base : base + count]
+                    r = int(own.sum())
+                    removed.append(r)
+                    if not count or r == count:
+                        kept.append(b"")
+                    elif not r and whole:
+                        kept.append(texts[len(kept)])
+                    elif not r:
+                        kept.append(words.text[words.starts[base] : words.ends[base + count - 1]])
+                    else:
+                        turns = np.flatnonzero(np.diff(np.concatenate([[True], own, [True]]).astype(np.int8)))
+                        kept.append(b" ".join(words.text[words.starts[base + x] : words.ends[base + y - 1]] for x, y in turns.reshape(-1, 2).tolist()))
+                others = {batch.schema.field(i).name: batch.column(i).slice(a, b - a) for i in range(4, batch.num_columns)}
+                yield from cut({"doc_id": batch.column(0).slice(a, b - a), "n_words": pa.array(words.counts), "n_removed": removed, "kept": pa.array(kept, pa.binary()).cast(pa.string())} | others, pa.schema([*OUT, *(batch.schema.field(i) for i in range(4, batch.num_columns))]))
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), whole: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_removed, kept) for every row; kept: the words that stay, joined by one blank.
+
+    carry names further columns to keep; with whole, a text that loses nothing stays as it is.
+    """
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"), *carry)
     buckets = max(64, 2 * docs.rdd.getNumPartitions())
-    anchors = own.mapInArrow(anchor_rows(buckets), PACKED_SQL)
+    anchors = own.select("doc_id", "text").mapInArrow(anchor_rows(buckets), PACKED_SQL)
     found = anchors.groupBy("bucket").applyInArrow(repeated, "doc_id long, place int")
     found = written(found.groupBy("doc_id").agg(F.collect_list("place").alias("found")), "anchors")
     windows = own.join(found, "doc_id").select("doc_id", "text", "found").mapInArrow(window_rows(buckets), PACKED_SQL)
     first = windows.groupBy("bucket").applyInArrow(firsts, "doc_id long, place int").groupBy("doc_id").agg(F.collect_list("place").alias("first"))
-    marked = own.join(found.join(first, "doc_id", "left"), "doc_id", "left").select("doc_id", "text", "found", "first")
-    out = marked.mapInArrow(cut_out, "doc_id long, n_words long, n_removed long, kept string")
+    marked = own.join(found.join(first, "doc_id", "left"), "doc_id", "left").select("doc_id", "text", "found", "first", *carry)
+    schema = T.StructType([*T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept string"), *(docs.schema[c] for c in carry)])
+    out = marked.mapInArrow(cut_out(whole), schema)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
