@@ -23,6 +23,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 #: Records for which one partition of the state is meant, and the fewest partitions. A state partition holds at least
 #: 4 MB of disk, whatever lies in it, so their number follows the records and not the shuffles of other operators.
 STATE_RECORDS, STATE_PARTITIONS = 2_000_000, 24
+#: Most digests that are met by broadcast.
+HOT = 4096
 #: Record files folded into the state in one micro-batch.
 FILES_PER_TRIGGER = 1000
 
@@ -31,13 +33,16 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def place(id_col: str, text_col: str) -> Column:
+    """What orders the rows of a group, the one that stays first: longer texts, then identifiers; and the locator."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.struct((-F.length(text)).alias("shorter"), F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.input_file_name().alias("locator"))
+
+
 def records(docs: DataFrame, digest: Callable[[Column], Column] = sha256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One record per row, without its text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(
-        digest(no_white(text)).alias("digest"),
-        F.struct((-F.length(text)).alias("shorter"), F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.input_file_name().alias("locator")).alias("at"),
-    )
+    return docs.select(digest(no_white(text)).alias("digest"), place(id_col, text_col).alias("at"))
 
 
 def fold(spark: SparkSession, source: str, schema, files: int = FILES_PER_TRIGGER) -> DataFrame:
@@ -77,13 +82,21 @@ def duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha256, id_
     log.write.parquet(source)
     log, groups = spark.read.schema(log.schema).parquet(source), written(fold(spark, source, log.schema, files), "groups")
 
+    # No more than HOT digests make up one in HOT of all rows each: those meet their rows by broadcast, the others in a join
+    # in which no digest has more rows than that.
+    least = log.count() // HOT + 1
+    hot, cool = F.broadcast(groups.where(F.col("group_size") >= least)), groups.where(F.col("group_size") < least)
+    result = written(log.join(hot, "digest").unionByName(log.join(hot, "digest", "left_anti").join(cool, "digest")), "placed")
+
+    # Rows of a digest are dealt by identifier too, and each task hands on the least and the greatest text it has seen.
+    hits = result.where("group_size > 1").select("digest", "at.doc_id").distinct()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    full = docs.select(digest(no_white(text)).alias("digest"), no_white(text).alias("norm"))
-    hits = full.join(groups.where("group_size > 1").select("digest"), "digest")
-    unequal = written(hits.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).where("low <> high").select("digest"), "unequal")
-    result = log.join(groups, "digest")
+    full = docs.select(digest(no_white(text)).alias("digest"), F.col(id_col).cast("long").alias("doc_id"), no_white(text).alias("norm"))
+    same = (full["digest"] == hits["digest"]) & full["doc_id"].eqNullSafe(hits["doc_id"])
+    bounds = full.join(hits, same, "left_semi").groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    unequal = written(bounds.where("low <> high").select("digest"), "unequal")
     if not unequal.isEmpty():
-        rows = docs.select(digest(no_white(text)).alias("digest"), no_white(text).alias("norm"), F.struct((-F.length(text)).alias("shorter"), F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.input_file_name().alias("locator")).alias("at"))
+        rows = docs.select(digest(no_white(text)).alias("digest"), no_white(text).alias("norm"), place(id_col, text_col).alias("at"))
         rows = written(rows.join(unequal, "digest", "left_semi"), "unequal-rows")
         own = rows.groupBy("digest", "norm").agg(F.min("at").alias("keep"), F.count("*").alias("group_size"))
         result = result.join(unequal, "digest", "left_anti").unionByName(rows.join(own, ["digest", "norm"]).drop("norm"))
