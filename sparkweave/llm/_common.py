@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -13,7 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most bytes of variable-length values in one Arrow batch that Python gives back.
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 8_000_000
+#: Most bytes of an Arrow batch that Python gets.
+ARROW_BYTES = 16_000_000
 #: Bytes of an Arrow batch that are worked on at once.
 PIECE_BYTES = 4_000_000
 #: The ASCII white space [\x20\x09-\x0D] (fixed values).
@@ -44,8 +48,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches between JVM and Python of ARROW_BYTES at most, from now on in this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def release() -> None:
+    """Gives memory that a task no longer uses back to the system; a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with release() at its end."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return work
+
+
 def clean_id(docs: DataFrame, id_col: str, *cols: str) -> DataFrame:
     """Only the columns an operator uses, so that others can't clash with the names it makes."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(c) for c in cols))
 
 
@@ -58,7 +85,7 @@ def in_batches(work: Callable[[pa.RecordBatch], Iterable[dict[str, list | pa.Arr
                 for cols in work(piece):
                     yield from cut(cols, schema)
 
-    return run
+    return released(run)
 
 
 def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -91,6 +118,17 @@ def cut(cols: dict[str, list | pa.Array], schema: pa.Schema) -> Iterator[pa.Reco
         yield whole.slice(at, step)
 
 
+def planes(a: np.ndarray) -> bytes:
+    """Bytes of an array, most alike ones together."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
+
+
+def unplaned(columns: pa.ChunkedArray, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    parts = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(width, -1).T).view(kind)[:, 0] for x in columns.to_pylist() if x]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of a text column, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

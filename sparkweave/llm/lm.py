@@ -21,15 +21,16 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm._common import as_bytes, clean_id, cut, pieces, table, written
+from sparkweave.llm._common import as_bytes, clean_id, cut, pieces, planes, released, table, unplaned, written
 
-DEPTH = 6
+DEPTH = 5
 NODES = 65_536
 HOT_WORDS = 65_536
 #: The byte that ends a text; it is in no UTF-8 text.
@@ -66,12 +67,22 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts[order], first)
 
 
-def string_counts(depth: int):
-    """For mapInArrow over (doc_id, text): counts of strings of depth + 1 bytes, the last byte lowest."""
-    schema = pa.schema([("string", pa.int64()), ("n", pa.int64())])
+PACKED = pa.schema([("bucket", pa.int32()), ("strings", pa.binary()), ("counts", pa.binary())])
+
+
+def string_counts(depth: int, buckets: int):
+    """For mapInArrow over (doc_id, text): counts of strings of depth + 1 bytes (the last byte lowest), packed by bucket."""
+
+    def sent(strings: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bucket = (strings.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+        some = [(b, order[x:y]) for b, (x, y) in enumerate(pairwise(edges)) if x < y]
+        yield from cut({"bucket": [b for b, _ in some], "strings": [planes(strings[at]) for _, at in some], "counts": [planes(counts[at]) for _, at in some]}, PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in batches:
             for piece in pieces(batch):
                 data, begins = stream([t.lower().split() for t in as_bytes(piece.column(1))], depth)
@@ -82,14 +93,23 @@ def string_counts(depth: int):
                 code.sort()
                 first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
                 held.append((code[first], np.diff(np.append(first, len(code)))))
-                if sum(len(k) for k, _ in held) > HELD and len(held) > 1:
+                size += len(first)
+                if size > 3 * HELD:
                     held = [summed(*map(np.concatenate, zip(*held)))]
-                    if len(held[0][0]) > HELD:
-                        yield from cut(dict(zip(("string", "n"), map(pa.array, held.pop()))), schema)
+                    size = len(held[0][0])
+                    if size > HELD:
+                        yield from sent(*held.pop())
+                        size = 0
         if held:
-            yield from cut(dict(zip(("string", "n"), map(pa.array, summed(*map(np.concatenate, zip(*held)))))), schema)
+            yield from sent(*summed(*map(np.concatenate, zip(*held))))
 
-    return run
+    return released(run)
+
+
+def merged(own: pa.Table) -> pa.Table:
+    """Of one bucket, the strings and their counts over all tasks."""
+    strings, counts = (unplaned(own[c], "<i8") for c in ("strings", "counts"))
+    return pa.table(summed(strings, counts), schema=pa.schema([("string", pa.int64()), ("n", pa.int64())]))
 
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,52 +159,76 @@ def byte_logs(ones: np.ndarray) -> np.ndarray:
     return out.astype(np.float32)
 
 
+class Level:
+    """Contexts of one depth, ascending, and the counts of the bytes after them, sparse and ordered by context."""
+
+    def __init__(self, keys: np.ndarray, row: np.ndarray, byte: np.ndarray, n: np.ndarray):
+        order = np.argsort(row, kind="stable")
+        self.keys, self.row, self.byte, self.n = keys, row[order], byte[order], n[order]
+
+    def dense(self, a: int, b: int) -> np.ndarray:
+        """Counts of all bytes after contexts a to b."""
+        x, y = np.searchsorted(self.row, [a, b])
+        out = np.zeros((b - a, 256), np.int64)
+        np.add.at(out, (self.row[x:y] - a, self.byte[x:y]), self.n[x:y])
+        return out
+
+
+def blocks(n: int, step: int = 2048) -> list[tuple[int, int]]:
+    return [(a, min(a + step, n)) for a in range(0, n, step)]
+
+
 class Tree:
     """States (nodes of the context tree, the root first): next state by the byte further back, log10 of the next byte."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        """levels: for each depth the kept contexts, ascending, and their byte counts."""
-        sizes = [len(k) for k, _ in levels]
+    def __init__(self, levels: list[Level]):
+        sizes = [len(v.keys) for v in levels]
         base = np.cumsum([0, *sizes])
         self.depth = len(levels) - 1
         self.next = np.full((int(base[-1]), 256), -1, np.int32)
         parents: list[np.ndarray] = [np.zeros(0, np.int64)]
         for d in range(1, len(levels)):
-            keys = levels[d][0]
-            up = np.searchsorted(levels[d - 1][0], keys & ((1 << 8 * (d - 1)) - 1))
+            keys = levels[d].keys
+            up = np.searchsorted(levels[d - 1].keys, keys & ((1 << 8 * (d - 1)) - 1))
             parents.append(up)
             self.next[base[d - 1] + up, keys >> 8 * (d - 1)] = base[d] + np.arange(len(keys))
+        # For each depth: the chance of a one at each bit prefix by the node's own counts and by those it starts from, and
+        # the weight of its own estimate against that of its children (infinite for a leaf).
+        own, start, ratio = ([np.zeros((n, 255), np.float32) for n in sizes] for _ in range(3))
         below = np.zeros((0, 255))
-        ratio: list[np.ndarray] = [np.zeros(0)] * len(levels)
-        own: list[np.ndarray] = [np.zeros(0)] * len(levels)
-        start: list[np.ndarray] = [np.zeros(0)] * len(levels)
         for d in range(len(levels) - 1, -1, -1):
-            counts = levels[d][1]
-            zero, one = bit_counts(counts)
-            alone = log_kt(zero, one)
-            own[d] = ((one + 0.5) / (zero + one + 1)).astype(np.float32)
-            inner = np.zeros(len(counts), bool)
-            kids = np.zeros_like(alone)
-            start[d] = own[d].copy()
+            inner, kids = np.zeros(sizes[d], bool), np.zeros((sizes[d], 255))
+            held = None
             if d < self.depth and sizes[d + 1]:
-                inner[parents[d + 1]] = True
-                rest = counts.copy()
-                np.subtract.at(rest, parents[d + 1], levels[d + 1][1])
-                r0, r1 = bit_counts(rest[inner])
-                np.add.at(kids, parents[d + 1], below)
-                kids[inner] += log_kt(r0, r1)
-                start[d][inner] = (r1 + 0.5) / (r0 + r1 + 1)
-            weighted = np.where(inner[:, None], np.logaddexp(alone, kids) - np.log(2), alone)
-            ratio[d] = np.where(inner[:, None], np.exp(np.clip(alone - kids, -60, 60)), np.inf).astype(np.float32)
-            below = weighted
+                up, kid = parents[d + 1], levels[d + 1]
+                inner[up] = True
+                np.add.at(kids, up, below)
+                held = Level(levels[d].keys, up[kid.row], kid.byte, kid.n)
+            below = np.zeros((sizes[d], 255))
+            for a, b in blocks(sizes[d]):
+                counts = levels[d].dense(a, b)
+                zero, one = bit_counts(counts)
+                alone = log_kt(zero, one)
+                own[d][a:b] = start[d][a:b] = (one + 0.5) / (zero + one + 1)
+                ratio[d][a:b] = np.inf
+                below[a:b] = alone
+                at = np.flatnonzero(inner[a:b])
+                if len(at):
+                    zero, one = bit_counts((counts - held.dense(a, b))[at])
+                    apart = kids[a:b][at] + log_kt(zero, one)
+                    start[d][a + at] = (one + 0.5) / (zero + one + 1)
+                    ratio[d][a + at] = np.exp(np.clip(alone[at] - apart, -60, 60))
+                    below[a + at] = np.logaddexp(alone[at], apart) - np.log(2)
+        del below, kids
         self.logs = np.empty((int(base[-1]), 256), np.float32)
         for d in range(len(levels)):
-            chance, at = start[d].astype(float), np.arange(sizes[d])
-            for up in range(d, -1, -1):
-                weight = ratio[up][at]
-                chance = np.where(np.isinf(weight), chance, (np.minimum(weight, 1e30) * own[up][at] + chance) / (np.minimum(weight, 1e30) + 1))
-                at = parents[up][at] if up else at
-            self.logs[base[d] : base[d + 1]] = byte_logs(chance)
+            for a, b in blocks(sizes[d]):
+                chance, at = start[d][a:b].astype(float), np.arange(a, b)
+                for up in range(d, -1, -1):
+                    weight = np.minimum(ratio[up][at], 1e30)
+                    chance = np.where(np.isinf(ratio[up][at]), chance, (weight * own[up][at] + chance) / (weight + 1))
+                    at = parents[up][at] if up else at
+                self.logs[base[d] + a : base[d] + b] = byte_logs(chance)
 
     def score(self, texts: list[list[bytes]], group: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each text, and its bytes; group: texts at once, so that what they need stays in cache."""
@@ -210,10 +254,12 @@ class Tree:
 
 def train(docs: DataFrame, depth: int = DEPTH, nodes: int = NODES) -> Tree:
     """The tree of docs (doc_id, text); at most nodes contexts a depth and 256 counts each come to the driver."""
-    level = written(docs.mapInArrow(string_counts(depth), "string long, n long").groupBy("string").agg(F.sum("n").alias("n")), "strings")
+    buckets = max(64, 2 * docs.rdd.getNumPartitions())
+    packed = docs.mapInArrow(string_counts(depth, buckets), "bucket int, strings binary, counts binary")
+    level = written(packed.groupBy("bucket").applyInArrow(merged, "string long, n long"), "strings")
     total = level.agg(F.sum("n")).first()[0] or 0
     least = max(1, -(-total // nodes))
-    levels: list[tuple[np.ndarray, np.ndarray]] = []
+    levels: list[Level] = []
     for d in range(depth, -1, -1):
         if d < depth:
             level = written(level.groupBy(F.col("string").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("string")).agg(F.sum("n").alias("n")), "strings")
@@ -221,11 +267,7 @@ def train(docs: DataFrame, depth: int = DEPTH, nodes: int = NODES) -> Tree:
         kept = level.groupBy(by.alias("context")).agg(F.sum("n").alias("all")).where(F.col("all") >= least).select("context")
         own = level.select(by.alias("context"), F.col("string").bitwiseAND(F.lit(255)).cast("int").alias("byte"), "n").join(F.broadcast(kept), "context").toPandas()
         keys, row = np.unique(own["context"].to_numpy(np.int64), return_inverse=True)
-        if not d and not len(keys):
-            keys = np.zeros(1, np.int64)
-        counts = np.zeros((len(keys), 256), np.int64)
-        counts[row, own["byte"].to_numpy(np.int64)] = own["n"].to_numpy(np.int64)
-        levels.append((keys, counts))
+        levels.append(Level(keys if d or len(keys) else np.zeros(1, np.int64), row, own["byte"].to_numpy(np.int64), own["n"].to_numpy(np.int64)))
     return Tree(levels[::-1])
 
 
@@ -238,7 +280,8 @@ def score(docs: DataFrame, held: Column | None = None, depth: int = DEPTH, nodes
     vocab = written(learn.mapInArrow(word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     all_tokens, distinct = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     hot = vocab.where(F.col("n") >= max(1, -(-all_tokens // HOT_WORDS)))
-    few = spark.sparkContext.broadcast({bytes(w): n for w, n in hot.collect()})  # HOT_WORDS at most
+    few = hot.toPandas()  # HOT_WORDS at most
+    few = spark.sparkContext.broadcast(dict(zip(map(bytes, few["word"]), few["n"].tolist())))
     tree = spark.sparkContext.broadcast(train(learn, depth, nodes))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())])))])
 
@@ -259,7 +302,7 @@ def score(docs: DataFrame, held: Column | None = None, depth: int = DEPTH, nodes
                     rare.append([{"word": w, "times": n} for w, n in counts.items() if w not in there])
                 yield from cut({"doc_id": piece.column(0), "held_out": piece.column(2), "n_tokens": [len(w) + 1 for w in texts], "known": known, "logs": sums, "score": pa.array(logs), "n_bytes": pa.array(n_bytes), "rare": rare}, schema)
 
-    scored = own.select("doc_id", "text", held.alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, n_bytes long, rare array<struct<word binary, times int>>")
+    scored = own.select("doc_id", "text", held.alias("held_out")).mapInArrow(released(run), "doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, n_bytes long, rare array<struct<word binary, times int>>")
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     seldom = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
     found = seldom.join(vocab.where(F.col("n") < max(1, -(-all_tokens // HOT_WORDS))), "word").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))

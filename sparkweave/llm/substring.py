@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkweave.llm._common import as_bytes, cut, table, written
+from sparkweave.llm._common import as_bytes, cut, planes, released, small_batches, table, unplaned, written
 from sparkweave.llm._spans import SpanHashes
 
 WINDOW = 20
@@ -80,17 +80,6 @@ def chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
             start, size = i + 1, 0
 
 
-def planes(a: np.ndarray) -> bytes:
-    """Bytes of an array, most alike ones together."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
-
-
-def unplaned(columns: pa.ChunkedArray, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    parts = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(width, -1).T).view(kind)[:, 0] for x in columns.to_pylist() if x]
-    return np.concatenate(parts) if parts else np.zeros(0, kind)
-
-
 def dealt(buckets: int, h: np.ndarray, more: np.ndarray | None, docs: np.ndarray, places: np.ndarray, flags: np.ndarray, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Packed rows, one for each bucket that gets anything."""
     order = np.argsort(bucket, kind="stable")
@@ -139,7 +128,7 @@ def anchor_rows(buckets: int):
         if held:
             yield from sent(*map(np.concatenate, zip(*held)))
 
-    return run
+    return released(run)
 
 
 def repeated(table: pa.Table) -> pa.Table:
@@ -200,7 +189,7 @@ def window_rows(buckets: int):
         if held:
             yield from sent(*map(np.concatenate, zip(*held)))
 
-    return run
+    return released(run)
 
 
 def earliest(h: np.ndarray, more: np.ndarray, docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -256,7 +245,7 @@ def cut_out(whole: bool):
                 others = {batch.schema.field(i).name: batch.column(i).slice(a, b - a) for i in range(4, batch.num_columns)}
                 yield from cut({"doc_id": batch.column(0).slice(a, b - a), "n_words": pa.array(words.counts), "n_removed": removed, "kept": pa.array(kept, pa.binary()).cast(pa.string())} | others, pa.schema([*OUT, *(batch.schema.field(i) for i in range(4, batch.num_columns))]))
 
-    return run
+    return released(run)
 
 
 def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), whole: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,6 +254,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), whole: bool = F
     carry names further columns to keep; with whole, a text that loses nothing stays as it is.
     """
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"), *carry)
+    small_batches(docs.sparkSession)
     buckets = max(64, 2 * docs.rdd.getNumPartitions())
     anchors = own.select("doc_id", "text").mapInArrow(anchor_rows(buckets), PACKED_SQL)
     found = anchors.groupBy("bucket").applyInArrow(repeated, "doc_id long, place int")
