@@ -13,8 +13,27 @@ from sparkweave.functions import similarity as S
 from sparkweave.functions import text as X
 from sparkweave.functions import words as W
 
-a, b = F.col("a"), F.col("b")
-NAME, ADDR = F.col("name_sort"), F.col("addr_sort")
+
+class Named:
+    """A column by name, made when it is used: modules are imported before there is a session."""
+
+    def __init__(self, name: str):
+        self.name = name
+
+    def __getitem__(self, field: str) -> Column:
+        return F.col(self.name)[field]
+
+    def __ge__(self, other: float) -> Column:
+        return F.col(self.name) >= other
+
+    def __gt__(self, other: float) -> Column:
+        return F.col(self.name) > other
+
+    def __lt__(self, other: float) -> Column:
+        return F.col(self.name) < other
+
+
+a, b, NAME, ADDR = map(Named, ("a", "b", "name_sort", "addr_sort"))
 
 
 def with_scores(rows: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ LEVELS = {"strict": "error", "lenient": "warning"}
 
 
 def _ids(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def violations(rows: DataFrame, column: str, entities: DataFrame, known: DataFrame | None = None, name: str = "matching") -> DataFrame:

@@ -33,7 +33,7 @@ def of_country(records: DataFrame, country: str) -> DataFrame:
 
 
 def id_list(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def truth_pairs(truth: DataFrame) -> tuple[DataFrame, DataFrame]:
