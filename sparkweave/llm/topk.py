@@ -3,8 +3,8 @@
 Components are quantised to integers, floor(64 * x). Vectors are dealt to blocks of a bounded size and queries to chunks;
 each pair of a block and a chunk is one unit of work, so that no task holds more than one of each. A block's index has a
 posting segment for each dimension and component value. For a query the impact of a segment is its component times that
-value, less the least impact of the dimension; segments are processed by descending impact, each adding its impact to the
-accumulators of its vectors. What a vector can still gain is at most the sum over dimensions of the next impact there.
+value, less the least impact of the dimension; segments are processed by descending impact (the highest over the queries that
+share a schedule), each adding its impact to the accumulators of its vectors. What a vector can still gain is at most the sum over dimensions of the next impact there.
 Processing stops only when that proves all but a small part of the block to be out of the k highest (or when no segment is
 left); the possible members are then scored exactly from their vectors. The k best of each block meet in one ranking.
 
@@ -26,6 +26,8 @@ SCALE = 64
 K = 20
 #: Vectors of a block and queries of a chunk, about.
 BLOCK, CHUNK = 16_384, 256
+#: Queries that share a schedule, and the shares of all postings after which to try a proof.
+TOGETHER, TRIES = 32, (0.85, 0.95, 1)
 #: Share of a block's vectors that may be left to exact scoring when processing stops.
 LEFT = 1 / 16
 
@@ -44,63 +46,49 @@ class Index:
         for d in range(vectors.shape[1]):
             values = vectors[order[:, d], d]
             first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-            self.levels.append((values[first].astype(np.int64), first + d * len(ids), np.append(first[1:], len(ids)) + d * len(ids)))
-
-    def segments(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Impacts (descending), starts, ends, and what can still be gained after each of them."""
-        impacts, starts, ends, drops = [], [], [], []
-        for d, q in enumerate(query.tolist()):
-            if q:
-                values, a, b = self.levels[d]
-                if q > 0:
-                    values, a, b = values[::-1], a[::-1], b[::-1]
-                own = q * values
-                own = own - own[-1]
-                impacts.append(own)
-                starts.append(a)
-                ends.append(b)
-                drops.append(own - np.append(own[1:], 0))
-        if not impacts:
-            none = np.zeros(0, np.int64)
-            return none, none, none, none
-        impact = np.concatenate(impacts)
-        order = np.argsort(-impact, kind="stable")
-        gain = sum(int(i[0]) for i in impacts) - np.cumsum(np.concatenate(drops)[order])
-        return impact[order], np.concatenate(starts)[order], np.concatenate(ends)[order], gain
-
-    def search(self, query: np.ndarray, query_id: int, k: int = K, left: float = LEFT) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best, in order."""
-        n = len(self.ids)
-        acc = np.zeros(n, np.int64)
-        own = self.ids == query_id
-        need = k + int(own.sum())
-        members = np.arange(n)
+            self.levels.append((values[first], first + d * len(ids), np.append(first[1:], len(ids)) + d * len(ids)))
+
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int = K, left: float = LEFT) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and scores of the k best of each query (a row), in order; the queries share one schedule of segments."""
+        n, values = len(self.ids), np.concatenate([v for v, _, _ in self.levels])
+        first = np.cumsum([0, *(len(v) for v, _, _ in self.levels)])[:-1]
+        dims = np.repeat(np.arange(len(self.levels)), [len(v) for v, _, _ in self.levels])
+        starts, ends = (np.concatenate([x[i] for x in self.levels]) for i in (1, 2))
+        impact = queries.T[dims] * values.astype(queries.dtype)[:, None]
+        impact -= np.minimum.reduceat(impact, first, axis=0)[dims]
+        order = np.argsort(-impact.max(1), kind="stable")
+        acc = np.zeros((n, len(queries)), impact.dtype)
+        own = self.ids[:, None] == query_ids
+        need = k + int(own.sum(0).max(initial=0))
+        members = [np.arange(n)] * len(queries)
         if n > need:
-            impact, starts, ends, gain = self.segments(query)
-            at, stops = 0, self._stops(gain)
-            for stop in stops:
-                for a, b, add in zip(starts[at:stop].tolist(), ends[at:stop].tolist(), impact[at:stop].tolist()):
-                    if add:
-                        acc[self.postings[a:b]] += add
+            done = np.cumsum((ends - starts)[order]) / len(self.postings)
+            at, rest = 0, impact.copy()
+            for share in TRIES:
+                stop = int(np.searchsorted(done, share)) + 1 if share < 1 else len(order)
+                for s in order[at:stop].tolist():
+                    acc[self.postings[starts[s] : ends[s]]] += impact[s]
+                rest[order[at:stop]] = 0
                 at = stop
-                rest = int(gain[stop - 1])
-                least = np.partition(acc, n - need)[n - need]
-                members = np.flatnonzero(acc + rest >= least)
-                if len(members) <= max(need, left * n):
+                least = np.partition(acc, n - need, axis=0)[n - need]
+                alive = acc + np.maximum.reduceat(rest, first, axis=0).sum(0) >= least
+                if alive.sum() <= left * alive.size or share == 1:
+                    members = [np.flatnonzero(c) for c in alive.T]
                     break
-        members = members[~own[members]]
-        scores = self.vectors[members].astype(np.int64) @ query.astype(np.int64)
-        best = np.lexsort((self.ids[members], -scores))[:k]
-        return self.ids[members][best], scores[best]
-
-    @staticmethod
-    def _stops(gain: np.ndarray) -> list[int]:
-        """Numbers of segments after which to try a proof: whenever a fifth less can still be gained."""
-        out, level = [], int(gain[0]) // 2 if len(gain) else 0
-        while level > 0:
-            out.append(int(np.searchsorted(-gain, -level)) + 1)
-            level = level * 4 // 5
-        return sorted({min(x, len(gain)) for x in out} | ({len(gain)} if len(gain) else set()))
+        out = []
+        for q, found in enumerate(members):
+            found = found[~own[found, q]]
+            scores = self.exact(found, queries[q])
+            best = np.lexsort((self.ids[found], -scores))[:k]
+            out.append((self.ids[found][best], scores[best]))
+        return out
+
+    def exact(self, members: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Inner products as integers; floating point holds them exactly where all are small."""
+        own = self.vectors[members]
+        if own.dtype.itemsize == 2 and np.abs(query).max(initial=0) < 1 << 15:
+            return np.rint(own.astype(float) @ query.astype(float)).astype(np.int64)
+        return own.astype(np.int64) @ query
 
 
 def packed(rows: DataFrame, part: Column, kind: str, width: int) -> DataFrame:
@@ -126,7 +114,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
     schema = "query_id long, vec_id long, score long"
     if not queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    kind = "<i2" if (high or 0) < 1 << 15 else "<i8"
+    high = int(high or 0)
+    kind = "<i2" if high < 1 << 15 else "<i8"
     blocks, chunks = -(-n // block), -(-queries // chunk)
     index = written(packed(rows, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)), kind, width), "blocks")
     asked = written(packed(rows.where(is_query), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)), kind, width), "chunks")
@@ -136,11 +125,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
         if own.num_rows and chunk_.num_rows:
             (ids, matrix), (query_ids, query) = ((np.frombuffer(t["ids"][0].as_py(), "<i8"), np.frombuffer(t["vectors"][0].as_py(), kind)) for t in (own, chunk_))
             made = Index(ids, matrix.reshape(len(ids), width))
-            for q, row in zip(query_ids.tolist(), query.reshape(len(query_ids), width)):
-                found, scores = made.search(row.astype(np.int64), q, k)
-                out[0].append(np.full(len(found), q))
-                out[1].append(found)
-                out[2].append(scores)
+            query = query.reshape(len(query_ids), width).astype(np.int32 if 4 * width * high * high < 1 << 31 else np.int64)
+            for a in range(0, len(query), TOGETHER):
+                for q, (found, scores) in zip(query_ids[a:].tolist(), made.search(query[a : a + TOGETHER], query_ids[a : a + TOGETHER], k)):
+                    out[0].append(np.full(len(found), q))
+                    out[1].append(found)
+                    out[2].append(scores)
         return pa.table([np.concatenate([*c, np.zeros(0, np.int64)]) for c in out], schema=FOUND)
 
     left = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")).withColumnRenamed("part", "block")
