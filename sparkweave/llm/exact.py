@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkweave.llm._common import new_path, no_white, table, written
@@ -23,6 +23,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 #: Records for which one partition of the state is meant, and the fewest partitions. A state partition holds at least
 #: 4 MB of disk, whatever lies in it, so their number follows the records and not the shuffles of other operators.
 STATE_RECORDS, STATE_PARTITIONS = 2_000_000, 24
+#: Memory of an executor for its state stores.
+STATE_MB = 128
 #: Most digests that are met by broadcast.
 HOT = 4096
 #: Record files folded into the state in one micro-batch.
@@ -55,7 +57,7 @@ def fold(spark: SparkSession, source: str, schema, files: int = FILES_PER_TRIGGE
         changed.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/state/part={number}")
 
     parts = max(STATE_PARTITIONS, spark.read.schema(schema).parquet(source).count() // STATE_RECORDS)
-    own = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.internal.stateStore.partitions": str(parts)}
+    own = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.internal.stateStore.partitions": str(parts), "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": str(STATE_MB)}
     before = {k: spark.conf.get(k, None) for k in own}
     for k, v in own.items():
         spark.conf.set(k, v)
@@ -104,15 +106,19 @@ def duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha256, id_
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; identifiers are taken to be those of rows."""
-    found = written(duplicates(docs, id_col=id_col, text_col=text_col).select("doc_id", "kept"), "kept")
-    stay = found.where("kept").select(F.col("doc_id").alias("__kept"))
-    again = written(found.where("kept is not null").groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("__kept")), "again")
+    """The rows of docs that stay, with all their columns."""
+    found = written(duplicates(docs, id_col=id_col, text_col=text_col).select("doc_id", "digest", "kept"), "kept")
+    again = written(found.groupBy(F.col("doc_id").alias("__kept")).count().where("count > 1 or __kept is null").select("__kept"), "again")
+    stay = found.where("kept").select(F.col("doc_id").alias("__kept"), F.col("digest").alias("__own"))
     out = docs.join(stay, F.col(id_col) == F.col("__kept"), "left_semi")
     if again.isEmpty():
         return out
-    same = F.col(id_col).eqNullSafe(F.col("__kept"))
-    once = docs.join(stay, same, "left_semi").join(again, same, "left_semi").dropDuplicates([id_col, text_col])
+    # Rows without an identifier or with one that others have too are told apart by digest, then by length.
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    marked = docs.join(again, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi").withColumn("__digest", sha256(no_white(text)))
+    same = F.col(id_col).eqNullSafe(F.col("__kept")) & (F.col("__digest") == F.col("__own"))
+    order = Window.partitionBy(id_col, "__digest").orderBy(F.desc(F.length(text)))
+    once = marked.join(stay, same, "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "__digest")
     return out.join(again, F.col(id_col) == F.col("__kept"), "left_anti").unionByName(once)
 
 

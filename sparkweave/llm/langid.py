@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm._common import clean_id, in_batches, pieces, table
+from sparkweave.llm._common import clean_id, in_batches, pieces, released, table
 
 #: Buckets of hashed n-grams.
 DIM = 2048
@@ -262,7 +262,7 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
                 columns = [filled if i == lang else piece.column(i) for i in range(piece.num_columns)]
                 yield pa.RecordBatch.from_arrays(columns, names=names).filter(pc.not_equal(said, UNKNOWN))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
