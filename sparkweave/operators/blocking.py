@@ -74,7 +74,7 @@ def keys_passes(recover: frozenset[str] = frozenset()) -> Column:
     parts.append(F.filter(aliases, lambda k: k["step"] == 1))
     parts += [pair(2, "name_pair", latin, 0, 1), each(2, "name_tok", latin, 2)]
     if "F" in recover:
-        parts.append(each(2, "name_tok", F.transform(c, X.sound_fold), 2, 3))
+        parts.append(each(2, "name_tok", F.transform(c, lambda w: X.sound_fold(w)), 2, 3))
     parts += [product(3, "name_num", c, n, 2, 2), product(4, "num_word", n, long_ if "B" in recover else w, 3, 3), each(5, "name_tok", c, 2, 4), F.filter(aliases, lambda k: k["step"] == 5)]
     if "D" in recover:
         parts.append(F.when(F.size(n) == 0, each(5, "name_tok", X.by_length(c), 1, 6)).otherwise(F.array().cast(KEYS)))
