@@ -372,6 +372,17 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == frames[4].count()
 
 
+def test_near_copies_without_identifiers(spark):
+    import corpus_pipeline
+
+    random.seed(22)
+    base, other, third = text(60), text(60), text(60)
+    rows = [(None, other), (None, third), (3, base), (2, base.upper()), (None, base + " "), (5, text(60)), (5, text(60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert got == sorted([(0, other), (0, third), (2, base.upper()), *rows[5:]])
+
+
 def test_no_local_paths():
     for p in (Path(simhash.__file__).parent).glob("*.py"):
         assert "localCheckpoint" not in p.read_text(encoding="utf-8")
