@@ -383,6 +383,32 @@ def test_near_copies_without_identifiers(spark):
     assert got == sorted([(0, other), (0, third), (2, base.upper()), *rows[5:]])
 
 
+def overlap(a: str, b: str) -> float:
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_with_changed_words(spark):
+    import corpus_pipeline
+
+    random.seed(23)
+    rows, want = [], {}
+    for i in range(60):
+        words = [f"w{random.randrange(5000)}" for _ in range(random.choice([30, 100, 400]))]
+        rows.append((10 * i, " ".join(words)))
+        for j in range(1, 4):
+            other = list(words)
+            for at in random.sample(range(len(words)), max(1, len(words) * j // 100)):
+                other[at] = f"n{random.randrange(5000)}"
+            rows.append((10 * i + j, " ".join(other)))
+    edges = [(a, b) for a, x in rows for b, y in rows if a < b and a // 10 == b // 10 and overlap(x, y) >= 0.8]
+    assert 60 < len(edges) < 300
+    want = brute_links(edges)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert got == {i for i, _ in rows if want.get(i, i) == i}
+
+
 def test_no_local_paths():
     for p in (Path(simhash.__file__).parent).glob("*.py"):
         assert "localCheckpoint" not in p.read_text(encoding="utf-8")
