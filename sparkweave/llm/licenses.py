@@ -1,6 +1,8 @@
 """Licence scans with DataFrame functions only.
 
-A paragraph is a line of a text. A multinomial logistic regression over sparse word n-grams (one to three words of which
+A paragraph is a line of a text, or a run of lines with words between which fewer words lie than the longest template has,
+so that notices count however they are wrapped. A run is given only where it confirms a family that no shorter (or earlier)
+run in it or overlapping it does; its number is that of its first line. A multinomial logistic regression over sparse word n-grams (one to three words of which
 one is a cue such as "license" or "gnu") gives it a licence family or the class `unknown`. It is trained on the driver, on
 variants of the templates below (words dropped, other words around) and, for `unknown`, on sentences that only sound like
 licences; a temperature fitted on variants kept apart calibrates its probabilities. A predicted family counts only when
@@ -150,7 +152,7 @@ def judge(paragraph: Column, model: Classifier | None = None, templates: dict[st
         return F.array_distinct(F.concat(w, at(1), at(2)))
 
     def chances(w: Column) -> Column:
-        found = F.filter(F.transform(grams(w), lambda g: F.array_position(_strings(model.grams), g).cast("int")), lambda i: i > 0)
+        found = F.filter(F.transform(F.array_intersect(grams(w), _strings(model.grams)), lambda g: F.array_position(_strings(model.grams), g).cast("int")), lambda i: i > 0)
         score = lambda k: F.aggregate(found, F.element_at(_numbers(model.biases), k + 1), lambda a, i: a + F.element_at(_numbers(model.weights), k * n + i))
         return F.transform(F.transform(F.sequence(F.lit(0), F.lit(len(model.names) - 1)), score), F.exp)
 
@@ -169,15 +171,51 @@ def gated(text: Column) -> Column:
     return reduce(Column.__or__, (low.contains(c) for c in CUES))
 
 
+def runs(text: Column, longest: int) -> Column:
+    """(first, last, p) of the lines that may hold a cue and of the runs of lines that do."""
+    lines = F.transform(F.split(text, "\n"), lambda p, i: F.struct(i.alias("number"), p.alias("p"), F.size(words(p)).alias("n"), gated(p).alias("cued")))
+
+    def ends(all_: Column, x: Column) -> Column:
+        some = F.slice(all_, x["number"] + 1, longest + 1)
+        state = F.struct(F.lit(0).alias("inner"), F.lit(False).alias("cued"), F.lit(True).alias("whole"), F.array().cast("array<int>").alias("ends"))
+
+        def step(a: Column, y: Column) -> Column:
+            first, cued = y["number"] == x["number"], a["cued"] | y["cued"]
+            whole = a["whole"] & (y["n"] > 0) & (a["inner"] < longest)
+            end = F.when((whole | first) & cued, F.array(y["number"])).otherwise(F.array().cast("array<int>"))
+            return F.struct((a["inner"] + F.when(first, 0).otherwise(y["n"])).alias("inner"), cued.alias("cued"), whole.alias("whole"), F.concat(a["ends"], end).alias("ends"))
+
+        found = F.when(F.exists(some, lambda y: y["cued"]), F.aggregate(some, state, step)["ends"]).otherwise(F.array().cast("array<int>"))
+        of = lambda e: F.array_join(F.transform(F.slice(all_, x["number"] + 1, e - x["number"] + 1), lambda y: y["p"]), "\n")
+        return F.transform(found, lambda e: F.struct(x["number"].alias("first"), e.alias("last"), of(e).alias("p")))
+
+    return F.element_at(F.transform(F.array(lines), lambda all_: F.flatten(F.transform(all_, lambda x: ends(all_, x)))), 1)
+
+
+def chosen(judged: Column) -> Column:
+    """Single lines, but for those in place of which a run is confirmed; and the shortest confirmed runs."""
+    size = lambda x: x["last"] - x["first"]
+    sure = F.filter(judged, lambda x: x["confirmed"])
+
+    def of(all_: Column) -> Column:
+        meets = lambda x, y: (x["family"] == y["family"]) & (x["first"] <= y["last"]) & (y["first"] <= x["last"])
+        before = lambda x, y: (size(y) < size(x)) | ((size(y) == size(x)) & (y["first"] < x["first"]))
+        lines = lambda x: (size(x) == 0) & (x["confirmed"] | ~F.exists(all_, lambda y: meets(x, y)))
+        return F.filter(judged, lambda x: lines(x) | ((size(x) > 0) & x["confirmed"] & ~F.exists(all_, lambda y: meets(x, y) & before(x, y))))
+
+    return F.element_at(F.transform(F.array(sure), of), 1)
+
+
 def scan(docs: DataFrame, model: Classifier | None = None, sure: float = SURE, alike: float = ALIKE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id and found, the paragraphs (number, paragraph, family, probability, alike, confirmed)
     for which a family other than unknown is predicted."""
     own = clean_id(docs, id_col, text_col).select("doc_id", F.col(text_col).alias("text"))
-    lines = F.transform(F.split("text", "\n"), lambda p, i: F.struct(i.alias("number"), p.alias("p")))
-    some = F.filter(lines, lambda x: gated(x["p"]))
-    judged = F.transform(some, lambda x: F.struct(x["number"].alias("number"), judge(x["p"], model).alias("j")))
-    flat = F.transform(judged, lambda x: F.struct(x["number"].alias("number"), x["j"]["paragraph"].alias("paragraph"), x["j"]["family"].alias("family"), x["j"]["probability"].alias("probability"), x["j"]["alike"].alias("alike"), ((x["j"]["probability"] >= sure) & (x["j"]["alike"] >= alike)).alias("confirmed")))
-    return own.select("doc_id", F.when(gated(F.col("text")), F.filter(flat, lambda x: x["family"] != UNKNOWN)).otherwise(F.array().cast(FOUND)).alias("found"))
+    longest = max(len(words_of(t)) for forms in TEMPLATES.values() for t in forms)
+    judged = F.transform(runs(F.col("text"), longest), lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), judge(x["p"], model).alias("j")))
+    flat = F.transform(judged, lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), x["j"]["paragraph"].alias("paragraph"), x["j"]["family"].alias("family"), x["j"]["probability"].alias("probability"), x["j"]["alike"].alias("alike"), ((x["j"]["probability"] >= sure) & (x["j"]["alike"] >= alike)).alias("confirmed")))
+    told = F.element_at(F.transform(F.array(F.filter(flat, lambda x: x["family"] != UNKNOWN)), chosen), 1)
+    found = F.transform(told, lambda x: F.struct(x["first"].alias("number"), x["paragraph"].alias("paragraph"), x["family"].alias("family"), x["probability"].alias("probability"), x["alike"].alias("alike"), x["confirmed"].alias("confirmed")))
+    return own.select("doc_id", F.when(gated(F.col("text")), found).otherwise(F.array().cast(FOUND)).alias("found"))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -327,6 +327,15 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted.\n"
+    gpl = "# This work is licensed under the GNU General Public\n# License, version 3.\n"
+    mpl = "This file is subject to the\nterms of the Mozilla Public\nLicense, version 2.0."
+    rows = [bsd, gpl, mpl, "x\n" + bsd + "\n" + gpl + mpl, "\n".join(licenses.words_of(bsd)), "Released under the MIT License.\nmore of it", "Permission is hereby granted, free\n\nof charge, to any person"]
+    got = {r["doc_id"]: r["found"] for r in licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [sorted(x["family"] for x in got[i] if x["confirmed"]) for i in range(7)] == [["bsd"], ["gpl-3.0"], ["mpl-2.0"], ["bsd", "gpl-3.0", "mpl-2.0"], ["bsd"], ["mit"], []]
+
+
 def test_components(spark):
     random.seed(12)
     edges = [(i, i + 1) for i in range(50)] + [(200, 200 + i) for i in range(1, 60)] + [(random.randrange(300, 400), random.randrange(300, 400)) for _ in range(70)]
