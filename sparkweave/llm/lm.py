@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sparkweave.llm._common import as_bytes, clean_id, cut, pieces, planes, released, table, unplaned, written
 
-DEPTH = 5
+DEPTH = 6
 NODES = 65_536
 HOT_WORDS = 65_536
 #: The byte that ends a text; it is in no UTF-8 text.

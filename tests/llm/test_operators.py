@@ -267,6 +267,13 @@ def test_context_tree_against_the_recursion(spark):
     assert np.allclose((10.0 ** tree.logs.astype(float)).sum(1), 1, atol=1e-4)
 
 
+def test_contexts_of_six_bytes_count(spark):
+    rows = [(i, "xabcdeP yabcdeQ") for i in range(300)]
+    tree = lm.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    right, wrong = tree.score([[b"xabcdep"], [b"xabcdeq"]])[0]
+    assert tree.depth == 6 and right > wrong + 1
+
+
 def test_language(spark):
     random.seed(8)
     stems = {"en": "the and of ing tion th", "de": "der und ung ich sch ei", "fr": "le et que eau oi ez", "es": "el y cion que ado os"}
