@@ -6,7 +6,11 @@ import numpy as np
 
 
 class SpanHashes:
-    """64-bit hashes of spans of an array of small integers: a polynomial over a random table of 64-bit values."""
+    """64-bit hashes of spans of an array of small integers: a polynomial over a random table of 64-bit values.
+
+    Equal spans have equal hashes, but some differing ones do too (modulo a power of two any base has such pairs), so a
+    hash may only propose what is then compared.
+    """
 
     def __init__(self, symbols: int, seed: int = 7):
         random = np.random.default_rng(seed)

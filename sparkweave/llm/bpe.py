@@ -6,13 +6,15 @@ applied in ascending order, each to all its positions at once, and only the list
 A merge can only make pairs of a higher rank, because the token it makes exists from that rank on, so one ascending
 sweep equals the usual word-by-word procedure.
 
-Null text counts as empty, an empty text has no tokens, extra columns are ignored unless asked for.
+Null text counts as empty, an empty text has no tokens, extra columns are ignored unless asked for. A text of any length is
+worked on in parts of about CHUNK_CHARS, cut before white space; only a longer run without any is one part.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from functools import lru_cache
 from itertools import pairwise
@@ -31,6 +33,8 @@ CHUNK_CHARS = 1_500_000
 LETTER, NUMBER, OTHER, SPACE, EDGE = range(5)
 #: White space as Unicode has it (fixed values).
 WHITE = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+#: A character that is no white space before a blank or line end: there a token ends and another begins.
+SAFE = re.compile("[^" + "".join(map(chr, WHITE)) + "][ \n]")
 
 
 @lru_cache(1)
@@ -69,6 +73,15 @@ def token_starts(codes: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return start
 
 
+def cut_text(text: str) -> list[str]:
+    """text in parts of about CHUNK_CHARS; each but the first begins with a blank or line end after another character."""
+    parts, at = [], 0
+    while len(text) - at > 2 * CHUNK_CHARS and (found := SAFE.search(text, at + CHUNK_CHARS)):
+        parts.append(text[at : found.start() + 1])
+        at = found.start() + 1
+    return [*parts, text[at:] if at else text]
+
+
 def byte_letters() -> dict[str, int]:
     """The printable character that stands for each byte in a byte-level vocabulary file."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -77,9 +90,10 @@ def byte_letters() -> dict[str, int]:
 
 
 class WordTable:
-    """Open-addressing table from 64-bit hashes to the ids of words, all in arrays.
+    """Open-addressing table from 64-bit hashes to words and their ids, all in arrays.
 
-    Two of the known words share a hash with a chance below 1e-7 for a full table; the texts' words are found by it.
+    A hash only proposes a word: its code points are kept too and compared with those of the text (differing()). Words that
+    share the hash of another are stored without one, each time anew until the table is cleared.
     """
 
     def __init__(self) -> None:
@@ -91,6 +105,8 @@ class WordTable:
         self.count = self.used = 0
         self.first, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
         self.ids = np.zeros(1 << 14, np.uint32)
+        self.spelled, self.letters = np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
+        self.size, self.written = np.zeros(1 << 12, np.int32), 0
 
     @staticmethod
     def _slots(h: np.ndarray) -> np.ndarray:
@@ -110,9 +126,27 @@ class WordTable:
             left = left[~hit & (held != 0)]
         return out
 
-    def add(self, h: np.ndarray, coded: list[bytes]) -> None:
+    def store(self, coded: list[bytes], words: list[str]) -> np.ndarray:
+        """Numbers of new words, which no hash leads to yet."""
+        numbers = np.arange(self.count, self.count + len(words), dtype=np.int32)
+        for name, at, used, parts in (("ids", "first", "used", coded), ("letters", "spelled", "written", [w.encode("utf-32-le", "surrogatepass") for w in words])):
+            new = np.frombuffer(b"".join(parts), "<u4")
+            lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+            before = getattr(self, used)
+            setattr(self, name, _room(getattr(self, name), before + len(new)))
+            getattr(self, name)[before : before + len(new)] = new
+            setattr(self, at, _room(getattr(self, at), self.count + len(words)))
+            getattr(self, at)[numbers] = before + np.cumsum(lengths) - lengths
+            setattr(self, used, before + len(new))
+            count = "length" if name == "ids" else "size"
+            setattr(self, count, _room(getattr(self, count), self.count + len(words)))
+            getattr(self, count)[numbers] = lengths
+        self.count += len(words)
+        return numbers
+
+    def add(self, h: np.ndarray, coded: list[bytes], words: list[str]) -> None:
         """New words with distinct hashes."""
-        numbers = np.arange(self.count, self.count + len(h), dtype=np.int32)
+        numbers = self.store(coded, words)
         slot, left = self._slots(h), np.arange(len(h))
         while len(left):
             at = slot[left]
@@ -122,15 +156,19 @@ class WordTable:
             self.word[at[mine]] = numbers[left[mine]]
             left = left[~mine]
             slot[left] = (slot[left] + 1) & ((1 << SLOT_BITS) - 1)
-        new = np.frombuffer(b"".join(coded), "<u4")
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        self.ids = _room(self.ids, self.used + len(new))
-        self.first, self.length = _room(self.first, self.count + len(h)), _room(self.length, self.count + len(h))
-        self.ids[self.used : self.used + len(new)] = new
-        self.first[self.count : self.count + len(h)] = self.used + np.cumsum(lengths) - lengths
-        self.length[self.count : self.count + len(h)] = lengths
-        self.count += len(h)
-        self.used += len(new)
+
+    def differing(self, words: np.ndarray, codes: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Places in words where the span of codes isn't spelled like the word."""
+        lengths = ends - first
+        wrong = self.size[words] != lengths
+        same = np.flatnonzero(~wrong)
+        lengths = lengths[same]
+        begins = np.cumsum(lengths) - lengths
+        at = np.arange(int(lengths.sum()))
+        there = codes[at + np.repeat(first[same] - begins, lengths)]
+        off = np.flatnonzero(self.letters[at + np.repeat(self.spelled[words[same]] - begins, lengths)] != there)
+        wrong[same[np.searchsorted(begins, off, "right") - 1]] = True
+        return np.flatnonzero(wrong)
 
     def gather(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after another, and where each word's begin (with the end of all)."""
@@ -233,18 +271,27 @@ class Bpe:
         return [blob[x:y] for x, y in pairwise(bounds)]
 
     def encode_plain(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts without special tokens."""
+        """Ids of texts without special tokens; long ones are cut where a token ends whatever surrounds it."""
         out: list[bytes] = []
         group: list[str] = []
+        counts: list[int] = []
         size = 0
         for text in [*texts, None]:
             if text is not None:
-                group.append(text)
-                size += len(text)
+                parts = cut_text(text)
+                if len(parts) > 1:
+                    out += self._encode_group(group) if group else []
+                    out += [x for p in parts for x in self._encode_group([p])]
+                    group, size = [], 0
+                else:
+                    group.append(text)
+                    size += len(text)
+                counts.append(len(parts))
             if group and (text is None or size >= CHUNK_CHARS):
                 out += self._encode_group(group)
                 group, size = [], 0
-        return out
+        ends = np.cumsum(counts).tolist() if counts else []
+        return [out[b - 1] if n == 1 else b"".join(out[b - n : b]) for n, b in zip(counts, ends)]
 
     def _encode_group(self, texts: list[str]) -> list[bytes]:
         joined = "\0".join(texts) + "\0"
@@ -268,8 +315,14 @@ class Bpe:
                 new = np.arange(len(h))
             fresh, at = np.unique(h[new], return_index=True)
             at = new[at]
-            known.add(fresh, self.encode_words([joined[a:b] for a, b in zip(first[at].tolist(), ends[at].tolist())]))
+            spelled = [joined[a:b] for a, b in zip(first[at].tolist(), ends[at].tolist())]
+            known.add(fresh, self.encode_words(spelled), spelled)
             words[new] = known.find(h[new])
+        wrong = known.differing(words, codes, first, ends)
+        if len(wrong):
+            spelled = [joined[a:b] for a, b in zip(first[wrong].tolist(), ends[wrong].tolist())]
+            place = {w: i for i, w in enumerate(dict.fromkeys(spelled))}
+            words[wrong] = known.store(self.encode_words(list(place)), list(place))[[place[w] for w in spelled]]
         ids, bounds = known.gather(words)
         stops = [0, *bounds[edge - np.arange(len(edge))].tolist()]
         blob = memoryview(ids.astype("<u4").tobytes())
@@ -290,7 +343,8 @@ class Bpe:
 
     def decode(self, ids: bytes) -> str:
         """Text of ids, special tokens included; bytes that aren't UTF-8 become U+FFFD."""
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        own, step = np.frombuffer(ids, "<u4"), 1 << 20
+        return b"".join(b"".join(map(self.pieces.__getitem__, own[a : a + step].tolist())) for a in range(0, len(own), step)).decode("utf-8", "replace")
 
 
 def _between(parts: list[str], number: int) -> list[str | int]:
