@@ -29,9 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where spark.checkpoint.dir is unset, as in tests."""
+    """The folder that driver and executors share; one of our own only where spark.checkpoint.dir is unset and Spark runs in
+    this one process, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

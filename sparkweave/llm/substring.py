@@ -5,22 +5,25 @@ positions whose remainder modulo PERIOD is in COVER. Every residue is a differen
 windows share an anchor at the same place inside both, whatever their positions. Steps:
 
 1. anchors are hashed, dealt to buckets by hash, and those that occur more than once are found;
-2. windows around such anchors are the only ones that can repeat; they are hashed whole (128 bits), and the earliest
-   occurrence (smallest document, then start) of each word sequence is found;
+2. windows around such anchors are the only ones that can repeat; their bytes are digested (BLAKE2b, 128 bits), and the
+   earliest occurrence (smallest document, then start) of each word sequence is found;
 3. words covered by a window around an anchor that isn't the earliest of its sequence are removed.
 
 Tasks send a bucket at most one anchor or window of a sequence (what a task holds twice is settled there), so a passage
 that half of all documents share puts no more on a bucket than there are tasks. Buckets hold packed arrays; their number
-follows the number of input partitions, so that of their rows is bounded. No pairs are made.
+follows the bytes of text, so that what one holds is bounded. No pairs are made.
 
-Null text has no words, texts with fewer than WINDOW words stay whole. A null doc_id comes before all others. Rows that
-repeat a doc_id count as the same document: their windows at the same start are not earlier than each other. Other
-columns are left aside.
+Null text has no words, texts with fewer than WINDOW words stay whole; long texts are hashed in blocks. A null doc_id comes
+before all others. Where identifiers repeat, a document is a (doc_id, text): those of one doc_id are ordered by a hash of
+their texts, and rows that repeat both are the same document, so their windows at the same start are not earlier than
+each other. Other columns are left aside; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import pairwise
 
 import numpy as np
@@ -40,19 +43,23 @@ ANCHOR = WINDOW - PERIOD + 1
 #: Entries that a task holds before it sends them to the buckets, and bytes of text it hashes at once.
 HELD = 2_000_000
 CHUNK = 2_000_000
+#: Bytes of text a bucket is meant for, and the fewest buckets.
+BUCKET, BUCKETS = 8_000_000, 16
 NO_ID = -(1 << 63)
 
 SINGLE, KNOWN, PASSED = 0, 1, 2
-PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("flags", pa.binary())])
-PACKED_SQL = "bucket int, keys binary, more binary, docs binary, places binary, flags binary"
-PLACE = pa.schema([("doc_id", pa.int64()), ("place", pa.int32())])
+WHITE = re.compile(rb"[\x20\x09-\x0D]+")
+PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("docs", pa.binary()), ("rows", pa.binary()), ("places", pa.binary()), ("flags", pa.binary())])
+PACKED_SQL = "bucket int, keys binary, more binary, docs binary, rows binary, places binary, flags binary"
+PLACE = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("place", pa.int32())])
+PLACE_SQL = "doc_id long, row long, place int"
 
 
 class Words:
     """The words of some texts end to end; doc: number of each word's text, first: the first word of each text."""
 
     def __init__(self, texts: list[bytes]):
-        joined = [b" ".join(t.split()) for t in texts]
+        joined = [WHITE.sub(b" ", t).strip(b" ") if len(t) > CHUNK else b" ".join(t.split()) for t in texts]
         self.text = b" ".join(t for t in joined if t)
         self.codes = np.frombuffer(self.text, np.uint8)
         blanks = np.flatnonzero(self.codes == 32)
@@ -61,12 +68,29 @@ class Words:
         self.ends = np.concatenate([blanks, np.full(some, len(self.text))])
         self.counts = np.array([t.count(b" ") + 1 if t else 0 for t in joined], np.int64)
         self.first = np.cumsum(self.counts) - self.counts
-        self.doc = np.repeat(np.arange(len(texts)), self.counts)
-        self.place = np.arange(len(self.starts)) - np.repeat(self.first, self.counts)
-        self.left = np.repeat(self.counts, self.counts) - self.place
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.counts)
+        self.place = (np.arange(len(self.starts)) - np.repeat(self.first, self.counts)).astype(np.int32)
+
+    def left(self, at: np.ndarray) -> np.ndarray:
+        """Words from each of those on to the end of its text."""
+        return self.counts[self.doc[at]] - self.place[at]
 
     def hashes(self, spans: SpanHashes, at: np.ndarray, length: int) -> np.ndarray:
-        return spans.spans(spans.sums(self.codes), self.starts[at], self.ends[at + length - 1])
+        """Of the spans of that many words at each of ascending words; only a block of the text is hashed at once."""
+        out, a = np.empty(len(at), np.uint64), 0
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(self.starts[at], self.starts[at[a]] + CHUNK)))
+            x, y = self.starts[at[a]], self.ends[at[b - 1] + length - 1]
+            out[a:b] = spans.spans(spans.sums(self.codes[x:y]), self.starts[at[a:b]] - x, self.ends[at[a:b] + length - 1] - x)
+            a = b
+        return out
+
+    def digests(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of the bytes of each span, as two numbers."""
+        text = self.text
+        found = b"".join([blake2b(text[a:b], digest_size=16).digest() for a, b in zip(self.starts[at].tolist(), self.ends[at + length - 1].tolist())])
+        both = np.frombuffer(found, "<u8").reshape(-1, 2)
+        return both[:, 0], both[:, 1]
 
 
 def chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -80,7 +104,7 @@ def chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
             start, size = i + 1, 0
 
 
-def dealt(buckets: int, h: np.ndarray, more: np.ndarray | None, docs: np.ndarray, places: np.ndarray, flags: np.ndarray, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
+def dealt(buckets: int, h: np.ndarray, more: np.ndarray | None, docs: np.ndarray, numbers: np.ndarray, places: np.ndarray, flags: np.ndarray, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Packed rows, one for each bucket that gets anything."""
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
@@ -88,7 +112,7 @@ def dealt(buckets: int, h: np.ndarray, more: np.ndarray | None, docs: np.ndarray
     for b, (x, y) in enumerate(pairwise(edges)):
         if x < y:
             at = order[x:y]
-            for name, value in (("bucket", b), ("keys", planes(h[at])), ("more", b"" if more is None else planes(more[at])), ("docs", planes(docs[at])), ("places", planes(places[at])), ("flags", flags[at].tobytes())):
+            for name, value in (("bucket", b), ("keys", planes(h[at])), ("more", b"" if more is None else planes(more[at])), ("docs", planes(docs[at])), ("rows", planes(numbers[at])), ("places", planes(places[at])), ("flags", flags[at].tobytes())):
                 rows[name].append(value)
     yield from cut(rows, PACKED)
 
@@ -98,11 +122,11 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def anchor_rows(buckets: int):
-    """For mapInArrow over (doc_id, text): anchors packed by bucket."""
+    """For mapInArrow over (doc_id, text, row): anchors packed by bucket."""
 
-    def sent(h: np.ndarray, docs: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def sent(h: np.ndarray, docs: np.ndarray, numbers: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(h, kind="stable")
-        h, docs, places = h[order], docs[order], places[order]
+        h, docs, numbers, places = h[order], docs[order], numbers[order], places[order]
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         alone = new & np.append(new[1:], True)
@@ -110,17 +134,18 @@ def anchor_rows(buckets: int):
         bucket = bucket_of(h, buckets)
         passed = flags == PASSED  # nothing more is to be found out about them: their bucket goes by document
         bucket[passed] = (docs[passed].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
-        yield from dealt(buckets, h, None, docs, places, flags, bucket)
+        yield from dealt(buckets, h, None, docs, numbers, places, flags, bucket)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans, held, size = SpanHashes(256), [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for a, b, texts in chunks(batch):
                 words = Words(texts)
-                at = np.flatnonzero(np.isin(words.place % PERIOD, COVER) & (words.left >= ANCHOR) & (words.counts[words.doc] >= WINDOW))
+                at = np.flatnonzero(np.isin(words.place % PERIOD, COVER))
+                at = at[(words.left(at) >= ANCHOR) & (words.counts[words.doc[at]] >= WINDOW)]
                 if len(at):
-                    held.append((words.hashes(spans, at, ANCHOR), ids[a:b][words.doc[at]], words.place[at].astype(np.int32)))
+                    held.append((words.hashes(spans, at, ANCHOR), ids[a:b][words.doc[at]], own[a:b][words.doc[at]], words.place[at]))
                     size += len(at)
                 if size >= HELD:
                     yield from sent(*map(np.concatenate, zip(*held)))
@@ -133,10 +158,10 @@ def anchor_rows(buckets: int):
 
 def repeated(table: pa.Table) -> pa.Table:
     """Of one bucket's anchors, those that occur more than once."""
-    h, docs, places, flags = (unplaned(table[c], k) for c, k in (("keys", "<u8"), ("docs", "<i8"), ("places", "<i4"), ("flags", "u1")))
+    h, docs, numbers, places, flags = (unplaned(table[c], k) for c, k in (("keys", "<u8"), ("docs", "<i8"), ("rows", "<i8"), ("places", "<i4"), ("flags", "u1")))
     passed = flags == PASSED
-    out = [(docs[passed], places[passed])]
-    h, docs, places, flags = h[~passed], docs[~passed], places[~passed], flags[~passed]
+    out = [(docs[passed], numbers[passed], places[passed])]
+    h, docs, numbers, places, flags = (x[~passed] for x in (h, docs, numbers, places, flags))
     order = np.argsort(h, kind="stable")
     h = h[order]
     if len(h):
@@ -144,7 +169,7 @@ def repeated(table: pa.Table) -> pa.Table:
         new[1:] = h[1:] != h[:-1]
         group = np.cumsum(new) - 1
         known = np.bincount(group, weights=1 + (flags[order] == KNOWN)) > 1
-        out.append((docs[order][known[group]], places[order][known[group]]))
+        out.append(tuple(x[order][known[group]] for x in (docs, numbers, places)))
     return pa.table([np.concatenate(x) for x in zip(*out)], schema=PLACE)
 
 
@@ -167,21 +192,22 @@ def lists(column: pa.Array) -> list[np.ndarray]:
 
 
 def window_rows(buckets: int):
-    """For mapInArrow over (doc_id, text, found): windows packed by bucket, the earliest of each sequence in the task."""
+    """For mapInArrow over (doc_id, text, row, found): windows packed by bucket, the earliest of each sequence in the task."""
 
-    def sent(h: np.ndarray, more: np.ndarray, docs: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
-        h, more, docs, places = earliest(h, more, docs, places)
-        yield from dealt(buckets, h, more, docs, places, np.zeros(len(h), np.uint8), bucket_of(h, buckets))
+    def sent(*own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        h, more, docs, numbers, places = earliest(*own)
+        yield from dealt(buckets, h, more, docs, numbers, places, np.zeros(len(h), np.uint8), bucket_of(h, buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, held, size = SpanHashes(256, 11), SpanHashes(256, 12), [], 0
+        held, size = [], 0
         for batch in batches:
-            ids, found = batch.column(0).to_numpy(zero_copy_only=False), lists(batch.column(2))
+            ids, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            found = lists(batch.column(3))
             for a, b, texts in chunks(batch):
                 words = Words(texts)
                 at = candidate_starts(words, found[a:b])
                 if len(at):
-                    held.append((words.hashes(one, at, WINDOW), words.hashes(two, at, WINDOW), ids[a:b][words.doc[at]], words.place[at].astype(np.int32)))
+                    held.append((*words.digests(at, WINDOW), ids[a:b][words.doc[at]], own[a:b][words.doc[at]], words.place[at]))
                     size += len(at)
                 if size >= HELD:
                     yield from sent(*map(np.concatenate, zip(*held)))
@@ -192,26 +218,26 @@ def window_rows(buckets: int):
     return released(run)
 
 
-def earliest(h: np.ndarray, more: np.ndarray, docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The smallest (doc, place) of each (h, more)."""
-    order = np.lexsort((places, docs, more, h))
+def earliest(h: np.ndarray, more: np.ndarray, docs: np.ndarray, numbers: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The smallest (doc, row, place) of each (h, more)."""
+    order = np.lexsort((places, numbers, docs, more, h))
     h, more = h[order], more[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (more[1:] != more[:-1])
-    return h[new], more[new], docs[order][new], places[order][new]
+    return h[new], more[new], docs[order][new], numbers[order][new], places[order][new]
 
 
 def firsts(table: pa.Table) -> pa.Table:
     """Of one bucket's windows, the earliest of each sequence."""
-    _, _, docs, places = earliest(*(unplaned(table[c], k) for c, k in (("keys", "<u8"), ("more", "<u8"), ("docs", "<i8"), ("places", "<i4"))))
-    return pa.table([docs, places], schema=PLACE)
+    found = earliest(*(unplaned(table[c], k) for c, k in (("keys", "<u8"), ("more", "<u8"), ("docs", "<i8"), ("rows", "<i8"), ("places", "<i4"))))
+    return pa.table(list(found[2:]), schema=PLACE)
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
 def cut_out(whole: bool):
-    """For mapInArrow over (doc_id, text, found, first, others): the words that stay, and the others as they are."""
+    """For mapInArrow over (doc_id, text, found, first, others...): the words that stay, and the others as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,18 +279,22 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), whole: bool = F
 
     carry names further columns to keep; with whole, a text that loses nothing stays as it is.
     """
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"), *carry)
+    text = F.col(text_col)
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"), F.struct(*carry).alias("others") if carry else F.lit(None).cast("struct<none:int>").alias("others"))
     small_batches(docs.sparkSession)
-    buckets = max(64, 2 * docs.rdd.getNumPartitions())
-    anchors = own.select("doc_id", "text").mapInArrow(anchor_rows(buckets), PACKED_SQL)
-    found = anchors.groupBy("bucket").applyInArrow(repeated, "doc_id long, place int")
-    found = written(found.groupBy("doc_id").agg(F.collect_list("place").alias("found")), "anchors")
-    windows = own.join(found, "doc_id").select("doc_id", "text", "found").mapInArrow(window_rows(buckets), PACKED_SQL)
-    first = windows.groupBy("bucket").applyInArrow(firsts, "doc_id long, place int").groupBy("doc_id").agg(F.collect_list("place").alias("first"))
-    marked = own.join(found.join(first, "doc_id", "left"), "doc_id", "left").select("doc_id", "text", "found", "first", *carry)
-    schema = T.StructType([*T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept string"), *(docs.schema[c] for c in carry)])
-    out = marked.mapInArrow(cut_out(whole), schema)
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    again = own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    own = own.withColumn("row", F.lit(0).cast("long") if again.isEmpty() else F.xxhash64(F.coalesce("text", F.lit(""))))
+    buckets, by = max(BUCKETS, -(-size // BUCKET)), ["doc_id", "row"]
+    anchors = own.select("doc_id", "text", "row").mapInArrow(anchor_rows(buckets), PACKED_SQL)
+    found = anchors.groupBy("bucket").applyInArrow(repeated, PLACE_SQL)
+    found = written(found.groupBy(*by).agg(F.collect_set("place").alias("found")), "anchors")
+    windows = own.join(found, by).select("doc_id", "text", "row", "found").mapInArrow(window_rows(buckets), PACKED_SQL)
+    first = windows.groupBy("bucket").applyInArrow(firsts, PLACE_SQL).groupBy(*by).agg(F.collect_set("place").alias("first"))
+    marked = own.join(found.join(first, by, "left"), by, "left").select("doc_id", "text", "found", "first", "others")
+    schema = T.StructType([*T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept string"), marked.schema["others"]])
+    out = marked.mapInArrow(cut_out(whole), schema).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    return out.select("doc_id", "n_words", "n_removed", "kept", *(F.col("others")[c].alias(c) for c in carry))
 
 
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

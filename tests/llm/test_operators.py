@@ -60,6 +60,35 @@ def test_bpe_against_the_library(spark, docs):
     assert tokens.encode(docs.limit(0), tokens.vocabulary()).count() == 0
 
 
+def thue_morse(n: int, a: str = "a", b: str = "b") -> str:
+    """Word whose polynomial hash modulo a power of two equals that of its complement, whatever the base."""
+    s = a
+    while len(s) < n:
+        s += s.translate(str.maketrans({a: b, b: a}))
+    return s
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_bpe_tells_words_of_one_hash_apart(n):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    own, mine = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), bpe.load(tokens.vocabulary())
+    texts = [f"x {thue_morse(n)} {thue_morse(n, 'b', 'a')}", thue_morse(n, "b", "a"), thue_morse(n), f"{thue_morse(n)}a"]
+    for _ in range(2):
+        for got, want in zip(mine.encode(texts), own.encode_batch(texts, add_special_tokens=False)):
+            assert np.frombuffer(got, "<u4").tolist() == want.ids and mine.decode(got) == own.decode(want.ids, skip_special_tokens=False)
+
+
+def test_bpe_cuts_long_texts_only_between_tokens(monkeypatch):
+    mine = bpe.load(tokens.vocabulary())
+    random.seed(13)
+    texts = ["".join(random.choice("ab '\n\t s1.\u00a0é") for _ in range(3000)) for _ in range(20)] + ["x" * 3000, " " * 3000]
+    whole = mine.encode(texts)
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 40)
+    assert mine.encode(texts) == whole and any(len(bpe.cut_text(t)) > 20 for t in texts)
+
+
 def brute_exact(rows):
     groups: dict[str, list] = {}
     for i, t in rows:
@@ -159,6 +188,36 @@ def test_substring_repeats_anywhere(spark, monkeypatch):
     assert substring.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_substring_tells_windows_of_one_hash_apart(spark):
+    rest = " ".join(f"w{i}" for i in range(19))
+    rows = {1: f"{thue_morse(4096)} {rest}", 2: f"{thue_morse(4096, 'b', 'a')} {rest}", 3: f"{thue_morse(4096)} {rest}"}
+    got = {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
+
+
+def test_substring_with_repeated_and_null_identifiers(spark):
+    random.seed(10)
+    a, z, n = text(30), text(30), text(30)
+    rows = [(1, a), (5, z), (5, a), (9, z), (9, z), (None, n), (None, n), (None, f"x {z}"), (7, n), (3, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit(1).alias("found"), F.lit(2).alias("first"), F.lit(3).alias("row"), F.lit(4).alias("others"))
+    got = sorted(substring.remove_repeats(df, carry=("found", "first", "row", "others")).collect(), key=str)
+    assert {tuple(r)[4:] for r in got} == {(1, 2, 3, 4)}
+    removed = sorted(((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in got))
+    assert removed == sorted([(1, 30, 0), (5, 30, 30), (5, 30, 30), (9, 30, 30), (9, 30, 30), (0, 30, 0), (0, 30, 0), (0, 31, 0), (7, 30, 30), (3, 0, 0), (3, 0, 0)])
+
+
+def test_long_words_arrays_are_hashed_in_blocks(monkeypatch):
+    random.seed(3)
+    words = substring.Words([text(400).encode(), text(3).encode(), text(900).encode()])
+    at = np.flatnonzero(words.left(np.arange(len(words.starts))) >= 8)
+    spans = substring.SpanHashes(256)
+    whole = words.hashes(spans, at, 8)
+    monkeypatch.setattr(substring, "CHUNK", 100)
+    assert (words.hashes(spans, at, 8) == whole).all()
+    again = substring.Words([b" a  b\tc " * 50, b"", b" \n"])
+    assert again.text == b" ".join([b"a b c"] * 50) and again.counts.tolist() == [150, 0, 0]
+
+
 def test_difference_cover():
     assert {(a - b) % substring.PERIOD for a in substring.COVER for b in substring.COVER} == set(range(substring.PERIOD))
 
