@@ -1,129 +1,205 @@
 """Language-model scoring by context-tree weighting over bytes.
 
 The model predicts lower-cased texts with words joined by one blank and closed by an end byte, a byte as eight binary
-decisions (its bits, high ones first). A context is the string of up to DEPTH bytes before; every context and bit prefix
-has a Krichevsky-Trofimov estimator over the training texts, and context-tree weighting mixes those of all depths with the
-weights that the training texts give them.
+decisions (its bits, high ones first). A context is the string of up to DEPTH bytes before; every context that occurs and
+every bit prefix has a Krichevsky-Trofimov estimator over the training texts, and context-tree weighting mixes those of all
+depths with the weights that the training texts give them. No context is left out: the model grows with the input.
 
-Training gathers the counts of all (DEPTH + 1)-byte strings in one aggregation and rolls them up to shorter contexts. A
-context is a node of its own if it makes up at least one in NODES of all training bytes; what its rarer extensions hold
-forms one further child. So a depth has NODES nodes at most, whatever the input, and the model (a table of next states
-and one of log probabilities, 256 entries a node each) has a proven size and is sent to all executors.
+So the tree is a table dealt to shards by the last TOP bytes of the context, and texts ask it instead of holding it:
 
-The base score is that of single words. Words that make up one in HOT_WORDS of all tokens are looked up in a table of at
-most so many; the counts of the others come by a join on the word.
+1. texts are cut into blocks of about BLOCK bytes; a block lists the distinct strings of DEPTH + 1 bytes (a context and the
+   byte after it) and the distinct words in it, with their training counts (0 for what only held-out texts have);
+2. strings and words meet in buckets by hash, where their counts are added up: a string comes once from each block, however
+   common it is;
+3. each shard builds its branch of the tree and sums it up for the few nodes above (contexts of fewer than TOP bytes, 65,536
+   at most), whose weights are made on the driver and sent back; then it gives each of its strings a log probability;
+4. each block gets back the values of its strings and the counts of its words, and adds them up text by text.
+
+Strings that no training text has are in the table with count 0, which changes no estimate of others: their chance is what
+the longest known contexts leave them.
 
 Null text counts as empty: one end token. A null doc_id is a training text. Rows that repeat count as often as they
-occur. Other columns are left aside. Without training texts every count is 0 and the model is uniform.
+occur. Other columns are left aside. Without training texts every count is 0 and the model is uniform. Long texts are
+worked on in slices; only their bytes are held whole.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweave.llm._common import as_bytes, clean_id, cut, pieces, planes, released, table, unplaned, written
 
 DEPTH = 6
-NODES = 65_536
-HOT_WORDS = 65_536
+#: Bytes of a context by which shards are dealt; above them the tree has at most 256 ** (TOP - 1) contexts a depth.
+TOP = 3
+#: Bytes of text of a block, bytes worked on at once, bytes of text a bucket is meant for, and the fewest buckets.
+BLOCK, SLICE, BUCKET, BUCKETS = 16_000_000, 4_000_000, 8_000_000, 16
 #: The byte that ends a text; it is in no UTF-8 text.
 END = 0xFF
-#: Distinct words or strings that a task holds before it hands on its counts.
-HELD = 1_000_000
+WHITE = re.compile(rb"[\x20\x09-\x0D]")
+#: What the rows of a block are: strings and words that it asks for, what it is told of them, and its texts.
+STRINGS, WORDS, TEXTS = range(3)
+BLOCKS = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+BLOCKS_SQL = "block long, kind int, bucket int, a binary, b binary, c binary"
 
 
 def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(False))
 
 
-def stream(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of texts given as words, each after depth end bytes and before one, and where each text's own begin."""
-    pad = bytes([END]) * depth
-    own = [b" ".join(t) + b"\xff" for t in texts]
-    lengths = np.fromiter(map(len, own), np.int64, len(own))
-    begins = np.cumsum(lengths + depth) - lengths
-    return np.frombuffer(b"".join(x for t in own for x in (pad, t)), np.uint8), begins
-
-
-def own_bytes(n: int, begins: np.ndarray, depth: int) -> np.ndarray:
-    """The places of bytes that are not padding."""
-    real = np.ones(n, bool)
-    for d in range(1, depth + 1):
-        real[begins - d] = False
-    return np.flatnonzero(real)
+def word_lists(text: bytes, most: int = SLICE // 4) -> Iterator[list[bytes]]:
+    """The words of a text, those of a long one in several lists."""
+    at = 0
+    while len(text) - at > 2 * most and (found := WHITE.search(text, at + most)):
+        yield text[at : found.start()].split()
+        at = found.end()
+    yield text[at:].split()
+
+
+def codes(data: np.ndarray, lengths: np.ndarray, depth: int, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, end, codes, first codes): strings of depth + 1 bytes (the last byte lowest) that end at each byte of some
+    texts, and where each text's begin. data has depth end bytes before each text; a long text comes in several turns."""
+    begins = np.cumsum(lengths + depth) - lengths - depth
+    upto = np.cumsum(lengths)
+    a = 0
+    while a < len(lengths):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] - lengths[a] + most, "right")))
+        whole = lengths[a:b]
+        parts = [(0, int(begins[b - 1] - begins[a] + whole[-1]))] if b > a + 1 or whole[0] <= most else pairwise([*range(0, int(whole[0]), most), int(whole[0])])
+        for x, y in parts:
+            own = data[begins[a] + x : begins[a] + y + depth]
+            code = np.zeros(y - x, np.int64)
+            for d in range(depth, -1, -1):
+                code <<= 8
+                code |= own[depth - d : len(own) - d]
+            if b > a + 1:  # without those that end in what stands before a text
+                code = code[np.arange(int(whole.sum())) + np.repeat(depth * np.arange(b - a), whole)]
+            yield a, b, code, np.cumsum(whole) - whole
+        a = b
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts[order], first)
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts
+
+
+def dealt(strings: np.ndarray, buckets: int, of: np.ndarray | None = None) -> list[tuple[int, np.ndarray]]:
+    """(bucket, places) of strings by a hash of them, or of what is given instead."""
+    by = (strings if of is None else of).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bucket = ((by >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+    return [(b, order[x:y]) for b, (x, y) in enumerate(pairwise(edges)) if x < y]
+
+
+def suffix(strings: np.ndarray, n: int) -> np.ndarray:
+    """The last n bytes of the contexts."""
+    return strings >> 8 & ((1 << 8 * n) - 1)
 
 
-PACKED = pa.schema([("bucket", pa.int32()), ("strings", pa.binary()), ("counts", pa.binary())])
+def row(**own) -> dict[str, list]:
+    return {f.name: [own.get(f.name)] for f in BLOCKS}
 
 
-def string_counts(depth: int, buckets: int):
-    """For mapInArrow over (doc_id, text): counts of strings of depth + 1 bytes (the last byte lowest), packed by bucket."""
+def as_blocks(depth: int, buckets: int):
+    """For mapInArrow over (doc_id, text, held_out): the texts of blocks, packed, and what they ask for."""
 
-    def sent(strings: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        bucket = (strings.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
-        some = [(b, order[x:y]) for b, (x, y) in enumerate(pairwise(edges)) if x < y]
-        yield from cut({"bucket": [b for b, _ in some], "strings": [planes(strings[at]) for _, at in some], "counts": [planes(counts[at]) for _, at in some]}, PACKED)
+    def sent(block: int, strings: list[tuple[np.ndarray, np.ndarray]], words: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+        keys, counts = summed(*map(np.concatenate, zip(*strings)))
+        for bucket, at in dealt(keys, buckets):
+            yield from cut(row(block=block, kind=STRINGS, bucket=bucket, a=planes(keys[at]), b=planes(counts[at])), BLOCKS)
+        known = list(words)
+        by = np.fromiter((hash_of(w) for w in known), np.int64, len(known))
+        n = np.fromiter(words.values(), np.int64, len(known))
+        for bucket, at in dealt(by, buckets):
+            yield from cut(row(block=block, kind=WORDS, bucket=bucket, a=b" ".join([known[i] for i in at.tolist()]), b=planes(n[at])), BLOCKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        block, size = TaskContext.get().partitionId() << 32, 0
+        strings: list[tuple[np.ndarray, np.ndarray]] = []
+        words: dict[bytes, int] = {}
+        pad = bytes([END]) * depth
         for batch in batches:
             for piece in pieces(batch):
-                data, begins = stream([t.lower().split() for t in as_bytes(piece.column(1))], depth)
-                at = own_bytes(len(data), begins, depth)
-                code = np.zeros(len(at), np.int64)
-                for d in range(depth, -1, -1):
-                    code = code << 8 | data[at - d]
-                code.sort()
-                first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-                held.append((code[first], np.diff(np.append(first, len(code)))))
-                size += len(first)
-                if size > 3 * HELD:
-                    held = [summed(*map(np.concatenate, zip(*held)))]
-                    size = len(held[0][0])
-                    if size > HELD:
-                        yield from sent(*held.pop())
-                        size = 0
-        if held:
-            yield from sent(*summed(*map(np.concatenate, zip(*held))))
+                texts, held = as_bytes(piece.column(1)), piece.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                own = []
+                for text, apart in zip(texts, held.tolist()):
+                    parts = []
+                    for some in word_lists(text.lower()):
+                        parts.append(b" ".join(some))
+                        if apart:
+                            for w in some:
+                                words.setdefault(w, 0)
+                        else:
+                            for w in some:
+                                words[w] = words.get(w, 0) + 1
+                    own.append(b" ".join(filter(None, parts)) + b"\xff")
+                for apart in (False, True):
+                    mine = [t for t, h in zip(own, held.tolist()) if h == apart]
+                    data = np.frombuffer(b"".join(x for t in mine for x in (pad, t)), np.uint8)
+                    for _, _, code, _ in codes(data, np.fromiter(map(len, mine), np.int64, len(mine)), depth):
+                        code.sort()
+                        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+                        n = np.diff(np.append(first, len(code)))
+                        strings.append((code[first], 0 * n if apart else n))
+                ids = piece.column(0)
+                about = np.rec.fromarrays([ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), held, np.fromiter(map(len, own), np.int64, len(own))], dtype=ABOUT)
+                yield from cut(row(block=block, kind=TEXTS, a=about.tobytes(), b=b"".join(x for t in own for x in (pad, t))), BLOCKS)
+                size += sum(map(len, own))
+                if sum(len(k) for k, _ in strings) > SLICE:
+                    strings = [summed(*map(np.concatenate, zip(*strings)))]
+                if size > BLOCK:
+                    yield from sent(block, strings, words)
+                    block, size, strings, words = block + 1, 0, [], {}
+        if size:
+            yield from sent(block, strings, words)
 
     return released(run)
 
 
-def merged(own: pa.Table) -> pa.Table:
-    """Of one bucket, the strings and their counts over all tasks."""
-    strings, counts = (unplaned(own[c], "<i8") for c in ("strings", "counts"))
-    return pa.table(summed(strings, counts), schema=pa.schema([("string", pa.int64()), ("n", pa.int64())]))
+#: What is kept of a text beside its bytes.
+ABOUT = np.dtype([("doc_id", "<i8"), ("there", "?"), ("held_out", "?"), ("length", "<i8")])
+
+
+def hash_of(word: bytes) -> int:
+    """A number from the bytes of a word, the same in every process."""
+    return int.from_bytes(word[:4] + word[-3:] + bytes([len(word) & 255]), "little", signed=True)
+
+
+def add_words(own: pa.Table) -> pa.Table:
+    """Of one bucket: for each block the counts of its words over all; and once how many tokens and words these are."""
+    total: dict[bytes, int] = {}
+    parts = [x.split(b" ") for x in own["a"].to_pylist()]
+    counts = [unplaned(pa.chunked_array([[x]]), "<i8").tolist() for x in own["b"].to_pylist()]
+    for words, n in zip(parts, counts):
+        for w, k in zip(words, n):
+            total[w] = total.get(w, 0) + k
+    back = [planes(np.fromiter(map(total.__getitem__, words), np.int64, len(words))) for words in parts]
+    n = np.zeros((2, own.num_rows), np.int64)
+    n[:, 0] = sum(total.values()), sum(k > 0 for k in total.values())
+    return pa.table({"block": own["block"], "a": own["a"], "b": pa.array(back, pa.binary()), "tokens": n[0], "distinct": n[1]})
+
+
+def add_strings(shards: int, top: int):
+    """For applyInArrow over one bucket: its strings and their counts over all blocks, packed by shard."""
 
+    def run(own: pa.Table) -> pa.Table:
+        strings, counts = summed(unplaned(own["a"], "<i8"), unplaned(own["b"], "<i8"))
+        some = dealt(strings, shards, suffix(strings, top))
+        return pa.table({"shard": pa.array([s for s, _ in some], pa.int32()), "strings": pa.array([planes(strings[at]) for _, at in some], pa.binary()), "counts": pa.array([planes(counts[at]) for _, at in some], pa.binary())})
 
-def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (doc_id, text): counts of words; the empty word stands for the end of a text."""
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-    held: Counter = Counter()
-    for batch in batches:
-        for text in as_bytes(batch.column(1)):
-            held.update(text.lower().split())
-            held[b""] += 1
-        if len(held) > HELD:
-            yield from cut({"word": list(held), "n": list(held.values())}, schema)
-            held.clear()
-    yield from cut({"word": list(held), "n": list(held.values())}, schema)
+    return run
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -135,181 +211,243 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) - np.log(shift)
 
 
-def log_kt(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Logarithm of the KT probability of that many zeros and ones."""
-    return log_gamma(zero + 0.5) + log_gamma(one + 0.5) - log_gamma(zero + one + 1.0) - np.log(np.pi)
+SMALL = np.arange(4096.0)
+OF_SMALL = {0.5: log_gamma(SMALL + 0.5), 1.0: log_gamma(SMALL + 1)}
 
 
-def bit_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at each of the 255 bit prefixes (in heap order) of rows of 256 byte counts."""
-    zero, one = [], []
-    for level in range(8):
-        parts = counts.reshape(len(counts), 1 << level, 2, -1).sum(3)
-        zero.append(parts[:, :, 0])
-        one.append(parts[:, :, 1])
-    return np.concatenate(zero, 1).astype(float), np.concatenate(one, 1).astype(float)
+def log_factorial(n: np.ndarray, more: float) -> np.ndarray:
+    """log_gamma(n + more) for whole n, mostly small."""
+    out = OF_SMALL[more][np.minimum(n, len(SMALL) - 1).astype(np.int64)]
+    large = np.flatnonzero(n >= len(SMALL))
+    out[large] = log_gamma(n[large] + more)
+    return out
 
 
-def byte_logs(ones: np.ndarray) -> np.ndarray:
-    """log10 probabilities of all bytes from those of a one at each bit prefix."""
-    out = np.zeros((len(ones), 1))
-    for level in range(8):
-        p = ones[:, (1 << level) - 1 : (2 << level) - 1]
-        out = np.stack([out + np.log10(1 - p), out + np.log10(p)], 2).reshape(len(ones), -1)
-    return out.astype(np.float32)
+def log_kt(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Logarithm of the KT probability of that many zeros and ones."""
+    return log_factorial(zero, 0.5) + log_factorial(one, 0.5) - log_factorial(zero + one, 1.0) - np.log(np.pi)
 
 
 class Level:
-    """Contexts of one depth, ascending, and the counts of the bytes after them, sparse and ordered by context."""
-
-    def __init__(self, keys: np.ndarray, row: np.ndarray, byte: np.ndarray, n: np.ndarray):
-        order = np.argsort(row, kind="stable")
-        self.keys, self.row, self.byte, self.n = keys, row[order], byte[order], n[order]
-
-    def dense(self, a: int, b: int) -> np.ndarray:
-        """Counts of all bytes after contexts a to b."""
-        x, y = np.searchsorted(self.row, [a, b])
-        out = np.zeros((b - a, 256), np.int64)
-        np.add.at(out, (self.row[x:y] - a, self.byte[x:y]), self.n[x:y])
-        return out
-
-
-def blocks(n: int, step: int = 2048) -> list[tuple[int, int]]:
-    return [(a, min(a + step, n)) for a in range(0, n, step)]
-
-
-class Tree:
-    """States (nodes of the context tree, the root first): next state by the byte further back, log10 of the next byte."""
-
-    def __init__(self, levels: list[Level]):
-        sizes = [len(v.keys) for v in levels]
-        base = np.cumsum([0, *sizes])
-        self.depth = len(levels) - 1
-        self.next = np.full((int(base[-1]), 256), -1, np.int32)
-        parents: list[np.ndarray] = [np.zeros(0, np.int64)]
-        for d in range(1, len(levels)):
-            keys = levels[d].keys
-            up = np.searchsorted(levels[d - 1].keys, keys & ((1 << 8 * (d - 1)) - 1))
-            parents.append(up)
-            self.next[base[d - 1] + up, keys >> 8 * (d - 1)] = base[d] + np.arange(len(keys))
-        # For each depth: the chance of a one at each bit prefix by the node's own counts and by those it starts from, and
-        # the weight of its own estimate against that of its children (infinite for a leaf).
-        own, start, ratio = ([np.zeros((n, 255), np.float32) for n in sizes] for _ in range(3))
-        below = np.zeros((0, 255))
-        for d in range(len(levels) - 1, -1, -1):
-            inner, kids = np.zeros(sizes[d], bool), np.zeros((sizes[d], 255))
-            held = None
-            if d < self.depth and sizes[d + 1]:
-                up, kid = parents[d + 1], levels[d + 1]
-                inner[up] = True
-                np.add.at(kids, up, below)
-                held = Level(levels[d].keys, up[kid.row], kid.byte, kid.n)
-            below = np.zeros((sizes[d], 255))
-            for a, b in blocks(sizes[d]):
-                counts = levels[d].dense(a, b)
-                zero, one = bit_counts(counts)
-                alone = log_kt(zero, one)
-                own[d][a:b] = start[d][a:b] = (one + 0.5) / (zero + one + 1)
-                ratio[d][a:b] = np.inf
-                below[a:b] = alone
-                at = np.flatnonzero(inner[a:b])
-                if len(at):
-                    zero, one = bit_counts((counts - held.dense(a, b))[at])
-                    apart = kids[a:b][at] + log_kt(zero, one)
-                    start[d][a + at] = (one + 0.5) / (zero + one + 1)
-                    ratio[d][a + at] = np.exp(np.clip(alone[at] - apart, -60, 60))
-                    below[a + at] = np.logaddexp(alone[at], apart) - np.log(2)
-        del below, kids
-        self.logs = np.empty((int(base[-1]), 256), np.float32)
-        for d in range(len(levels)):
-            for a, b in blocks(sizes[d]):
-                chance, at = start[d][a:b].astype(float), np.arange(a, b)
-                for up in range(d, -1, -1):
-                    weight = np.minimum(ratio[up][at], 1e30)
-                    chance = np.where(np.isinf(ratio[up][at]), chance, (weight * own[up][at] + chance) / (weight + 1))
-                    at = parents[up][at] if up else at
-                self.logs[base[d] + a : base[d] + b] = byte_logs(chance)
-
-    def score(self, texts: list[list[bytes]], group: int = 64) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each text, and its bytes; group: texts at once, so that what they need stays in cache."""
-        parts = [self._score(texts[a : a + group]) for a in range(0, len(texts), group)]
-        return np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts])
-
-    def _score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        data, begins = stream(texts, self.depth)
-        at = own_bytes(len(data), begins, self.depth)
-        data = data.astype(np.int32)
-        step = self.next.ravel()
-        state = np.zeros(len(at), np.int32)
-        going, place, now = np.arange(len(at)), at, state
-        for d in range(1, self.depth + 1):
-            then = step.take(now << 8 | data.take(place - d))
-            ok = np.flatnonzero(then >= 0)
-            going, place, now = going.take(ok), place.take(ok), then.take(ok)
-            state[going] = now
-        logs = self.logs.ravel().take(state << 8 | data.take(at)).astype(float)
-        firsts = begins - self.depth * np.arange(1, len(begins) + 1)
-        return np.add.reduceat(logs, firsts), np.diff(np.append(firsts, len(logs)))
-
-
-def train(docs: DataFrame, depth: int = DEPTH, nodes: int = NODES) -> Tree:
-    """The tree of docs (doc_id, text); at most nodes contexts a depth and 256 counts each come to the driver."""
-    buckets = max(64, 2 * docs.rdd.getNumPartitions())
-    packed = docs.mapInArrow(string_counts(depth, buckets), "bucket int, strings binary, counts binary")
-    level = written(packed.groupBy("bucket").applyInArrow(merged, "string long, n long"), "strings")
-    total = level.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-total // nodes))
-    levels: list[Level] = []
-    for d in range(depth, -1, -1):
-        if d < depth:
-            level = written(level.groupBy(F.col("string").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("string")).agg(F.sum("n").alias("n")), "strings")
-        by = F.shiftrightunsigned("string", 8)
-        kept = level.groupBy(by.alias("context")).agg(F.sum("n").alias("all")).where(F.col("all") >= least).select("context")
-        own = level.select(by.alias("context"), F.col("string").bitwiseAND(F.lit(255)).cast("int").alias("byte"), "n").join(F.broadcast(kept), "context").toPandas()
-        keys, row = np.unique(own["context"].to_numpy(np.int64), return_inverse=True)
-        levels.append(Level(keys if d or len(keys) else np.zeros(1, np.int64), row, own["byte"].to_numpy(np.int64), own["n"].to_numpy(np.int64)))
-    return Tree(levels[::-1])
-
-
-def score(docs: DataFrame, held: Column | None = None, depth: int = DEPTH, nodes: int = NODES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
-    spark = docs.sparkSession
-    own = clean_id(docs, id_col, text_col).select("doc_id", F.col(text_col).alias("text"))
-    held = held_out(F.col("doc_id")) if held is None else held
-    learn = own.where(~held)
-    vocab = written(learn.mapInArrow(word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    all_tokens, distinct = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    hot = vocab.where(F.col("n") >= max(1, -(-all_tokens // HOT_WORDS)))
-    few = hot.toPandas()  # HOT_WORDS at most
-    few = spark.sparkContext.broadcast(dict(zip(map(bytes, few["word"]), few["n"].tolist())))
-    tree = spark.sparkContext.broadcast(train(learn, depth, nodes))
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())])))])
+    """The nodes of one depth: a key is a context and, in its lowest byte, a bit prefix (with a one before it).
+
+    kids: the logarithm of the children's weighted probabilities, multiplied; None for the deepest nodes."""
+
+    def __init__(self, keys: np.ndarray, zero: np.ndarray, one: np.ndarray, kids: np.ndarray | None = None):
+        self.keys, self.zero, self.one = keys, zero, one
+        alone = log_kt(zero, one)
+        self.own = (one + 0.5) / (zero + one + 1)
+        self.weighted = alone if kids is None else np.logaddexp(alone, kids) - np.log(2)
+        self.share = np.ones_like(alone) if kids is None else 1 / (1 + np.exp(np.clip(kids - alone, -60, 60)))
+
+    def above(self, depth: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Keys of the nodes of that depth above these, the number of each one's, and the counts and kids to make them of."""
+        keys, up = np.unique(self.keys & ((1 << 8 * (depth + 1)) - 1), return_inverse=True)
+        return keys, up, tuple(np.bincount(up, x, len(keys)) for x in (self.zero, self.one, self.weighted))
+
+    def below(self, part: np.ndarray, so_far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What of a chance of one the children decide, and what is decided above them; the same for these nodes is given."""
+        return part * (1 - self.share), so_far + part * self.share * self.own
+
+
+class Branch:
+    """The tree of some strings from the deepest contexts up to those of top bytes."""
+
+    def __init__(self, strings: np.ndarray, counts: np.ndarray, depth: int, top: int):
+        byte = strings & 255
+        steps = np.arange(8)
+        self.bits = (byte[:, None] >> (7 - steps) & 1).astype(bool)
+        keys = (strings >> 8 << 8)[:, None] | 1 << steps | byte[:, None] >> (8 - steps)
+        keys, self.at = np.unique(keys.ravel(), return_inverse=True)
+        n = np.repeat(counts, 8).astype(float)
+        one = np.bincount(self.at, n * self.bits.ravel(), len(keys))
+        self.levels, self.up = [Level(keys, np.bincount(self.at, n, len(keys)) - one, one)], []
+        for d in range(depth - 1, top - 1, -1):
+            keys, up, own = self.levels[-1].above(d)
+            self.up.append(up)
+            self.levels.append(Level(keys, *own))
+
+    def logs(self, part: np.ndarray, so_far: np.ndarray) -> np.ndarray:
+        """log10 probability of each string's last byte; given what the highest nodes here decide and what is decided above."""
+        for level, up in zip(self.levels[:0:-1], self.up[::-1]):
+            part, so_far = (x[up] for x in level.below(part, so_far))
+        chance = (so_far + part * self.levels[0].own)[self.at].reshape(-1, 8)
+        return np.log10(np.where(self.bits, chance, 1 - chance)).sum(1)
+
+
+def crown(keys: np.ndarray, zero: np.ndarray, one: np.ndarray, kids: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the nodes of top - 1 bytes: keys, what their children decide of a chance, and what is decided above those."""
+    levels, ups = [Level(keys, zero, one, kids)], []
+    for d in range(top - 2, -1, -1):
+        keys, up, own = levels[-1].above(d)
+        ups.append(up)
+        levels.append(Level(keys, *own))
+    part, so_far = np.ones(len(levels[-1].keys)), np.zeros(len(levels[-1].keys))
+    for level, up in zip(levels[:0:-1], ups[::-1]):
+        part, so_far = (x[up] for x in level.below(part, so_far))
+    return levels[0].keys, *levels[0].below(part, so_far)
+
+
+SUMS = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("keys", "zero", "one", "kids"))])
+SUMS_SQL = "part int, keys binary, zero binary, one binary, kids binary"
+
+
+def shard_strings(own: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return unplaned(own["strings"], "<i8"), unplaned(own["counts"], "<i8")
+
+
+def sums_above(depth: int, top: int):
+    """For applyInArrow over a shard: the sums of its branch for the nodes above, dealt by the last byte of the context."""
+
+    def run(own: pa.Table) -> pa.Table:
+        keys, _, sums = Branch(*shard_strings(own), depth, top).levels[-1].above(top - 1)
+        last = keys >> 8 & 255
+        out: dict[str, list] = {f.name: [] for f in SUMS}
+        for part in np.unique(last).tolist():
+            at = np.flatnonzero(last == part)
+            for name, x in zip(out, (part, *(planes(x[at]) for x in (keys, *sums)))):
+                out[name].append(x)
+        return pa.table(out, schema=SUMS)
+
+    return run
+
+
+def add_sums(own: pa.Table) -> pa.Table:
+    """The sums of all shards for the nodes of one last byte."""
+    keys, up = np.unique(unplaned(own["keys"], "<i8"), return_inverse=True)
+    sums = [np.bincount(up, unplaned(own[c], "<f8"), len(keys)) for c in ("zero", "one", "kids")]
+    return pa.table([[own["part"][0].as_py()], *([planes(x)] for x in (keys, *sums))], schema=SUMS)
+
+
+def shard_logs(depth: int, top: int, buckets: int, shared):
+    """For applyInArrow over a shard: the values of its strings, packed by bucket."""
+
+    def run(own: pa.Table) -> pa.Table:
+        strings, counts = shard_strings(own)
+        branch = Branch(strings, counts, depth, top)
+        keys, part, so_far = shared.value
+        at = np.searchsorted(keys, branch.levels[-1].keys & ((1 << 8 * top) - 1))
+        logs = branch.logs(part[at], so_far[at]).astype("<f4")
+        some = dealt(strings, buckets)
+        return pa.table([[None] * len(some), [b for b, _ in some], [planes(strings[p]) for _, p in some], [planes(logs[p]) for _, p in some]], schema=pa.schema([BLOCKS.field(c) for c in ("block", "bucket", "a", "b")]))
+
+    return run
+
+
+def tell_blocks(own: pa.Table) -> pa.Table:
+    """Of one bucket's values (without block) and what blocks ask for: the values of each block's strings."""
+    told, asked = own.filter(pc.is_null(own["block"])), own.filter(pc.is_valid(own["block"]))
+    strings, logs = unplaned(told["a"], "<i8"), unplaned(told["b"], "<f4")
+    order = np.argsort(strings, kind="stable")
+    strings, logs = strings[order], logs[order]
+    back = [planes(logs[np.searchsorted(strings, unplaned(pa.chunked_array([[x]]), "<i8"))]) for x in asked["a"].to_pylist()]
+    return pa.table({"block": asked["block"], "a": asked["a"], "b": pa.array(back, pa.binary())})
+
+
+class Lookup:
+    """Values of distinct strings in an open-addressing table of arrays; every string that is asked for is there."""
+
+    def __init__(self, strings: np.ndarray, values: np.ndarray):
+        bits = max(4, int(4 * len(strings)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
+        slot, left = self.slots(strings), np.arange(len(strings))
+        while len(left):
+            at = slot[left]
+            free = self.keys[at] < 0
+            self.keys[at[free]] = strings[left[free]]
+            mine = self.keys[at] == strings[left]
+            self.values[at[mine]] = values[left[mine]]
+            left = left[~mine]
+            slot[left] = slot[left] + 1 & self.last
+
+    def slots(self, strings: np.ndarray) -> np.ndarray:
+        return (strings.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def find(self, strings: np.ndarray) -> np.ndarray:
+        slot = self.slots(strings)
+        left = np.flatnonzero(self.keys.take(slot) != strings)
+        while len(left):
+            slot[left] = slot[left] + 1 & self.last
+            left = left[self.keys.take(slot[left]) != strings[left]]
+        return self.values.take(slot)
+
+
+SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
+SCORED_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, n_bytes long"
+
+
+def score_blocks(depth: int):
+    """For mapInArrow over rows sorted by block and kind: one row for each text."""
+
+    def scored(lookup: Lookup, counts: dict[bytes, int], a: bytes, b: bytes) -> Iterator[pa.RecordBatch]:
+        about, data = np.frombuffer(a, ABOUT), np.frombuffer(b, np.uint8)
+        lengths = about["length"].copy()
+        score = np.zeros(len(about))
+        for x, y, code, firsts in codes(data, lengths, depth):
+            score[x:y] += np.add.reduceat(lookup.find(code).astype(float), firsts)
+        ends = np.cumsum(lengths + depth)
+        n, known, logs = np.zeros(len(about), np.int64), np.zeros(len(about), np.int64), np.zeros(len(about))
+        for i, (length, end) in enumerate(zip(lengths.tolist(), ends.tolist())):
+            for words in word_lists(b[end - length : end - 1]):
+                found = np.fromiter(map(counts.__getitem__, words), np.int64, len(words))
+                n[i] += len(words)
+                known[i] += np.count_nonzero(found)
+                logs[i] += np.log10(found + 1).sum()
+        ids = pa.array(about["doc_id"], mask=~about["there"])
+        yield from cut({"doc_id": ids, "held_out": pa.array(about["held_out"]), "n_tokens": pa.array(n), "n_known": pa.array(known), "logs": pa.array(logs), "score": pa.array(score), "n_bytes": pa.array(lengths)}, SCORED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, model = few.value, tree.value
+        at, strings, values, counts, lookup = None, [], [], {}, None
         for batch in batches:
-            for piece in pieces(batch):
-                texts = [t.lower().split() for t in as_bytes(piece.column(1))]
-                logs, n_bytes = model.score(texts)
-                known, rare, sums = [], [], []
-                for words in texts:
-                    counts = Counter(words)
-                    counts[b""] = 1
-                    there = {w: common[w] for w in counts if w in common}
-                    times = np.fromiter((counts[w] for w in there), np.int64, len(there))
-                    known.append(int(times.sum()))
-                    sums.append(float(times @ np.log10(np.fromiter(there.values(), float, len(there)) + 1)))
-                    rare.append([{"word": w, "times": n} for w, n in counts.items() if w not in there])
-                yield from cut({"doc_id": piece.column(0), "held_out": piece.column(2), "n_tokens": [len(w) + 1 for w in texts], "known": known, "logs": sums, "score": pa.array(logs), "n_bytes": pa.array(n_bytes), "rare": rare}, schema)
-
-    scored = own.select("doc_id", "text", held.alias("held_out")).mapInArrow(released(run), "doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, n_bytes long, rare array<struct<word binary, times int>>")
-    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    seldom = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
-    found = seldom.join(vocab.where(F.col("n") < max(1, -(-all_tokens // HOT_WORDS))), "word").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
-    per_token = F.log10(F.lit(float(all_tokens + distinct + 1)))
-    return scored.join(found, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(all_tokens).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * per_token).alias("base_score"), "score", (-F.col("score") / F.col("n_bytes") * float(np.log2(10))).alias("bits_per_byte"),
+            for i in range(batch.num_rows):
+                block, kind, a, b = (batch.column(c)[i].as_py() for c in range(4))
+                if block != at:
+                    at, strings, values, counts, lookup = block, [], [], {}, None
+                if kind == STRINGS:
+                    strings.append(unplaned(pa.chunked_array([[a]]), "<i8"))
+                    values.append(unplaned(pa.chunked_array([[b]]), "<f4"))
+                elif kind == WORDS:
+                    counts.update(zip(a.split(b" "), unplaned(pa.chunked_array([[b]]), "<i8").tolist()))
+                else:
+                    if lookup is None:
+                        lookup = Lookup(np.concatenate(strings), np.concatenate(values))
+                        strings, values = [], []
+                    yield from scored(lookup, counts, a, b)
+
+    return released(run)
+
+
+def score(docs: DataFrame, held: Column | None = None, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
+    spark, top = docs.sparkSession, min(TOP, depth)
+    held = held_out(F.col("doc_id")) if held is None else held
+    own = clean_id(docs, id_col, text_col).select("doc_id", F.col(text_col).alias("text"), held.alias("held_out"))
+    size, ends = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
+    buckets = max(BUCKETS, -(-size // BUCKET))
+    blocks = written(own.mapInArrow(as_blocks(depth, buckets), BLOCKS_SQL), "blocks")
+
+    words = blocks.where(F.col("kind") == WORDS).select("block", "bucket", "a", "b")
+    words = written(words.groupBy("bucket").applyInArrow(add_words, "block long, a binary, b binary, tokens long, distinct long"), "words")
+    tokens, distinct = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    tokens, distinct = tokens + ends, distinct + (ends > 0)
+
+    asked = blocks.where(F.col("kind") == STRINGS).select("block", "bucket", "a", "b")
+    strings = written(asked.groupBy("bucket").applyInArrow(add_strings(buckets, top), "shard int, strings binary, counts binary"), "strings")
+    sums = strings.groupBy("shard").applyInArrow(sums_above(depth, top), SUMS_SQL).groupBy("part").applyInArrow(add_sums, SUMS_SQL)
+    sums = sums.toArrow()  # the nodes above the shards: 256 ** (TOP - 1) contexts at most
+    found = [unplaned(sums[c], kind) for c, kind in (("keys", "<i8"), ("zero", "<f8"), ("one", "<f8"), ("kids", "<f8"))]
+    order = np.argsort(found[0])
+    shared = spark.sparkContext.broadcast(crown(*(x[order] for x in found), top) if len(order) else ())
+    told = strings.groupBy("shard").applyInArrow(shard_logs(depth, top, buckets, shared), "block long, bucket int, a binary, b binary")
+    told = told.unionByName(asked).groupBy("bucket").applyInArrow(tell_blocks, "block long, a binary, b binary")
+
+    rows = told.select("block", F.lit(STRINGS).alias("kind"), "a", "b").unionByName(words.select("block", F.lit(WORDS).alias("kind"), "a", "b")).unionByName(blocks.where(F.col("kind") == TEXTS).select("block", "kind", "a", "b"))
+    scored = rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(score_blocks(depth), SCORED_SQL)
+    per_token, end = F.log10(F.lit(float(tokens + distinct + 1))), F.log10(F.lit(float(ends + 1)))
+    return scored.select(
+        "doc_id", "held_out", (F.col("n_tokens") + 1).alias("n_tokens"), (F.col("n_known") + int(ends > 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        (F.col("logs") + end - (F.col("n_tokens") + 1) * per_token).alias("base_score"), "score", (-F.col("score") / F.col("n_bytes") * float(np.log2(10))).alias("bits_per_byte"),
     )
 
 

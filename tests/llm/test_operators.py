@@ -254,7 +254,52 @@ def test_bounds_are_below_the_best_packing():
     assert packing.lower_bound(np.array([33] * 5), 64) == 5 and packing.lower_bound(np.array([22] * 3 + [43] * 2), 64) == 4
 
 
-def test_scores(spark, docs):
+def brute_tree(texts: list[str], depth: int):
+    """log10 probability of a text by a direct recursion over contexts and bits, with exact sums."""
+    strings: Counter = Counter()
+    for t in texts:
+        s = b"\xff" * depth + b" ".join(t.encode().lower().split()) + b"\xff"
+        for i in range(depth, len(s)):
+            for d in range(depth + 1):
+                for level in range(8):
+                    strings[s[i - d : i], level, s[i] >> (8 - level), s[i] >> (7 - level) & 1] += 1
+    kids: dict = {}
+    for c, level, prefix, _ in strings:
+        if c:
+            kids.setdefault((c[1:], level, prefix), set()).add(c)
+    kt = lambda z, o: math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
+    counts = lambda c, *p: (strings[(c, *p, 0)], strings[(c, *p, 1)])
+    known: dict = {}
+
+    def weighted(c, *p):
+        if (c, *p) not in known:
+            alone = kt(*counts(c, *p))
+            below = sum(weighted(k, *p) for k in kids.get((c, *p), ()))
+            known[c, *p] = alone if len(c) == depth else float(np.logaddexp(alone, below)) - math.log(2)
+        return known[c, *p]
+
+    def chance(c, d, *p):
+        z, o = counts(c[len(c) - d :], *p)
+        own = (o + 0.5) / (z + o + 1)
+        if d == depth:
+            return own
+        alone, below = kt(z, o), sum(weighted(k, *p) for k in kids.get((c[len(c) - d :], *p), ()))
+        share = 1 / (1 + math.exp(min(700, below - alone)))
+        return share * own + (1 - share) * chance(c, d + 1, *p)
+
+    def score(t):
+        s, out = b"\xff" * depth + b" ".join(t.encode().lower().split()) + b"\xff", 0.0
+        for i in range(depth, len(s)):
+            for level in range(8):
+                p = chance(s[i - depth : i], 0, level, s[i] >> (8 - level))
+                out += math.log10(p if s[i] >> (7 - level) & 1 else 1 - p)
+        return out
+
+    return score
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 4])
+def test_scores(spark, docs, depth):
     texts = plain(docs)
     counts: Counter = Counter()
     for i, t in texts.items():
@@ -262,74 +307,35 @@ def test_scores(spark, docs):
             counts.update(t.encode().lower().split())
             counts[b""] += 1
     n, v = sum(counts.values()), len(counts)
-    for r in lm.score(docs, depth=3, nodes=64).collect():
+    model = brute_tree([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2], depth)
+    rows = lm.score(docs, depth=depth).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
         words = [*texts[r["doc_id"]].encode().lower().split(), b""]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(counts[w] > 0 for w in words), n)
         assert math.isclose(r["base_score"], sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words), rel_tol=1e-9)
-        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2) and r["score"] < 0
-
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2)
+        if depth > 2 or r["doc_id"] % 5 == 0:
+            assert math.isclose(r["score"], model(texts[r["doc_id"]]), rel_tol=1e-5), r
+    assert lm.score(docs.limit(0), depth=depth).count() == 0
 
-def test_context_tree_against_the_recursion(spark):
-    """Chances of all next bytes by a direct recursion over contexts, for each state of a small tree."""
-    random.seed(6)
-    texts = [text(12) for _ in range(30)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    tree = lm.train(df, depth=2, nodes=40)
-    strings: Counter = Counter()
-    for t in texts:
-        s = b"\xff\xff" + t.encode() + b"\xff"
-        for i in range(2, len(s)):
-            for d in range(3):
-                strings[s[i - d : i], s[i]] += 1
-    total = sum(n for (c, _), n in strings.items() if not c)
-    own = lambda c: Counter({b: n for (x, b), n in strings.items() if x == c})
-    kept = {c for c, _ in strings if sum(own(c).values()) >= -(-total // 40)}
-    kt = lambda z, o: math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
-    bits = lambda cnt, level, prefix: [sum(n for b, n in cnt.items() if b >> (7 - level) == prefix << 1 | bit) for bit in (0, 1)]
-
-    def split(c):
-        kids = sorted(k for k in kept if len(k) == len(c) + 1 and k[1:] == c)
-        rest = own(c)
-        for k in kids:
-            rest.subtract(own(k))
-        return kids, rest
-
-    def weighted(c, level, prefix):
-        alone = kt(*bits(own(c), level, prefix))
-        kids, rest = split(c)
-        if not kids:
-            return alone, None
-        below = kt(*bits(rest, level, prefix)) + sum(weighted(k, level, prefix)[0] for k in kids)
-        return float(np.logaddexp(alone, below) - math.log(2)), alone - below
-
-    def chance(c, byte):
-        out = 0.0
-        for level in range(8):
-            prefix = byte >> (8 - level)
-            kids, rest = split(c)
-            z, o = bits(rest if kids else own(c), level, prefix)
-            p = (o + 0.5) / (z + o + 1)
-            for d in range(len(c), -1, -1):
-                node = c[len(c) - d :]
-                ratio = weighted(node, level, prefix)[1]
-                if ratio is not None:
-                    z, o = bits(own(node), level, prefix)
-                    w = math.exp(max(-60, min(60, ratio)))
-                    p = (w * (o + 0.5) / (z + o + 1) + p) / (w + 1)
-            out += math.log10(p if byte >> (7 - level) & 1 else 1 - p)
-        return out
 
-    order = sorted(kept, key=lambda c: (len(c), int.from_bytes(c, "big")))
-    for state in range(0, len(order), 5):
-        for byte in b"ae \xffz":
-            assert math.isclose(tree.logs[state, byte], chance(order[state], byte), abs_tol=1e-3), (order[state], byte)
-    assert np.allclose((10.0 ** tree.logs.astype(float)).sum(1), 1, atol=1e-4)
+def test_scores_do_not_depend_on_blocks(spark, docs, monkeypatch):
+    """Blocks, slices and buckets of other sizes, rows without and with the same identifier, and nothing to learn from."""
+    own = docs.select("doc_id", "text").union(spark.createDataFrame([(None, "x y"), (None, "x y"), (7, "seven"), (7, "again")], "doc_id long, text string"))
+    key = lambda r: (r["doc_id"] or -1, r["n_tokens"], r["score"])
+    rounded = lambda rows: sorted((r["doc_id"] or -1, r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 2)) for r in rows)
+    want = rounded(lm.score(own).collect())
+    for name, value in (("BLOCK", 300), ("SLICE", 64), ("BUCKET", 200)):
+        monkeypatch.setattr(lm, name, value)
+    assert rounded(lm.score(own.coalesce(1)).collect()) == want
+    none = sorted(lm.score(own, held=F.lit(True)).collect(), key=key)
+    assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isclose(r["bits_per_byte"], 8, rel_tol=1e-6) for r in none)
 
 
 def test_contexts_of_six_bytes_count(spark):
     rows = [(i, "xabcdeP yabcdeQ") for i in range(300)]
-    tree = lm.train(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert tree.depth == 6 and tree.score([[b"xabcdep", b"yabcdeq"]])[0][0] > -0.5
+    assert lm.DEPTH == 6 and lm.score(spark.createDataFrame(rows, "doc_id long, text string")).first()["score"] > -0.5
 
 
 def test_language(spark):
