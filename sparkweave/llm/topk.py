@@ -1,12 +1,15 @@
 """Exact top-k search by inner product with an impact-ordered, score-at-a-time index.
 
-Components are quantised to integers, floor(64 * x). Vectors are dealt to blocks of a bounded size and queries to chunks;
-each pair of a block and a chunk is one unit of work, so that no task holds more than one of each. A block's index has a
-posting segment for each dimension and component value. For a query the impact of a segment is its component times that
-value, less the least impact of the dimension; segments are processed by descending impact (the highest over the queries that
-share a schedule), each adding its impact to the accumulators of its vectors. What a vector can still gain is at most the sum over dimensions of the next impact there.
-Processing stops only when that proves all but a small part of the block to be out of the k highest (or when no segment is
-left); the possible members are then scored exactly from their vectors. The k best of each block meet in one ranking.
+Components are quantised to integers, floor(64 * x). Vectors are dealt to blocks of a bounded size by a written row number;
+a task builds the index of one block at a time, once, and the queries stream past it in chunks. The index has the postings
+of each dimension in order of value, so that for a query they lie in order of impact: the component times the value, less
+the least impact of the dimension (from the upper end where the query's component is positive, else from the lower).
+
+Each query takes the segments of all dimensions by descending impact, quantised to LEVELS steps of its own greatest one, and
+adds the exact impacts to the accumulators of their vectors. After each step, from the first on at which k vectors can be
+told, it tries a proof: a vector can still gain no more than the sum over dimensions of the next impact there. Processing
+stops only when that leaves few possible members of the k highest (or no segment); those are scored exactly from their
+vectors. The k best of each block meet in one ranking, so k rows for each query and block are shuffled.
 
 Vectors that are null or hold a null or non-finite component take no part; shorter vectors count as filled up with zeros.
 A query's own row (any with its vec_id) is no candidate. Ties go to the smaller vec_id; rows that repeat a vec_id rank
@@ -15,73 +18,84 @@ each for itself. Other columns are left aside; an empty table or one without que
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkweave.llm._common import table, written
+from sparkweave.llm._common import cut, released, small_batches, table, written
 
 SCALE = 64
 K = 20
 #: Vectors of a block and queries of a chunk, about.
 BLOCK, CHUNK = 16_384, 256
-#: Queries that share a schedule, and the shares of all postings after which to try a proof.
-TOGETHER, TRIES = 32, (0.85, 0.95, 1)
+#: Steps of quantised impact.
+LEVELS = 32
 #: Share of a block's vectors that may be left to exact scoring when processing stops.
-LEFT = 1 / 16
+LEFT = 1 / 64
 
 PACK = pa.schema([("part", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary())])
-FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+FOUND = pa.schema([("query_id", pa.int64()), ("query_row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("processed", pa.float64())])
+FOUND_SQL = "query_id long, query_row long, vec_id long, score long, processed double"
 
 
 class Index:
-    """Posting segments of a block of integer vectors."""
+    """Postings of a block of integer vectors, by dimension and value."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        order = np.argsort(vectors, axis=0, kind="stable")
-        self.postings = np.ascontiguousarray(order.T).ravel()
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for d in range(vectors.shape[1]):
-            values = vectors[order[:, d], d]
-            first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-            self.levels.append((values[first], first + d * len(ids), np.append(first[1:], len(ids)) + d * len(ids)))
-
-    def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int = K, left: float = LEFT) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids and scores of the k best of each query (a row), in order; the queries share one schedule of segments."""
-        n, values = len(self.ids), np.concatenate([v for v, _, _ in self.levels])
-        first = np.cumsum([0, *(len(v) for v, _, _ in self.levels)])[:-1]
-        dims = np.repeat(np.arange(len(self.levels)), [len(v) for v, _, _ in self.levels])
-        starts, ends = (np.concatenate([x[i] for x in self.levels]) for i in (1, 2))
-        impact = queries.T[dims] * values.astype(queries.dtype)[:, None]
-        impact -= np.minimum.reduceat(impact, first, axis=0)[dims]
-        order = np.argsort(-impact.max(1), kind="stable")
-        acc = np.zeros((n, len(queries)), impact.dtype)
-        own = self.ids[:, None] == query_ids
-        need = k + int(own.sum(0).max(initial=0))
-        members = [np.arange(n)] * len(queries)
+        self.order = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32))
+        self.values = np.ascontiguousarray(np.take_along_axis(vectors, self.order.T, 0).T).astype(np.int64)
+
+    def schedule(self, query: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each dimension how many postings, from its end of high impact, each step has processed; and the next impact."""
+        n, up = len(self.ids), query >= 0
+        lowest = np.where(up, self.values[:, 0], self.values[:, -1])
+        most = np.abs(query) * (self.values[:, -1] - self.values[:, 0])
+        least = int(most.max(initial=0)) * np.arange(levels - 1, -1, -1) // levels
+        done, rest = np.empty((levels, len(query)), np.int64), np.zeros((levels, len(query)), np.int64)
+        for d, q in enumerate(query.tolist()):
+            if not q:
+                done[:, d] = n
+                continue
+            gain = -(-least // abs(q))  # impact >= least from this distance to the lowest value on
+            if q > 0:
+                done[:, d] = n - np.searchsorted(self.values[d], lowest[d] + gain, "left")
+                then = n - done[:, d] - 1
+            else:
+                done[:, d] = then = np.searchsorted(self.values[d], lowest[d] - gain, "right")
+            some = done[:, d] < n
+            rest[some, d] = q * (self.values[d, then[some]] - lowest[d])
+        return done, rest
+
+    def search(self, query: np.ndarray, query_id: int, k: int = K, left: float = LEFT, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray, float]:
+        """Ids and scores of the k best of one query, in order, and the share of the postings that were processed."""
+        n, query = len(self.ids), query.astype(np.int64)
+        own = np.flatnonzero(self.ids == query_id)
+        need = k + len(own)
+        members, share = np.arange(n), 0.0
         if n > need:
-            done = np.cumsum((ends - starts)[order]) / len(self.postings)
-            at, rest = 0, impact.copy()
-            for share in TRIES:
-                stop = int(np.searchsorted(done, share)) + 1 if share < 1 else len(order)
-                for s in order[at:stop].tolist():
-                    acc[self.postings[starts[s] : ends[s]]] += impact[s]
-                rest[order[at:stop]] = 0
-                at = stop
-                least = np.partition(acc, n - need, axis=0)[n - need]
-                alive = acc + np.maximum.reduceat(rest, first, axis=0).sum(0) >= least
-                if alive.sum() <= left * alive.size or share == 1:
-                    members = [np.flatnonzero(c) for c in alive.T]
+            done, rest = self.schedule(query, levels)
+            lowest = np.where(query >= 0, self.values[:, 0], self.values[:, -1])
+            used = np.flatnonzero(query)
+            acc, before = np.zeros(n), np.zeros(len(query), np.int64)
+            for now, bound in zip(done, rest.sum(1)):
+                spans = [(d, n - now[d], n - before[d]) if query[d] > 0 else (d, before[d], now[d]) for d in used[now[used] > before[used]].tolist()]
+                if spans:
+                    places = np.concatenate([self.order[d, x:y] for d, x, y in spans])
+                    acc += np.bincount(places, np.concatenate([query[d] * (self.values[d, x:y] - lowest[d]) for d, x, y in spans]), n)
+                before = now
+                least = np.partition(acc, n - need)[n - need]
+                members = np.flatnonzero(acc + bound >= least)
+                if len(members) <= max(left * n, need):
                     break
-        out = []
-        for q, found in enumerate(members):
-            found = found[~own[found, q]]
-            scores = self.exact(found, queries[q])
-            best = np.lexsort((self.ids[found], -scores))[:k]
-            out.append((self.ids[found][best], scores[best]))
-        return out
+            share = float(before[used].sum()) / max(1, n * len(used))
+        members = members[self.ids[members] != query_id]
+        scores = self.exact(members, query)
+        best = np.lexsort((self.ids[members], -scores))[:k]
+        return self.ids[members][best], scores[best], share
 
     def exact(self, members: np.ndarray, query: np.ndarray) -> np.ndarray:
         """Inner products as integers; floating point holds them exactly where all are small."""
@@ -92,57 +106,67 @@ class Index:
 
 
 def packed(rows: DataFrame, part: Column, kind: str, width: int) -> DataFrame:
-    """(part, ids, vectors): the rows of each part as two arrays."""
+    """(part, ids, vectors): the rows of each part as two arrays; of ids, pairs of vec_id and row number."""
 
     def run(own: pa.Table) -> pa.Table:
-        ids = own["vec_id"].to_numpy()
+        ids = np.stack([own["vec_id"].to_numpy(), own["row"].to_numpy()], 1)
         matrix = np.zeros((len(ids), width), kind)
         for row, vector in zip(matrix, own["v"].to_pylist()):
             row[: len(vector)] = vector
         return pa.table([[own["part"][0].as_py()], [ids.astype("<i8").tobytes()], [matrix.tobytes()]], schema=PACK)
 
-    return rows.select(part.alias("part"), "vec_id", "v").groupBy("part").applyInArrow(run, "part long, ids binary, vectors binary")
+    return rows.select(part.alias("part"), "vec_id", "row", "v").groupBy("part").applyInArrow(run, "part long, ids binary, vectors binary")
+
+
+def answers(kind: str, width: int, k: int):
+    """For mapInArrow over (block, asked, ids, vectors) sorted by block, each with its vectors first, then the chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, index = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, asked, ids, vectors = (batch.column(c)[i].as_py() for c in range(4))
+                ids, vectors = np.frombuffer(ids, "<i8").reshape(-1, 2), np.frombuffer(vectors, kind).reshape(-1, width)
+                if not asked:
+                    at, index = block, Index(ids[:, 0].copy(), vectors)
+                elif block == at:
+                    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in FOUND]
+                    for (query_id, row), query in zip(ids.tolist(), vectors):
+                        found, scores, share = index.search(query, query_id, k)
+                        for name, x in zip(out, (np.full(len(found), query_id), np.full(len(found), row), found, scores, np.full(len(found), share))):
+                            name.append(x)
+                    yield from cut({f.name: pa.array(np.concatenate(x), f.type) for f, x in zip(FOUND, out)}, FOUND)
+
+    return released(run)
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, block: int = BLOCK, chunk: int = CHUNK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best of each query; is_query is a condition on vec_id."""
+    """(query_id, rank, vec_id, score, processed) of the k best of each query; is_query is a condition on vec_id. processed:
+    the share of the postings of that block which the query went through before its proof held."""
     spark = vectors.sparkSession
+    small_batches(spark)
     v = F.transform(F.col(vector_col), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
     sound = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
+    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.monotonically_increasing_id().alias("row"))
+    rows = written(rows, "vectors")
     n, queries, width, high = rows.agg(F.count("*"), F.count_if(is_query), F.max(F.size("v")), F.max(F.greatest(F.array_max("v"), -F.array_min("v")))).first()
-    schema = "query_id long, vec_id long, score long"
     if not queries:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    high = int(high or 0)
-    kind = "<i2" if high < 1 << 15 else "<i8"
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long, processed double")
+    kind = "<i2" if int(high or 0) < 1 << 15 else "<i8"
     blocks, chunks = -(-n // block), -(-queries // chunk)
-    index = written(packed(rows, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)), kind, width), "blocks")
-    asked = written(packed(rows.where(is_query), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)), kind, width), "chunks")
-
-    def run(own: pa.Table, chunk_: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        if own.num_rows and chunk_.num_rows:
-            (ids, matrix), (query_ids, query) = ((np.frombuffer(t["ids"][0].as_py(), "<i8"), np.frombuffer(t["vectors"][0].as_py(), kind)) for t in (own, chunk_))
-            made = Index(ids, matrix.reshape(len(ids), width))
-            query = query.reshape(len(query_ids), width).astype(np.int32 if 4 * width * high * high < 1 << 31 else np.int64)
-            for a in range(0, len(query), TOGETHER):
-                for q, (found, scores) in zip(query_ids[a:].tolist(), made.search(query[a : a + TOGETHER], query_ids[a : a + TOGETHER], k)):
-                    out[0].append(np.full(len(found), q))
-                    out[1].append(found)
-                    out[2].append(scores)
-        return pa.table([np.concatenate([*c, np.zeros(0, np.int64)]) for c in out], schema=FOUND)
-
-    left = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")).withColumnRenamed("part", "block")
-    right = asked.withColumnRenamed("part", "chunk").select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    found = left.groupBy("block", F.col("chunk").cast("long")).cogroup(right.groupBy(F.col("block").cast("long"), "chunk")).applyInArrow(run, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    index = packed(rows, F.pmod(F.xxhash64("row"), F.lit(blocks)), kind, width)
+    asked = written(packed(rows.where(is_query), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(chunks)), kind, width), "chunks")
+    work = index.select(F.col("part").alias("block"), F.lit(False).alias("asked"), "ids", "vectors").unionByName(
+        asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(True).alias("asked"), "ids", "vectors")
+    )
+    found = work.repartition("block").sortWithinPartitions("block", "asked").mapInArrow(answers(kind, width, k), FOUND_SQL)
+    order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "processed")
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best of all vectors for those whose vec_id is divisible by 20."""
-    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score")
 
 
 OP7_SQL = """
