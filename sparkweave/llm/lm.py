@@ -7,31 +7,34 @@ depths with the weights that the training texts give them. No context is left ou
 
 So the tree is a table dealt to shards by the last TOP bytes of the context, and texts ask it instead of holding it:
 
-1. texts are cut into blocks of about BLOCK bytes; a block lists the distinct strings of DEPTH + 1 bytes (a context and the
-   byte after it) and the distinct words in it, with their training counts (0 for what only held-out texts have);
-2. strings and words meet in buckets by hash, where their counts are added up: a string comes once from each block, however
-   common it is;
-3. each shard builds its branch of the tree and sums it up for the few nodes above (contexts of fewer than TOP bytes, 65,536
-   at most), whose weights are made on the driver and sent back; then it gives each of its strings a log probability;
-4. each block gets back the values of its strings and the counts of its words, and adds them up text by text.
+1. the texts of a task are a block; it lists the distinct strings of DEPTH + 1 bytes (a context and the byte after it) and
+   the distinct words in it, with their training counts (0 for what only held-out texts have). So a string comes once from
+   each block, however common it is;
+2. each shard adds up the counts, builds its branch of the tree and sums it up for the few nodes above (contexts of fewer than
+   TOP bytes, 65,536 at most), whose weights are made on the driver and sent back;
+3. each shard gives the strings of each block their log probabilities, and buckets by hash give the words their counts;
+4. each block, read again, adds up the values of its strings and words text by text.
 
 Strings that no training text has are in the table with count 0, which changes no estimate of others: their chance is what
 the longest known contexts leave them.
 
 Null text counts as empty: one end token. A null doc_id is a training text. Rows that repeat count as often as they
 occur. Other columns are left aside. Without training texts every count is 0 and the model is uniform. Long texts are
-worked on in slices; only their bytes are held whole.
+worked on in slices; only their bytes are held whole. An empty table gives an empty result.
+
+docs is read twice and must fall into the same partitions both times, as files do; give stable=False for a plan that may
+not, and it is written first. A block that isn't the same the second time is an error, never a wrong score.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,15 +44,17 @@ from sparkweave.llm._common import as_bytes, clean_id, cut, pieces, planes, rele
 DEPTH = 6
 #: Bytes of a context by which shards are dealt; above them the tree has at most 256 ** (TOP - 1) contexts a depth.
 TOP = 3
-#: Bytes of text of a block, bytes worked on at once, bytes of text a bucket is meant for, and the fewest buckets.
-BLOCK, SLICE, BUCKET, BUCKETS = 16_000_000, 4_000_000, 8_000_000, 16
+#: Bytes of text of a block at most, bytes worked on at once, bytes of text a shard is meant for, and the fewest shards.
+BLOCK, SLICE, SHARD, SHARDS = 32_000_000, 2_000_000, 2_000_000, 16
+#: Bytes of texts in one row, about: the JVM keeps large arrays apart and badly.
+ROW = 500_000
 #: The byte that ends a text; it is in no UTF-8 text.
 END = 0xFF
 WHITE = re.compile(rb"[\x20\x09-\x0D]")
-#: What the rows of a block are: strings and words that it asks for, what it is told of them, and its texts.
-STRINGS, WORDS, TEXTS = range(3)
-BLOCKS = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-BLOCKS_SQL = "block long, kind int, bucket int, a binary, b binary, c binary"
+#: What a row of a block holds: strings and words that it asks for or what it is told of them, or its texts.
+TEXTS, STRINGS, WORDS = range(3)
+ASKED = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+ASKED_SQL = "block long, kind int, part int, keys binary, counts binary"
 
 
 def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
@@ -65,9 +70,48 @@ def word_lists(text: bytes, most: int = SLICE // 4) -> Iterator[list[bytes]]:
     yield text[at:].split()
 
 
-def codes(data: np.ndarray, lengths: np.ndarray, depth: int, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, end, codes, first codes): strings of depth + 1 bytes (the last byte lowest) that end at each byte of some
-    texts, and where each text's begin. data has depth end bytes before each text; a long text comes in several turns."""
+def small(blob: bytes) -> bytes:
+    """blob, compressed, with its length before it."""
+    return len(blob).to_bytes(8, "little") + pa.compress(blob, codec="zstd", asbytes=True)
+
+
+def large(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
+
+def from_small(blob: bytes, kind: str) -> np.ndarray:
+    return unplaned(pa.chunked_array([[large(blob)]]), kind)
+
+
+def strings_of(own: np.ndarray, depth: int, top: int) -> np.ndarray:
+    """The string of depth + 1 bytes that ends at each byte of own from depth on, as one number: the last top bytes of the
+    context first, then those before them, then the byte, so that ascending order is that of shards' contexts."""
+
+    def grams(n: int) -> np.ndarray:
+        out = own.astype(np.uint32)
+        for _ in range(n - 1):
+            out = out[:-1] << np.uint32(8) | own[len(own) - len(out) + 1 :]
+        return out
+
+    n, rest = len(own) - depth, depth - top
+    code = grams(top)[rest : rest + n].astype(np.int64)
+    code <<= 8 * (rest + 1)
+    if rest:
+        code |= grams(rest)[:n].astype(np.int64) << 8
+    code |= own[depth:]
+    return code
+
+
+def context(strings: np.ndarray, depth: int, top: int) -> np.ndarray:
+    """The contexts as numbers with the oldest byte highest."""
+    rest = depth - top
+    return (strings >> 8 & ((1 << 8 * rest) - 1)) << 8 * top | strings >> 8 * (rest + 1)
+
+
+def codes(data: np.ndarray, lengths: np.ndarray, depth: int, most: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, end, strings, first strings): the strings that end at each byte of some texts, and where each text's
+    begin. data has depth end bytes before each text; a long text comes in several turns."""
+    most, top = most or SLICE, min(TOP, depth)
     begins = np.cumsum(lengths + depth) - lengths - depth
     upto = np.cumsum(lengths)
     a = 0
@@ -76,11 +120,7 @@ def codes(data: np.ndarray, lengths: np.ndarray, depth: int, most: int = SLICE)
         whole = lengths[a:b]
         parts = [(0, int(begins[b - 1] - begins[a] + whole[-1]))] if b > a + 1 or whole[0] <= most else pairwise([*range(0, int(whole[0]), most), int(whole[0])])
         for x, y in parts:
-            own = data[begins[a] + x : begins[a] + y + depth]
-            code = np.zeros(y - x, np.int64)
-            for d in range(depth, -1, -1):
-                code <<= 8
-                code |= own[depth - d : len(own) - d]
+            code = strings_of(data[begins[a] + x : begins[a] + y + depth], depth, top)
             if b > a + 1:  # without those that end in what stands before a text
                 code = code[np.arange(int(whole.sum())) + np.repeat(depth * np.arange(b - a), whole)]
             yield a, b, code, np.cumsum(whole) - whole
@@ -94,76 +134,89 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts
 
 
-def dealt(strings: np.ndarray, buckets: int, of: np.ndarray | None = None) -> list[tuple[int, np.ndarray]]:
-    """(bucket, places) of strings by a hash of them, or of what is given instead."""
-    by = (strings if of is None else of).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    bucket = ((by >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+def dealt(by: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
+    """(part, places) by a hash of some numbers."""
+    part = ((by.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
     return [(b, order[x:y]) for b, (x, y) in enumerate(pairwise(edges)) if x < y]
 
 
-def suffix(strings: np.ndarray, n: int) -> np.ndarray:
-    """The last n bytes of the contexts."""
-    return strings >> 8 & ((1 << 8 * n) - 1)
+def shards_of(strings: np.ndarray, depth: int, shards: int) -> list[tuple[int, np.ndarray]]:
+    return dealt(strings >> 8 * (depth - min(TOP, depth) + 1), shards)
+
+
+class Strings:
+    """The distinct strings of a block, ascending, and their training counts."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
 
+    def add(self, data: np.ndarray, lengths: np.ndarray, depth: int, count: bool) -> None:
+        for _, _, code, _ in codes(data, lengths, depth):
+            code.sort()
+            first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            n = np.diff(np.append(first, len(code)))
+            self.held.append((code[first], n if count else 0 * n))
+        if sum(len(k) for k, _ in self.held[1:]) > SLICE:
+            self.held = [self.all()]
 
-def row(**own) -> dict[str, list]:
-    return {f.name: [own.get(f.name)] for f in BLOCKS}
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        return summed(*map(np.concatenate, zip(*self.held))) if self.held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def as_blocks(depth: int, buckets: int):
-    """For mapInArrow over (doc_id, text, held_out): the texts of blocks, packed, and what they ask for."""
+def padded(texts: list[bytes], depth: int) -> tuple[bytes, np.ndarray]:
+    """Texts, each after depth end bytes, and their own lengths."""
+    pad = bytes([END]) * depth
+    return b"".join(x for t in texts for x in (pad, t)), np.fromiter(map(len, texts), np.int64, len(texts))
 
-    def sent(block: int, strings: list[tuple[np.ndarray, np.ndarray]], words: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-        keys, counts = summed(*map(np.concatenate, zip(*strings)))
-        for bucket, at in dealt(keys, buckets):
-            yield from cut(row(block=block, kind=STRINGS, bucket=bucket, a=planes(keys[at]), b=planes(counts[at])), BLOCKS)
-        known = list(words)
-        by = np.fromiter((hash_of(w) for w in known), np.int64, len(known))
-        n = np.fromiter(words.values(), np.int64, len(known))
-        for bucket, at in dealt(by, buckets):
-            yield from cut(row(block=block, kind=WORDS, bucket=bucket, a=b" ".join([known[i] for i in at.tolist()]), b=planes(n[at])), BLOCKS)
+
+def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, np.ndarray, list[bytes]]]:
+    """Pieces of (doc_id, text, held_out) with the number of their block: ids, flags and clean texts, closed by an end."""
+    block, size = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        for piece in pieces(batch):
+            texts = [b" ".join(x for some in word_lists(t.lower()) if (x := b" ".join(some))) + b"\xff" for t in as_bytes(piece.column(1))]
+            own = sum(map(len, texts))
+            if size and size + own > BLOCK:
+                block, size = block + 1, 0
+            size += own
+            yield block, piece.column(0), piece.column(2).to_numpy(zero_copy_only=False).astype(bool), texts
+
+
+def asking(depth: int, shards: int):
+    """For mapInArrow over (doc_id, text, held_out): what the blocks ask for, by shard and bucket."""
+
+    def sent(block: int, strings: Strings, words: Counter) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        keys, counts = strings.all()
+        for part, at in shards_of(keys, depth, shards):
+            rows.append((block, STRINGS, part, small(planes(np.diff(keys[at], prepend=0))), small(planes(counts[at]))))
+        known, n = list(words), np.fromiter(words.values(), np.int64, len(words))
+        for part, at in dealt(np.fromiter(map(hash_of, known), np.int64, len(known)), shards):
+            rows.append((block, WORDS, part, small(b" ".join([known[i] for i in at.tolist()])), small(planes(n[at]))))
+        yield from cut(dict(zip(ASKED.names, map(list, zip(*rows)))), ASKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size = TaskContext.get().partitionId() << 32, 0
-        strings: list[tuple[np.ndarray, np.ndarray]] = []
-        words: dict[bytes, int] = {}
-        pad = bytes([END]) * depth
-        for batch in batches:
-            for piece in pieces(batch):
-                texts, held = as_bytes(piece.column(1)), piece.column(2).to_numpy(zero_copy_only=False).astype(bool)
-                own = []
-                for text, apart in zip(texts, held.tolist()):
-                    parts = []
-                    for some in word_lists(text.lower()):
-                        parts.append(b" ".join(some))
+        at, strings, words = None, Strings(), Counter()
+        for block, _, held, texts in in_blocks(batches):
+            if block != at and at is not None:
+                yield from sent(at, strings, words)
+                strings, words = Strings(), Counter()
+            at = block
+            for apart in (False, True):
+                mine = [t for t, h in zip(texts, held.tolist()) if h == apart]
+                data, lengths = padded(mine, depth)
+                strings.add(np.frombuffer(data, np.uint8), lengths, depth, not apart)
+                for t in mine:
+                    for some in word_lists(t[:-1]):
                         if apart:
                             for w in some:
                                 words.setdefault(w, 0)
                         else:
-                            for w in some:
-                                words[w] = words.get(w, 0) + 1
-                    own.append(b" ".join(filter(None, parts)) + b"\xff")
-                for apart in (False, True):
-                    mine = [t for t, h in zip(own, held.tolist()) if h == apart]
-                    data = np.frombuffer(b"".join(x for t in mine for x in (pad, t)), np.uint8)
-                    for _, _, code, _ in codes(data, np.fromiter(map(len, mine), np.int64, len(mine)), depth):
-                        code.sort()
-                        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-                        n = np.diff(np.append(first, len(code)))
-                        strings.append((code[first], 0 * n if apart else n))
-                ids = piece.column(0)
-                about = np.rec.fromarrays([ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), held, np.fromiter(map(len, own), np.int64, len(own))], dtype=ABOUT)
-                yield from cut(row(block=block, kind=TEXTS, a=about.tobytes(), b=b"".join(x for t in own for x in (pad, t))), BLOCKS)
-                size += sum(map(len, own))
-                if sum(len(k) for k, _ in strings) > SLICE:
-                    strings = [summed(*map(np.concatenate, zip(*strings)))]
-                if size > BLOCK:
-                    yield from sent(block, strings, words)
-                    block, size, strings, words = block + 1, 0, [], {}
-        if size:
-            yield from sent(block, strings, words)
+                            words.update(some)
+        if at is not None:
+            yield from sent(at, strings, words)
 
     return released(run)
 
@@ -179,27 +232,15 @@ def hash_of(word: bytes) -> int:
 
 def add_words(own: pa.Table) -> pa.Table:
     """Of one bucket: for each block the counts of its words over all; and once how many tokens and words these are."""
-    total: dict[bytes, int] = {}
-    parts = [x.split(b" ") for x in own["a"].to_pylist()]
-    counts = [unplaned(pa.chunked_array([[x]]), "<i8").tolist() for x in own["b"].to_pylist()]
-    for words, n in zip(parts, counts):
-        for w, k in zip(words, n):
-            total[w] = total.get(w, 0) + k
-    back = [planes(np.fromiter(map(total.__getitem__, words), np.int64, len(words))) for words in parts]
+    total: Counter = Counter()
+    parts = [large(x).split(b" ") for x in own["keys"].to_pylist()]
+    for words, n in zip(parts, own["counts"].to_pylist()):
+        for w, k in zip(words, from_small(n, "<i8").tolist()):
+            total[w] += k
+    back = [small(planes(np.fromiter(map(total.__getitem__, words), np.int64, len(words)))) for words in parts]
     n = np.zeros((2, own.num_rows), np.int64)
     n[:, 0] = sum(total.values()), sum(k > 0 for k in total.values())
-    return pa.table({"block": own["block"], "a": own["a"], "b": pa.array(back, pa.binary()), "tokens": n[0], "distinct": n[1]})
-
-
-def add_strings(shards: int, top: int):
-    """For applyInArrow over one bucket: its strings and their counts over all blocks, packed by shard."""
-
-    def run(own: pa.Table) -> pa.Table:
-        strings, counts = summed(unplaned(own["a"], "<i8"), unplaned(own["b"], "<i8"))
-        some = dealt(strings, shards, suffix(strings, top))
-        return pa.table({"shard": pa.array([s for s, _ in some], pa.int32()), "strings": pa.array([planes(strings[at]) for _, at in some], pa.binary()), "counts": pa.array([planes(counts[at]) for _, at in some], pa.binary())})
-
-    return run
+    return pa.table({"block": own["block"], "keys": own["keys"], "told": pa.array(back, pa.binary()), "tokens": n[0], "distinct": n[1]})
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -257,7 +298,7 @@ class Branch:
         byte = strings & 255
         steps = np.arange(8)
         self.bits = (byte[:, None] >> (7 - steps) & 1).astype(bool)
-        keys = (strings >> 8 << 8)[:, None] | 1 << steps | byte[:, None] >> (8 - steps)
+        keys = (context(strings, depth, top) << 8)[:, None] | 1 << steps | byte[:, None] >> (8 - steps)
         keys, self.at = np.unique(keys.ravel(), return_inverse=True)
         n = np.repeat(counts, 8).astype(float)
         one = np.bincount(self.at, n * self.bits.ravel(), len(keys))
@@ -292,15 +333,21 @@ SUMS = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("keys", "ze
 SUMS_SQL = "part int, keys binary, zero binary, one binary, kids binary"
 
 
-def shard_strings(own: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return unplaned(own["strings"], "<i8"), unplaned(own["counts"], "<i8")
+def asked_strings(own: pa.Table) -> list[np.ndarray]:
+    return [np.cumsum(from_small(x, "<i8")) for x in own["keys"].to_pylist()]
+
+
+def branch_of(own: pa.Table, asked: list[np.ndarray], depth: int, top: int) -> tuple[np.ndarray, Branch]:
+    """The strings of a shard, ascending, and their branch of the tree."""
+    strings, counts = summed(np.concatenate(asked), np.concatenate([from_small(x, "<i8") for x in own["counts"].to_pylist()]))
+    return strings, Branch(strings, counts, depth, top)
 
 
 def sums_above(depth: int, top: int):
     """For applyInArrow over a shard: the sums of its branch for the nodes above, dealt by the last byte of the context."""
 
     def run(own: pa.Table) -> pa.Table:
-        keys, _, sums = Branch(*shard_strings(own), depth, top).levels[-1].above(top - 1)
+        keys, _, sums = branch_of(own, asked_strings(own), depth, top)[1].levels[-1].above(top - 1)
         last = keys >> 8 & 255
         out: dict[str, list] = {f.name: [] for f in SUMS}
         for part in np.unique(last).tolist():
@@ -319,36 +366,26 @@ def add_sums(own: pa.Table) -> pa.Table:
     return pa.table([[own["part"][0].as_py()], *([planes(x)] for x in (keys, *sums))], schema=SUMS)
 
 
-def shard_logs(depth: int, top: int, buckets: int, shared):
-    """For applyInArrow over a shard: the values of its strings, packed by bucket."""
+def tell_strings(depth: int, top: int, shared):
+    """For applyInArrow over a shard: for each block the values of its strings, in their order."""
 
     def run(own: pa.Table) -> pa.Table:
-        strings, counts = shard_strings(own)
-        branch = Branch(strings, counts, depth, top)
+        asked = asked_strings(own)
+        strings, branch = branch_of(own, asked, depth, top)
         keys, part, so_far = shared.value
         at = np.searchsorted(keys, branch.levels[-1].keys & ((1 << 8 * top) - 1))
         logs = branch.logs(part[at], so_far[at]).astype("<f4")
-        some = dealt(strings, buckets)
-        return pa.table([[None] * len(some), [b for b, _ in some], [planes(strings[p]) for _, p in some], [planes(logs[p]) for _, p in some]], schema=pa.schema([BLOCKS.field(c) for c in ("block", "bucket", "a", "b")]))
+        told = [small(planes(logs[np.searchsorted(strings, x)])) for x in asked]
+        return pa.table({"block": own["block"], "part": own["part"], "told": pa.array(told, pa.binary())})
 
     return run
 
 
-def tell_blocks(own: pa.Table) -> pa.Table:
-    """Of one bucket's values (without block) and what blocks ask for: the values of each block's strings."""
-    told, asked = own.filter(pc.is_null(own["block"])), own.filter(pc.is_valid(own["block"]))
-    strings, logs = unplaned(told["a"], "<i8"), unplaned(told["b"], "<f4")
-    order = np.argsort(strings, kind="stable")
-    strings, logs = strings[order], logs[order]
-    back = [planes(logs[np.searchsorted(strings, unplaned(pa.chunked_array([[x]]), "<i8"))]) for x in asked["a"].to_pylist()]
-    return pa.table({"block": asked["block"], "a": asked["a"], "b": pa.array(back, pa.binary())})
-
-
 class Lookup:
     """Values of distinct strings in an open-addressing table of arrays; every string that is asked for is there."""
 
     def __init__(self, strings: np.ndarray, values: np.ndarray):
-        bits = max(4, int(4 * len(strings)).bit_length())
+        bits = max(4, int(2 * len(strings)).bit_length())
         self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
         slot, left = self.slots(strings), np.arange(len(strings))
@@ -377,73 +414,118 @@ SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens
 SCORED_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, n_bytes long"
 
 
-def score_blocks(depth: int):
-    """For mapInArrow over rows sorted by block and kind: one row for each text."""
-
-    def scored(lookup: Lookup, counts: dict[bytes, int], a: bytes, b: bytes) -> Iterator[pa.RecordBatch]:
-        about, data = np.frombuffer(a, ABOUT), np.frombuffer(b, np.uint8)
-        lengths = about["length"].copy()
-        score = np.zeros(len(about))
-        for x, y, code, firsts in codes(data, lengths, depth):
-            score[x:y] += np.add.reduceat(lookup.find(code).astype(float), firsts)
-        ends = np.cumsum(lengths + depth)
-        n, known, logs = np.zeros(len(about), np.int64), np.zeros(len(about), np.int64), np.zeros(len(about))
-        for i, (length, end) in enumerate(zip(lengths.tolist(), ends.tolist())):
-            for words in word_lists(b[end - length : end - 1]):
-                found = np.fromiter(map(counts.__getitem__, words), np.int64, len(words))
-                n[i] += len(words)
-                known[i] += np.count_nonzero(found)
-                logs[i] += np.log10(found + 1).sum()
-        ids = pa.array(about["doc_id"], mask=~about["there"])
-        yield from cut({"doc_id": ids, "held_out": pa.array(about["held_out"]), "n_tokens": pa.array(n), "n_known": pa.array(known), "logs": pa.array(logs), "score": pa.array(score), "n_bytes": pa.array(lengths)}, SCORED)
+TEXT = pa.schema([("block", pa.int64()), ("about", pa.binary()), ("texts", pa.binary())])
+
+
+def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (doc_id, text, held_out): the clean texts of the blocks, compressed."""
+    for block, ids, held, texts in in_blocks(batches):
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        about = np.rec.fromarrays([ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), held, lengths], dtype=ABOUT)
+        rows = pairwise([*np.flatnonzero(np.diff(np.cumsum(lengths) // ROW, prepend=-1)).tolist(), len(texts)])
+        some = [(block, about[x:y].tobytes(), small(b"".join(texts[x:y]))) for x, y in rows]
+        yield from cut(dict(zip(TEXT.names, map(list, zip(*some)))), TEXT)
+
+
+class Block:
+    """What a task gets of one block, first its texts."""
+
+    def __init__(self, depth: int, shards: int):
+        self.depth, self.shards = depth, shards
+        self.texts: list[tuple[np.ndarray, list[bytes]]] = []
+        self.logs: dict[int, bytes] = {}
+        self.counts: dict[bytes, int] = {}
+
+    def add(self, kind: int, part: int, a: bytes, b: bytes) -> None:
+        if kind == TEXTS:
+            about = np.frombuffer(a, ABOUT)
+            ends = np.cumsum(about["length"]).tolist()
+            blob = large(b)
+            self.texts.append((about, [blob[x:y] for x, y in pairwise([0, *ends])]))
+        elif kind == STRINGS:
+            self.logs[part] = b
+        else:
+            self.counts.update(zip(large(a).split(b" "), from_small(b, "<i8").tolist()))
+
+    def lookup(self) -> Lookup:
+        strings = Strings()
+        for _, texts in self.texts:
+            data, lengths = padded(texts, self.depth)
+            strings.add(np.frombuffer(data, np.uint8), lengths, self.depth, False)
+        keys, _ = strings.all()
+        values = np.empty(len(keys), np.float32)
+        for part, at in shards_of(keys, self.depth, self.shards):
+            told = from_small(self.logs.pop(part, small(b"")), "<f4")
+            if len(told) != len(at):
+                raise RuntimeError("a block of texts is not the one that asked: give stable=False")
+            values[at] = told
+        return Lookup(keys, values)
+
+    def scored(self) -> Iterator[pa.RecordBatch]:
+        lookup = self.lookup()
+        for about, texts in self.texts:
+            data, lengths = padded(texts, self.depth)
+            score = np.zeros(len(about))
+            for x, y, code, firsts in codes(np.frombuffer(data, np.uint8), lengths, self.depth):
+                score[x:y] += np.add.reduceat(lookup.find(code).astype(float), firsts)
+            n, known, logs = np.zeros(len(about), np.int64), np.zeros(len(about), np.int64), np.zeros(len(about))
+            for i, text in enumerate(texts):
+                for words in word_lists(text[:-1]):
+                    found = np.fromiter(map(self.counts.__getitem__, words), np.int64, len(words))
+                    n[i] += len(words)
+                    known[i] += np.count_nonzero(found)
+                    logs[i] += np.log10(found + 1).sum()
+            ids = pa.array(about["doc_id"], mask=~about["there"])
+            yield from cut({"doc_id": ids, "held_out": pa.array(about["held_out"]), "n_tokens": pa.array(n), "n_known": pa.array(known), "logs": pa.array(logs), "score": pa.array(score), "n_bytes": pa.array(lengths)}, SCORED)
+
+
+def score_blocks(depth: int, shards: int):
+    """For mapInArrow over (block, kind, part, a, b), sorted by block and kind: one row for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, strings, values, counts, lookup = None, [], [], {}, None
+        at, own = None, Block(depth, shards)
         for batch in batches:
             for i in range(batch.num_rows):
-                block, kind, a, b = (batch.column(c)[i].as_py() for c in range(4))
+                block, *row = (batch.column(c)[i].as_py() for c in range(5))
                 if block != at:
-                    at, strings, values, counts, lookup = block, [], [], {}, None
-                if kind == STRINGS:
-                    strings.append(unplaned(pa.chunked_array([[a]]), "<i8"))
-                    values.append(unplaned(pa.chunked_array([[b]]), "<f4"))
-                elif kind == WORDS:
-                    counts.update(zip(a.split(b" "), unplaned(pa.chunked_array([[b]]), "<i8").tolist()))
-                else:
-                    if lookup is None:
-                        lookup = Lookup(np.concatenate(strings), np.concatenate(values))
-                        strings, values = [], []
-                    yield from scored(lookup, counts, a, b)
+                    if at is not None:
+                        yield from own.scored()
+                    at, own = block, Block(depth, shards)
+                own.add(*row)
+        if at is not None:
+            yield from own.scored()
 
     return released(run)
 
 
-def score(docs: DataFrame, held: Column | None = None, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held: Column | None = None, depth: int = DEPTH, stable: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark, top = docs.sparkSession, min(TOP, depth)
     held = held_out(F.col("doc_id")) if held is None else held
     own = clean_id(docs, id_col, text_col).select("doc_id", F.col(text_col).alias("text"), held.alias("held_out"))
+    own = own if stable else written(own, "texts")
     size, ends = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
-    buckets = max(BUCKETS, -(-size // BUCKET))
-    blocks = written(own.mapInArrow(as_blocks(depth, buckets), BLOCKS_SQL), "blocks")
+    shards = max(SHARDS, -(-size // SHARD))
+    asked = written(own.mapInArrow(asking(depth, shards), ASKED_SQL), "asked")
 
-    words = blocks.where(F.col("kind") == WORDS).select("block", "bucket", "a", "b")
-    words = written(words.groupBy("bucket").applyInArrow(add_words, "block long, a binary, b binary, tokens long, distinct long"), "words")
+    words = asked.where(F.col("kind") == WORDS).groupBy("part").applyInArrow(add_words, "block long, keys binary, told binary, tokens long, distinct long")
+    words = written(words, "words")
     tokens, distinct = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     tokens, distinct = tokens + ends, distinct + (ends > 0)
 
-    asked = blocks.where(F.col("kind") == STRINGS).select("block", "bucket", "a", "b")
-    strings = written(asked.groupBy("bucket").applyInArrow(add_strings(buckets, top), "shard int, strings binary, counts binary"), "strings")
-    sums = strings.groupBy("shard").applyInArrow(sums_above(depth, top), SUMS_SQL).groupBy("part").applyInArrow(add_sums, SUMS_SQL)
+    strings = asked.where(F.col("kind") == STRINGS).select("block", "part", "keys", "counts").groupBy("part")
+    sums = strings.applyInArrow(sums_above(depth, top), SUMS_SQL).groupBy("part").applyInArrow(add_sums, SUMS_SQL)
     sums = sums.toArrow()  # the nodes above the shards: 256 ** (TOP - 1) contexts at most
     found = [unplaned(sums[c], kind) for c, kind in (("keys", "<i8"), ("zero", "<f8"), ("one", "<f8"), ("kids", "<f8"))]
     order = np.argsort(found[0])
     shared = spark.sparkContext.broadcast(crown(*(x[order] for x in found), top) if len(order) else ())
-    told = strings.groupBy("shard").applyInArrow(shard_logs(depth, top, buckets, shared), "block long, bucket int, a binary, b binary")
-    told = told.unionByName(asked).groupBy("bucket").applyInArrow(tell_blocks, "block long, a binary, b binary")
+    told = strings.applyInArrow(tell_strings(depth, top, shared), "block long, part int, told binary")
 
-    rows = told.select("block", F.lit(STRINGS).alias("kind"), "a", "b").unionByName(words.select("block", F.lit(WORDS).alias("kind"), "a", "b")).unionByName(blocks.where(F.col("kind") == TEXTS).select("block", "kind", "a", "b"))
-    scored = rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(score_blocks(depth), SCORED_SQL)
+    row = lambda df, kind, part, a, b: df.select("block", F.lit(kind).alias("kind"), part.cast("int").alias("part"), a.cast("binary").alias("a"), F.col(b).alias("b"))
+    none = F.lit(None)
+    rows = row(own.mapInArrow(released(packed_texts), "block long, about binary, texts binary"), TEXTS, none, F.col("about"), "texts")
+    rows = rows.unionByName(row(told, STRINGS, F.col("part"), none, "told")).unionByName(row(words, WORDS, none, F.col("keys"), "told"))
+    scored = rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(score_blocks(depth, shards), SCORED_SQL)
     per_token, end = F.log10(F.lit(float(tokens + distinct + 1))), F.log10(F.lit(float(ends + 1)))
     return scored.select(
         "doc_id", "held_out", (F.col("n_tokens") + 1).alias("n_tokens"), (F.col("n_known") + int(ends > 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
