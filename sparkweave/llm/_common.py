@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Most bytes of variable-length values in one Arrow batch that Python gives back.
 BATCH_BYTES = 8_000_000
 #: Most bytes of an Arrow batch that Python gets.
-ARROW_BYTES = 16_000_000
+ARROW_BYTES = 4_000_000
 #: Bytes of an Arrow batch that are worked on at once.
 PIECE_BYTES = 4_000_000
 #: The ASCII white space [\x20\x09-\x0D] (fixed values).

@@ -41,10 +41,10 @@ PERIOD = 13
 COVER = (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 #: Entries that a task holds before it sends them to the buckets, and bytes of text it hashes at once.
-HELD = 2_000_000
+HELD = 1_000_000
 CHUNK = 2_000_000
 #: Bytes of text a bucket is meant for, and the fewest buckets.
-BUCKET, BUCKETS = 8_000_000, 16
+BUCKET, BUCKETS = 4_000_000, 64
 NO_ID = -(1 << 63)
 
 SINGLE, KNOWN, PASSED = 0, 1, 2
@@ -282,15 +282,16 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), whole: bool = F
     text = F.col(text_col)
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"), F.struct(*carry).alias("others") if carry else F.lit(None).cast("struct<none:int>").alias("others"))
     small_batches(docs.sparkSession)
-    size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    again = own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    own = own.withColumn("row", F.lit(0).cast("long") if again.isEmpty() else F.xxhash64(F.coalesce("text", F.lit(""))))
+    sizes = own.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    again, size = sizes.agg(F.count_if(F.col("n") > 1), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    own = own.withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))) if again else F.lit(0).cast("long"))
+    places = F.collect_set("place") if again else F.collect_list("place")  # rows of one document find the same places
     buckets, by = max(BUCKETS, -(-size // BUCKET)), ["doc_id", "row"]
     anchors = own.select("doc_id", "text", "row").mapInArrow(anchor_rows(buckets), PACKED_SQL)
     found = anchors.groupBy("bucket").applyInArrow(repeated, PLACE_SQL)
-    found = written(found.groupBy(*by).agg(F.collect_set("place").alias("found")), "anchors")
+    found = written(found.groupBy(*by).agg(places.alias("found")), "anchors")
     windows = own.join(found, by).select("doc_id", "text", "row", "found").mapInArrow(window_rows(buckets), PACKED_SQL)
-    first = windows.groupBy("bucket").applyInArrow(firsts, PLACE_SQL).groupBy(*by).agg(F.collect_set("place").alias("first"))
+    first = windows.groupBy("bucket").applyInArrow(firsts, PLACE_SQL).groupBy(*by).agg(places.alias("first"))
     marked = own.join(found.join(first, by, "left"), by, "left").select("doc_id", "text", "found", "first", "others")
     schema = T.StructType([*T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept string"), marked.schema["others"]])
     out = marked.mapInArrow(cut_out(whole), schema).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
