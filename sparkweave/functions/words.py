@@ -19,6 +19,9 @@ ADDRESS_STOP = (
 ).split()
 ADDRESS_STOP_MORE = "ground first second third c/o flats nagar dist district state".split()
 
+TOY_NAME_STOP = "the and inc corp llc ltd co pvt".split()
+TOY_ADDRESS_STOP = "st rd ave blvd dr ln apt ste".split()
+
 LEGAL = "inc corp corporation ltd limited pvt llc llp sarl sa gmbh".split()
 GENERIC = "enterprises trading services solutions industries holdings group consulting".split()
 GENERIC_FP = "enterprises trading industries services solutions".split()

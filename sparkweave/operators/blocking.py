@@ -53,15 +53,30 @@ def alias_keys(pair_step: int, word_step: int, split: bool) -> Column:
     return F.concat(pairs, singles)
 
 
-def keys_base(split: bool = False) -> Column:
-    """Eight kinds of keys in one pass."""
-    c, n, w = F.col("content"), F.col("numbers"), F.col("address_words")
+def keys_base(split: bool = False, alias: bool = True, words: Column | None = None) -> Column:
+    """Eight kinds of keys in one pass, those of aliases among them."""
+    c, n, w = F.col("content"), F.col("numbers"), F.col("address_words") if words is None else words
     return F.concat(
         one(1, "exact_name", F.col("name"), 4), one(1, "url_core", F.col("url"), 4), pair(1, "name_pair", c, 0, 1), pair(1, "name_pair", c, 0, 2), each(1, "name_tok", c, 2, 3),
-        product(1, "num_word", n, w, 2, 2), product(1, "name_num", c, n, 2, 2), pair(1, "addr_pair", w, 0, 1), pair(1, "addr_pair", w, 0, 2), alias_keys(1, 1, split),
+        product(1, "num_word", n, w, 2, 2), product(1, "name_num", c, n, 2, 2), pair(1, "addr_pair", w, 0, 1), pair(1, "addr_pair", w, 0, 2), *([alias_keys(1, 1, split)] if alias else []),
     )
 
 
+def keys_smart(alias: bool = True) -> Column:
+    """The precursor of the base keys: address words may hold digits, if not only these."""
+    return keys_base(alias=alias, words=X.address_words(F.col("address"), False))
+
+
+def keys_toy() -> Column:
+    """A small set for inspection: words of the name, its first pair, and numbers with words of either field."""
+    own = lambda text, stop, least: F.filter(X.tokens(text), lambda t: ~t.isin(*stop) & (F.length(t) >= least))
+    name, address = own(F.col("name"), X.W.TOY_NAME_STOP, 1), own(F.col("address"), X.W.TOY_ADDRESS_STOP, 1)
+    digits = lambda t: t.rlike(r"^\p{Nd}+$")
+    long_, first = (F.filter(w, lambda t: F.length(t) >= 3) for w in (name, F.slice(name, 1, 2)))
+    numbers, words = F.filter(address, digits), F.filter(address, lambda t: ~digits(t) & (F.length(t) >= 3))
+    return F.concat(F.transform(long_, lambda t: key(1, "name_tok", t)), pair(1, "name_pair", name, 0, 1), product(1, "num_word", numbers, words, 2, 3), product(1, "name_num", first, numbers, 2, 2))
+
+
 def keys_passes(recover: frozenset[str] = frozenset()) -> Column:
     """Six ordered passes. recover adds A (joined stem as a domain), B and C (words by length in passes 4 and 6),
     D (the longest word where there is no number) and F (folded sounds)."""
@@ -114,6 +129,10 @@ def keys_grams() -> Column:
 #: Key sets by name; base is the first generation, passes the second and third, the others are variants.
 PRESETS: dict[str, Callable[[], Column]] = {
     "base": keys_base,
+    "smart": keys_smart,
+    "smart_no_alias": lambda: keys_smart(False),
+    "toy": keys_toy,
+    "priority": keys_passes,  # the same keys and passes, found without a precomputed table
     "passes": keys_passes,
     "passes_recovery": lambda: keys_passes(frozenset("ABCDF")),
     "passes_long_words": lambda: keys_passes(frozenset("B")),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkweave.sources.store import materialized
+
 
 def f_beta(tp: Column, fp: Column, fn: Column, beta: float = 0.5) -> Column:
     """1 where nothing is true and nothing linked, 0 where only one of them is empty or nothing is right."""
@@ -81,12 +83,18 @@ def candidate_counts(candidates: DataFrame, entities: DataFrame, pool: int | Non
     return out if pool is None else out.withColumn("saved", 1 - F.col("mean") / pool)
 
 
+def in_ranges(df: DataFrame, order: str) -> DataFrame:
+    """df in ranges of order, with the number of its range in __range; written, so that the ranges stay as they are."""
+    return materialized(df.repartitionByRange(order).withColumn("__range", F.spark_partition_id()), "ranges")
+
+
 def floor_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
-    """The element at place floor(n * q) of the sorted values, found over distinct values and their counts."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("all"))
-    placed = counts.withColumn("upto", F.sum("n").over(Window.orderBy(column))).crossJoin(F.broadcast(total))
-    return placed.where(F.col("upto") > F.least(F.floor(F.col("all") * q), F.col("all") - 1)).agg(F.min(column).alias("value"))
+    """The element at place floor(n * q) of the sorted values, by counts of ranges and then of values within them."""
+    counts = in_ranges(df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")), column)
+    before = counts.groupBy("__range").agg(F.sum("n").alias("n")).select("__range", (F.sum("n").over(Window.orderBy("__range")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    within = F.sum("n").over(Window.partitionBy("__range").orderBy(column))
+    placed = counts.withColumn("within", within).join(F.broadcast(before), "__range")  # as many rows as ranges
+    return placed.where(F.col("before") + F.col("within") > F.least(F.floor(F.col("all") * q), F.col("all") - 1)).agg(F.min(column).alias("value"))
 
 
 def histogram(df: DataFrame, column: str, edges: list[float], right: bool = True) -> DataFrame:
@@ -130,10 +138,20 @@ def contamination(truth: DataFrame, candidates: DataFrame, entities: DataFrame)
 
 
 def runs(df: DataFrame, column: str, line: str) -> DataFrame:
-    """Runs of equal values in the order of lines: value, first line, length."""
-    w = Window.orderBy(line)
-    new = df.withColumn("new", F.when(F.col(column) == F.lag(column).over(w), 0).otherwise(1))
-    return new.withColumn("run", F.sum("new").over(w)).groupBy("run", column).agg(F.min(line).alias("first"), F.count("*").alias("n")).drop("run")
+    """Runs of equal values in the order of lines: value, first line, length. Runs are found within ranges of lines, then put
+    together where a range begins with the value that the one before ended with."""
+    rows = in_ranges(df.select(column, line), line)
+    w = Window.partitionBy("__range").orderBy(line)
+    new = rows.withColumn("new", F.when(F.col(column) == F.lag(column).over(w), 0).otherwise(1))
+    own = new.withColumn("run", F.sum("new").over(w)).groupBy("__range", "run", column).agg(F.min(line).alias("first"), F.count("*").alias("n"))
+    last = Window.partitionBy("__range").orderBy(F.desc("run"))
+    ends = own.withColumn("r", F.row_number().over(last)).where("r = 1").select("__range", F.col("run").alias("runs"), F.col(column).alias("ended"))
+    start = own.where("run = 1").select("__range", F.col(column).alias("began"))
+    over = Window.orderBy("__range")  # as many rows as ranges
+    edges = ends.join(start, "__range").withColumn("same", F.coalesce(F.col("began") == F.lag("ended").over(over), F.lit(False)).cast("int"))
+    edges = edges.select("__range", (F.sum(F.col("runs") - F.col("same")).over(over) - F.col("runs")).alias("before"))
+    placed = own.join(F.broadcast(edges), "__range").withColumn("run", F.col("run") + F.col("before"))
+    return placed.groupBy("run", column).agg(F.min("first").alias("first"), F.sum("n").alias("n")).drop("run")
 
 
 def differences(points: DataFrame, order: str, *columns: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkweave.functions import similarity as S
+from sparkweave.operators.retrieval import token_idf
 
 NAME = "name_exact name_ratio name_sort name_set name_partial name_jaccard name_shared name_gap name_gap_share alias".split()
 ADDRESS = "addr_exact addr_ratio addr_sort addr_set addr_partial addr_jaccard number_jaccard number_shared addr_gap addr_blank".split()
@@ -43,24 +44,28 @@ def basic(rows: DataFrame) -> DataFrame:
     blank = (a["address"] == "") | (b["address"] == "")
     unless = lambda c: F.when(blank, 0.0).otherwise(c)
     gap = lambda f: F.abs(F.length(a[f]) - F.length(b[f])).cast("double")
-    latin = F.when(b["latin_name"] != "", S.token_sort_ratio(a["name"], b["latin_name"])).when(a["latin_name"] != "", S.token_sort_ratio(a["latin_name"], b["name"])).otherwise(0.0)
+    # A side whose transliteration is blank compares blank strings, which costs nothing.
+    other = F.when(b["latin_name"] != "", F.struct(a["name"].alias("x"), b["latin_name"].alias("y"))).when(a["latin_name"] != "", F.struct(a["latin_name"].alias("x"), b["name"].alias("y")))
+    rows = rows.withColumns({"__name": S.string_scores(a["name"], b["name"]), "__addr": S.string_scores(F.when(~blank, a["address"]).otherwise(""), F.when(~blank, b["address"]).otherwise("")), "__latin": S.token_sort_ratio(F.coalesce(other["x"], F.lit("")), F.coalesce(other["y"], F.lit("")))})
+    latin = F.when((a["latin_name"] == "") & (b["latin_name"] == ""), 0.0).otherwise(F.col("__latin"))
+    name, address = F.col("__name"), F.col("__addr")
     out = rows.select(
         "*",
         flag((a["name"] == b["name"]) & (a["name"] != "")).alias("name_exact"),
-        (S.ratio(a["name"], b["name"]) / 100).alias("name_ratio"),
-        (S.token_sort_ratio(a["name"], b["name"]) / 100).alias("name_sort"),
-        (S.token_set_ratio(a["name"], b["name"]) / 100).alias("name_set"),
-        (S.partial_ratio(a["name"], b["name"]) / 100).alias("name_partial"),
+        (name["ratio"] / 100).alias("name_ratio"),
+        (name["sort"] / 100).alias("name_sort"),
+        (name["set"] / 100).alias("name_set"),
+        (name["partial"] / 100).alias("name_partial"),
         S.jaccard(a["name_tokens"], b["name_tokens"]).alias("name_jaccard"),
         S.shared(a["name_tokens"], b["name_tokens"]).cast("double").alias("name_shared"),
         gap("name").alias("name_gap"),
         (1 - gap("name") / F.greatest(F.length(a["name"]), F.length(b["name"]), F.lit(1))).alias("name_gap_share"),
         F.lit(0.0).alias("alias"),
         flag((a["address"] == b["address"]) & ~blank).alias("addr_exact"),
-        unless(S.ratio(a["address"], b["address"]) / 100).alias("addr_ratio"),
-        unless(S.token_sort_ratio(a["address"], b["address"]) / 100).alias("addr_sort"),
-        unless(S.token_set_ratio(a["address"], b["address"]) / 100).alias("addr_set"),
-        unless(S.partial_ratio(a["address"], b["address"]) / 100).alias("addr_partial"),
+        unless(address["ratio"] / 100).alias("addr_ratio"),
+        unless(address["sort"] / 100).alias("addr_sort"),
+        unless(address["set"] / 100).alias("addr_set"),
+        unless(address["partial"] / 100).alias("addr_partial"),
         S.jaccard(a["address_tokens"], b["address_tokens"]).alias("addr_jaccard"),
         S.jaccard(a["numbers"], b["numbers"]).alias("number_jaccard"),
         S.shared(a["numbers"], b["numbers"]).cast("double").alias("number_shared"),
@@ -68,13 +73,13 @@ def basic(rows: DataFrame) -> DataFrame:
         flag(blank).alias("addr_blank"),
         flag((a["country"] == b["country"]) & (a["country"] != "")).alias("country_same"),
         flag(b["source"] == "S3").alias("is_s3"),
-        (F.greatest(S.token_sort_ratio(a["name"], b["name"]), latin) / 100).alias("latin_sort"),
+        (F.greatest(name["sort"], latin) / 100).alias("latin_sort"),
         S.jaccard(a["grams"], b["grams"]).alias("gram_jaccard"),
         flag(F.arrays_overlap(a["numbers"], b["numbers"])).alias("number_any"),
         F.when((a["pincode"] == "") | (b["pincode"] == ""), 0.0).when(a["pincode"] == b["pincode"], 1.0).otherwise(-1.0).alias("pin"),
     )
     n, d, e = F.col("name_sort"), F.col("addr_sort"), F.col("addr_blank") == 1
-    return out.select(
+    return out.drop("__name", "__addr", "__latin").select(
         "*",
         F.when(e, n * n).otherwise(n * d).alias("both_product"),
         F.when(e, n).otherwise(F.least(n, d)).alias("both_min"),
@@ -130,13 +135,16 @@ def variants(rows: DataFrame) -> DataFrame:
     )
 
 
-def weighted(rows: DataFrame, idf: DataFrame, fix_scale: bool = False) -> DataFrame:
-    """Adds the features of F63 after F44; idf has token, idf. fix_scale compares the name score in percent."""
+def weighted(rows: DataFrame, entities: DataFrame, fix_scale: bool = False) -> DataFrame:
+    """Adds the features of F63 after F44; entities (with name_tokens) give words their weights, a word that none of them has
+    that of a word never seen. fix_scale compares the name score in percent."""
+    seen, unseen = token_idf(entities)
     a, b = F.col("a"), F.col("b")
     shared, apart = F.array_intersect(a["name_tokens"], b["name_tokens"]), F.array_union(F.array_except(a["name_tokens"], b["name_tokens"]), F.array_except(b["name_tokens"], a["name_tokens"]))
     words = rows.select("s1", "cand", F.explode(F.concat(F.transform(shared, lambda t: F.struct(t.alias("token"), F.lit(True).alias("both"))), F.transform(apart, lambda t: F.struct(t.alias("token"), F.lit(False).alias("both"))))).alias("w")).select("s1", "cand", "w.*")
     both = lambda agg: agg(F.when(F.col("both"), F.col("idf")))
-    sums = words.join(idf, "token", "left").groupBy("s1", "cand").agg(both(F.sum).alias("sum_shared"), F.sum("idf").alias("sum_all"), both(F.max).alias("idf_max_shared"), F.max(F.when(~F.col("both"), F.col("idf"))).alias("idf_max_unshared"))
+    found = words.join(seen, "token", "left").crossJoin(F.broadcast(unseen)).withColumn("idf", F.coalesce("idf", "unseen"))
+    sums = found.groupBy("s1", "cand").agg(both(F.sum).alias("sum_shared"), F.sum("idf").alias("sum_all"), both(F.max).alias("idf_max_shared"), F.max(F.when(~F.col("both"), F.col("idf"))).alias("idf_max_unshared"))
     rows = rows.join(sums, ["s1", "cand"], "left").fillna(0.0, ["sum_shared", "sum_all", "idf_max_shared", "idf_max_unshared"])
     pins = (a["pincode"] != "") & (b["pincode"] != "")
     score = F.col("name_ratio") * (100 if fix_scale else 1)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkweave.operators.evaluate import folds
+from sparkweave.sources.store import materialized
 
 #: Boosted trees by name: rounds, learning rate, depth, least rows of a leaf, share of rows (fixed values; Spark has no leaf limit).
 BOOSTED = {
@@ -39,6 +39,14 @@ def fit(rows: DataFrame, features: list[str], kind: str = "boosted", rounds: int
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), classifier(kind, rounds)]).fit(rows)
 
 
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def score(model: PipelineModel, rows: DataFrame, name: str = "p") -> DataFrame:
     out = model.transform(rows)
     return out.withColumn(name, F.get(vector_to_array("probability"), F.lit(1))).drop("features", "rawPrediction", "probability", "prediction")
@@ -46,8 +54,8 @@ def score(model: PipelineModel, rows: DataFrame, name: str = "p") -> DataFrame:
 
 def out_of_fold(rows: DataFrame, features: list[str], kind: str = "boosted", n: int = 5, rounds: int | None = None) -> DataFrame:
     """rows with fold and p, each scored by a model of the other folds; all pairs of a record share a fold."""
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # each fit passes over them many times
-    rows = rows.join(folds(rows, n), "s1").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = materialized(rows, "pairs")  # each fit passes over them many times
+    rows = materialized(rows.join(folds(rows, n), "s1"), "folds")
     parts = [score(fit(rows.where(F.col("fold") != k), features, kind, rounds), rows.where(F.col("fold") == k)) for k in range(n)]
     return reduce(DataFrame.unionByName, parts)
 

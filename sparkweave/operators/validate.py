@@ -14,24 +14,25 @@ def _ids(text: Column) -> Column:
 
 def violations(rows: DataFrame, column: str, entities: DataFrame, known: DataFrame | None = None, name: str = "matching") -> DataFrame:
     """Of rows (source1_entity_id, column): repeated records, repeated or own or wrongly named or unknown partners, missing
-    and extra records. known (entity_id) is only checked where given."""
+    and extra records. known (entity_id) is only checked where given.
+
+    What a row shows by itself is found in one pass; records are counted and met with entities once.
+    """
     own = rows.select(F.trim("source1_entity_id").alias("s1"), _ids(F.col(column)).alias("ids"))
-    flat = own.select("s1", F.explode("ids").alias("id"))
-    parts = [
-        ("duplicate_row", own.groupBy("s1").count().where("count > 1").select(F.col("s1").alias("id"))),
-        ("duplicate_id", own.where(F.size("ids") > F.size(F.array_distinct("ids"))).select(F.col("s1").alias("id"))),
-        ("self_match", flat.where("id like 'S1-%'").select("id")),
-        ("wrong_prefix", flat.where("id not like 'S1-%' and id not like 'S2-%' and id not like 'S3-%'").select("id")),
-        ("missing_row", entities.select(F.col("s1").alias("id")).join(own.select(F.col("s1").alias("id")), "id", "left_anti")),
-        ("extra_row", own.select(F.col("s1").alias("id")).join(entities.select(F.col("s1").alias("id")), "id", "left_anti")),
-    ]
+    broken = lambda rule, id_: F.struct(F.lit(rule).alias("rule"), id_.alias("id"))
+    named = lambda p: F.exists(F.array(*map(F.lit, ("S1-", "S2-", "S3-"))), lambda x: p.startswith(x))
+    each = F.concat(
+        F.when(F.size("ids") > F.size(F.array_distinct("ids")), F.array(broken("duplicate_id", F.col("s1")))).otherwise(F.array()),
+        F.transform(F.filter("ids", lambda x: x.startswith("S1-")), lambda x: broken("self_match", x)),
+        F.transform(F.filter("ids", lambda x: ~named(x)), lambda x: broken("wrong_prefix", x)),
+    )
+    counts = own.groupBy("s1").agg(F.count("*").alias("n")).join(entities.select("s1", F.lit(True).alias("there")), "s1", "full")
+    of_record = F.filter(F.array(F.when(F.col("n") > 1, "duplicate_row"), F.when(F.col("n").isNull(), "missing_row"), F.when(F.col("there").isNull(), "extra_row")), lambda x: x.isNotNull())
+    out = own.select(F.explode(each).alias("x")).select("x.rule", "x.id").unionByName(counts.select(F.explode(of_record).alias("rule"), F.col("s1").alias("id")))
     if known is not None:
-        parts.append(("unknown_id", flat.select("id").join(known.select(F.col("entity_id").alias("id")), "id", "left_anti")))
-    out = None
-    for rule, df in parts:
-        df = df.select(F.lit(name).alias("file"), F.lit(rule).alias("rule"), F.lit("error").alias("severity"), "id")
-        out = df if out is None else out.unionByName(df)
-    return out
+        flat = own.select(F.explode("ids").alias("id")).join(known.select(F.col("entity_id").alias("id")), "id", "left_anti")
+        out = out.unionByName(flat.select(F.lit("unknown_id").alias("rule"), "id"))
+    return out.select(F.lit(name).alias("file"), "rule", F.lit("error").alias("severity"), "id")
 
 
 def containment(matches: DataFrame, candidates: DataFrame, level: str = "lenient") -> DataFrame:

@@ -1,12 +1,13 @@
 """Registered queries of the record-linkage operators over the supplied tables, with SQL where there is one.
 
-Documents serve as records of three sources; true partners of a source-1 document are the first documents of the other
-sources with the same text. Each query runs over whole tables.
+Every two lines of a document are a record (name and address) of one of three sources, so whole texts are read; true partners
+of a source-1 record are the first records of the other sources with the same lines. Each query runs over whole tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from sparkweave.operators import blocking, decide, evaluate, features, learn, re
 from sparkweave.operators.entity import entities
 from sparkweave.plans import sql
 from sparkweave.sources.records import documents_as_records, results
+from sparkweave.sources.store import materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,30 +43,53 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_as_records(table(spark, sf_dir, "documents"))
 
 
-def both_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    ents = entities(records(spark, sf_dir))
-    return ents.where("source = 'S1'"), ents.where("source <> 'S1'")
+class Linked:
+    """What most queries go through, each part made when it is first asked for: entities and pairs are written once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def raw(self) -> DataFrame:
+        return records(self.spark, self.sf_dir)
 
+    @cached_property
+    def ents(self) -> DataFrame:
+        return materialized(entities(self.raw), "entities")
 
-def budgeted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left, right = both_sides(spark, sf_dir)
-    return blocking.candidates(left, right, blocking.keys_passes(), {4: 150}, 120)
+    @property
+    def left(self) -> DataFrame:
+        return self.ents.where("source = 'S1'")
 
+    @property
+    def right(self) -> DataFrame:
+        return self.ents.where("source <> 'S1'")
 
-def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", (F.col("doc_id") % 3).alias("src"), F.sha2("text", 256).alias("h"))
-    low = docs.where("src <> 0").groupBy("h", "src").agg(F.min("doc_id").alias("low"))
-    return docs.where("src = 0").join(low.withColumnRenamed("src", "other"), "h").select(F.concat(F.lit("S1-"), "doc_id").alias("s1"), F.concat(F.lit("S"), F.col("other") + 1, F.lit("-"), "low").alias("cand"))
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """Pairs by the ordered passes; the fifth pass, single words of names, has the stricter cap."""
+        return materialized(blocking.candidates(self.left, self.right, blocking.keys_passes(), {5: 150}, 120), "pairs")
 
+    @cached_property
+    def truth(self) -> DataFrame:
+        own = self.raw.where("business_name <> ''").select("entity_id", F.left("entity_id", F.lit(2)).alias("src"), F.sha2(F.concat_ws("\u0001", "business_name", "business_address"), 256).alias("h"))
+        low = own.where("src <> 'S1'").groupBy("h", "src").agg(F.min("entity_id").alias("cand"))
+        return materialized(own.where("src = 'S1'").select(F.col("entity_id").alias("s1"), "h").join(low, "h").select("s1", "cand"), "truth")
 
-def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).where("entity_id like 'S1-%'").select(F.col("entity_id").alias("s1"), "country")
+    @property
+    def ids(self) -> DataFrame:
+        return self.left.select(F.col("entity_id").alias("s1"), "country")
 
+    def paired(self, *columns: str) -> DataFrame:
+        """Pairs with both entities, of which only the named columns are read."""
+        some = [df.select("entity_id", *columns) for df in (self.left, self.right)]
+        return features.paired(self.pairs, *some)
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Budgeted pairs with the share of common name words as their score."""
-    rows = features.paired(budgeted(spark, sf_dir), *both_sides(spark, sf_dir))
-    return rows.select("s1", "cand", F.round(S.jaccard(F.col("a.name_tokens"), F.col("b.name_tokens")), 6).alias("p"), F.col("a.country").alias("ca"), F.col("b.country").alias("cb"), F.col("a.pincode").alias("pa"), F.col("b.pincode").alias("pb"))
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Pairs with the share of common name words as their score."""
+        rows = self.paired("name_tokens", "country", "pincode")
+        return materialized(rows.select("s1", "cand", F.round(S.jaccard(F.col("a.name_tokens"), F.col("b.name_tokens")), 6).alias("p"), F.col("a.country").alias("ca"), F.col("b.country").alias("cb"), F.col("a.pincode").alias("pa"), F.col("b.pincode").alias("pb")), "scored")
 
 
 def joined(column: str):
@@ -135,20 +160,22 @@ def pr_posting_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("WITH " + sql.PAIRS + " SELECT s1, cand, CAST(ord AS INTEGER) AS ord FROM pairs")
 def jn_budgeted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN1, JN2, WN3: pruned key join with a budget of candidates for each record."""
-    return budgeted(spark, sf_dir).select("s1", "cand", "ord")
+    w = Linked(spark, sf_dir)
+    return w.pairs.select("s1", "cand", "ord")
 
 
 @registered()
 def jn_two_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BK12: composite keys, and single words only where those find little."""
-    return blocking.two_tier(*both_sides(spark, sf_dir)).select("s1", "cand", "ord")
+    w = Linked(spark, sf_dir)
+    return blocking.two_tier(w.left, w.right).select("s1", "cand", "ord")
 
 
 @registered()
 def jn_stem_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BK6, PR6: rare stems with the evidence gate."""
-    left, right = both_sides(spark, sf_dir)
-    rows = features.paired(blocking.stem_probe(left, right), left, right)
+    w = Linked(spark, sf_dir)
+    rows = features.paired(blocking.stem_probe(w.left, w.right), w.left, w.right)
     return rows.where(decide.evidence(F.col("a"), F.col("b"), S.token_sort_ratio(F.col("a.address"), F.col("b.address")), F.col("stem"))).select("s1", "cand", "stem")
 
 
@@ -160,7 +187,8 @@ def jn_stem_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM pairs p JOIN ents a ON p.s1 = a.entity_id JOIN ents b ON p.cand = b.entity_id JOIN scored s ON s.s1 = p.s1 AND s.cand = p.cand""")
 def fe_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SK5-SK7 and the features made of sets and lengths."""
-    rows = features.paired(budgeted(spark, sf_dir), *both_sides(spark, sf_dir))
+    w = Linked(spark, sf_dir)
+    rows = w.paired("name", "name_tokens", "numbers", "pincode")
     a, b = F.col("a"), F.col("b")
     return rows.select(
         "s1", "cand", features.flag((a["name"] == b["name"]) & (a["name"] != "")).alias("name_exact"), F.round(S.jaccard(a["name_tokens"], b["name_tokens"]), 6).alias("name_jaccard"),
@@ -173,20 +201,55 @@ def fe_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("WITH " + sql.PAIRS + " SELECT count(*) AS n_pairs, count(*) FILTER (ca <> '' AND cb <> '' AND ca <> cb) AS n_gated, count(*) FILTER (p >= 0.5) AS n_half FROM scored")
 def pr_country_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PR1, JN10: how many candidate pairs the country gate would reject."""
-    return scored(spark, sf_dir).agg(F.count("*").alias("n_pairs"), F.count_if(~decide.country_gate(F.col("ca"), F.col("cb"))).alias("n_gated"), F.count_if(F.col("p") >= 0.5).alias("n_half"))
+    w = Linked(spark, sf_dir)
+    return w.scored.agg(F.count("*").alias("n_pairs"), F.count_if(~decide.country_gate(F.col("ca"), F.col("cb"))).alias("n_gated"), F.count_if(F.col("p") >= 0.5).alias("n_half"))
 
 
-def all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocked pairs with every feature up to F63; nothing is retrieved here, so cosine and rank are zero."""
-    left, right = both_sides(spark, sf_dir)
-    rows = features.paired(budgeted(spark, sf_dir), left, right).where(decide.country_gate(F.col("a.country"), F.col("b.country"))).select("*", F.lit(0.0).alias("cosine"), F.lit(0).alias("rank"), F.lit("block").alias("provenance"))
-    return features.weighted(features.variants(features.retrieved(features.with_alias(features.basic(rows)))), retrieval.token_idf(right)[0].select("token", "idf"))
+def all_features(w: Linked) -> DataFrame:
+    """Blocked pairs with every feature there is. Cosine and rank are those of the share of common name words, as retrieval
+    would give them: the ten best of a record have a rank, the others none."""
+    best = decide.ranked(w.scored, 10).where("p >= 0.3").select("s1", "cand", F.col("p").alias("cosine"), "rank")
+    both = retrieval.union(w.pairs, best)
+    rows = features.paired(both, w.left, w.right).where(decide.country_gate(F.col("a.country"), F.col("b.country")))
+    return features.weighted(features.variants(features.retrieved(features.with_alias(features.basic(rows)))), w.right)
 
 
 @registered()
 def fe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SK1-SK4, F26 to F63 on all blocked pairs."""
-    return all_features(spark, sf_dir).select("s1", "cand", *features.F63)
+    """SK1-SK4, F26 to F63 with F35a, F35b, F40 and F51 on all blocked pairs, scored on whole names and addresses."""
+    every = dict.fromkeys(f for names in features.PRESETS.values() for f in names)
+    return all_features(Linked(spark, sf_dir)).select("s1", "cand", *every)
+
+
+NAMES_TWO = " FROM pairs p JOIN ents a ON p.s1 = a.entity_id JOIN ents b ON p.cand = b.entity_id"
+
+
+@registered("WITH " + sql.PAIRS + """, idf AS (SELECT token, ln((SELECT count(*) FROM ents WHERE source <> 'S1') + 1) - ln(count(*) + 1) + 1 AS idf FROM (SELECT unnest(name_tokens) AS token FROM ents WHERE source <> 'S1') GROUP BY token),
+  wrds AS (SELECT p.s1, p.cand, unnest(list_distinct(a.name_tokens || b.name_tokens)) AS token, a.name_tokens AS x, b.name_tokens AS y""" + NAMES_TWO + """),
+  wgt AS (SELECT w.s1, w.cand, list_contains(x, w.token) AND list_contains(y, w.token) AS shared, coalesce(idf, ln((SELECT count(*) FROM ents WHERE source <> 'S1') + 1) + 1) AS idf FROM wrds w LEFT JOIN idf USING (token))
+SELECT p.s1, p.cand, round(coalesce(sum(idf) FILTER (shared), 0), 5) AS idf_shared, round(coalesce(coalesce(sum(idf) FILTER (shared), 0) / (sum(idf) + 1e-5), 0), 5) AS idf_jaccard,
+  round(coalesce(max(idf) FILTER (shared), 0), 5) AS idf_max_shared, round(coalesce(max(idf) FILTER (NOT shared), 0), 5) AS idf_max_unshared,
+  CAST(coalesce(max(idf) FILTER (shared), 0) >= 7 AS DOUBLE) AS rare_shared, CAST(coalesce(max(idf) FILTER (NOT shared), 0) >= 7 AND coalesce(max(idf) FILTER (shared), 0) < 7 AS DOUBLE) AS rare_conflict,
+  count(*) FILTER (NOT shared) AS n_apart FROM pairs p LEFT JOIN wgt w ON p.s1 = w.s1 AND p.cand = w.cand GROUP BY ALL""")
+def fe_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK9, ST3, F63: weighted words that names share or not, words that no candidate has among them."""
+    w = Linked(spark, sf_dir)
+    rows = w.paired("name", "name_tokens", "address_tokens", "pincode", "url").withColumns({"addr_blank": F.lit(0), "name_ratio": F.lit(0.0)})
+    apart = F.size(F.array_except(F.col("a.name_tokens"), F.col("b.name_tokens"))) + F.size(F.array_except(F.col("b.name_tokens"), F.col("a.name_tokens")))
+    own = features.weighted(rows, w.right)
+    return own.select("s1", "cand", *(F.round(c, 5).alias(c) for c in ("idf_shared", "idf_jaccard", "idf_max_shared", "idf_max_unshared")), "rare_shared", "rare_conflict", apart.cast("long").alias("n_apart"))
+
+
+@registered("WITH " + sql.PAIRS + """, m AS (SELECT p.s1, p.cand, s.p, a.name AS an, b.name AS bn, a.address AS aa, b.address AS ba, a.country AS ca, b.country AS cb""" + NAMES_TWO + """ JOIN scored s ON s.s1 = p.s1 AND s.cand = p.cand)
+SELECT s1, cand, CASE WHEN an = bn AND an <> '' AND aa = ba AND aa <> '' AND ca = cb AND ca <> '' THEN 1.0 ELSE p END AS p, CASE WHEN length(an) > 3 AND an = bn AND (aa = ba OR aa = '' OR ba = '') THEN 'exact' ELSE 'model' END AS rule,
+  round(p * 100, 4) >= 60 OR round(length(an) / greatest(length(bn), 1) * 100, 4) >= 60 AS kept FROM m""")
+def pr_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PR3, PR7, PR9: instant matches, the hybrid rule on name, address and country, and a veto on two name scores."""
+    w = Linked(spark, sf_dir)
+    rows = w.paired("name", "address", "country").join(w.scored.select("s1", "cand", F.col("p").alias("q")), ["s1", "cand"])
+    share = lambda c: F.round(c * 100, 4)
+    kept = decide.name_veto(share(F.col("q")), share(F.length("a.name") / F.greatest(F.length("b.name"), F.lit(1))), 60)
+    return decide.hybrid(decide.scored_by_rule(rows, F.col("q")).withColumn("p", F.col("q"))).select("s1", "cand", "p", "rule", kept.alias("kept"))
 
 
 COUNTS = ", hit AS (SELECT s.s1, s.cand FROM scored s WHERE p >= 0.5), c0 AS (SELECT s1, cand, max(t) AS t, max(l) AS l FROM (SELECT s1, cand, 1 AS t, 0 AS l FROM truth UNION ALL SELECT s1, cand, 0, 1 FROM hit) GROUP BY ALL), c1 AS (SELECT s1, sum(t * l) AS tp0, sum((1 - t) * l) AS fp0, sum(t * (1 - l)) AS fn0 FROM c0 GROUP BY s1), per AS (" + sql.counted("(SELECT i.*, coalesce(tp0, 0) AS tp, coalesce(fp0, 0) AS fp, coalesce(fn0, 0) AS fn FROM ids i LEFT JOIN c1 USING (s1)) i") + ")"
@@ -200,7 +263,8 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 @registered("WITH " + sql.PAIRS + COUNTS + f", x AS (SELECT 'all' AS slice, 'all' AS value, * FROM per UNION ALL SELECT 'cardinality', CASE n_true WHEN 0 THEN 'zero' WHEN 1 THEN 'one' ELSE 'multi' END, * FROM per UNION ALL SELECT 'country', country, * FROM per) SELECT slice, value, {SUMMARY} FROM x GROUP BY slice, value")
 def ev_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EV1-EV3, AG3-AG6: macro and micro scores for all, by cardinality and by country."""
-    counts = evaluate.per_entity(truth(spark, sf_dir), decide.accept(scored(spark, sf_dir), 0.5), ids(spark, sf_dir))
+    w = Linked(spark, sf_dir)
+    counts = evaluate.per_entity(w.truth, decide.accept(w.scored, 0.5), w.ids)
     return rounded(evaluate.slices(counts), "macro_f", "macro_p", "macro_r").drop("micro_p", "micro_r")
 
 
@@ -210,51 +274,59 @@ TAUS = [0.3, 0.5, 0.7, 0.9]
 @registered("WITH " + sql.PAIRS + ", tau AS (SELECT unnest([0.3, 0.5, 0.7, 0.9])::DOUBLE AS tau), c0 AS (SELECT tau, s1, cand, max(t) AS t, max(l) AS l FROM (SELECT tau, s1, cand, 1 AS t, 0 AS l FROM truth, tau UNION ALL SELECT tau, s1, cand, 0, 1 FROM scored, tau WHERE p >= tau) GROUP BY ALL), c1 AS (SELECT tau, s1, sum(t * l) AS tp0, sum((1 - t) * l) AS fp0, sum(t * (1 - l)) AS fn0 FROM c0 GROUP BY ALL), per AS (" + sql.counted("(SELECT i.*, x.tau, coalesce(tp0, 0) AS tp, coalesce(fp0, 0) AS fp, coalesce(fn0, 0) AS fn FROM ids i CROSS JOIN tau x LEFT JOIN c1 ON c1.s1 = i.s1 AND c1.tau = x.tau) i", ", tau") + ") SELECT tau, round(avg(f), 6) AS macro_f, round(avg(p), 6) AS macro_p, round(avg(r), 6) AS macro_r FROM per GROUP BY tau")
 def dc_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DC1, DC2: the macro score at each threshold, in one plan."""
-    return rounded(decide.sweep(scored(spark, sf_dir), truth(spark, sf_dir), ids(spark, sf_dir), TAUS), "macro_f", "macro_p", "macro_r")
+    w = Linked(spark, sf_dir)
+    return rounded(decide.sweep(w.scored, w.truth, w.ids, TAUS), "macro_f", "macro_p", "macro_r")
 
 
 @registered("WITH " + sql.PAIRS + ", m AS (SELECT *, row_number() OVER w AS n, p - coalesce(lead(p) OVER w, 0) AS margin FROM scored WINDOW w AS (PARTITION BY s1 ORDER BY p DESC, cand)), base AS (SELECT s1, cand FROM scored WHERE p >= 0.9) SELECT s1, cand FROM base UNION ALL SELECT s1, cand FROM m WHERE n = 1 AND p >= 0.5 AND round(margin, 6) >= 0.1 AND NOT (pa <> '' AND pb <> '' AND pa <> pb) AND s1 NOT IN (SELECT s1 FROM base)")
 def dc_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DC6, WN2, PR8: links above a threshold, and clear best pairs of records without any."""
+    w = Linked(spark, sf_dir)
     conflict = (F.col("pa") != "") & (F.col("pb") != "") & (F.col("pa") != F.col("pb"))
-    return decide.rescue(scored(spark, sf_dir), 0.9, 0.5, 0.0999999, conflict).select("s1", "cand")
+    return decide.rescue(w.scored, 0.9, 0.5, 0.0999999, conflict).select("s1", "cand")
 
 
 @registered("WITH " + sql.PAIRS + " SELECT s1, cand FROM (SELECT *, max(p) OVER (PARTITION BY s1) AS top FROM scored) WHERE top >= 0.8 AND p >= 0.4")
 def dc_entity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DC5, AG15: links only of records whose best score is high."""
-    return decide.entity_gate(scored(spark, sf_dir), 0.4, 0.8).select("s1", "cand")
+    w = Linked(spark, sf_dir)
+    return decide.entity_gate(w.scored, 0.4, 0.8).select("s1", "cand")
 
 
 @registered("WITH " + sql.PAIRS + " SELECT ca, count(*) AS n FROM scored WHERE p >= CASE ca WHEN 'EN' THEN 0.6 WHEN 'DE' THEN 0.4 ELSE 0.5 END GROUP BY ca")
 def dc_country_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DC3: thresholds by country."""
-    return decide.by_country(scored(spark, sf_dir), F.col("ca"), {"EN": 0.6, "DE": 0.4}, 0.5).groupBy("ca").agg(F.count("*").alias("n"))
+    w = Linked(spark, sf_dir)
+    return decide.by_country(w.scored, F.col("ca"), {"EN": 0.6, "DE": 0.4}, 0.5).groupBy("ca").agg(F.count("*").alias("n"))
 
 
 @registered("WITH " + sql.PAIRS + ", n AS (SELECT i.s1, count(p.cand) AS n FROM ids i LEFT JOIN pairs p USING (s1) GROUP BY i.s1) SELECT round(avg(n), 6) AS mean, quantile_cont(n, 0.5)::DOUBLE AS median, round(quantile_cont(n, 0.95)::DOUBLE, 6) AS p95, round(quantile_cont(n, 0.99)::DOUBLE, 6) AS p99, max(n) AS most FROM n")
 def ag_candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG8: candidates a record."""
-    return rounded(evaluate.candidate_counts(budgeted(spark, sf_dir), ids(spark, sf_dir)), "mean", "p95", "p99")
+    w = Linked(spark, sf_dir)
+    return rounded(evaluate.candidate_counts(w.pairs, w.ids), "mean", "p95", "p99")
 
 
 @registered("WITH " + sql.PAIRS + " SELECT count(*) AS n_true, count(p.cand) AS n_found, round(count(p.cand) / count(*), 6) AS recall FROM truth t LEFT JOIN pairs p USING (s1, cand)")
 def ag_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG7, JN5: share of true pairs that blocking finds."""
-    return rounded(evaluate.blocking_recall(truth(spark, sf_dir), budgeted(spark, sf_dir)), "recall")
+    w = Linked(spark, sf_dir)
+    return rounded(evaluate.blocking_recall(w.truth, w.pairs), "recall")
 
 
 @registered("WITH " + sql.PAIRS + ", e AS (SELECT s1, cand, 'FN_CANDIDATE_MISS' AS error_type FROM truth ANTI JOIN pairs USING (s1, cand) UNION ALL SELECT s1, cand, 'FN_MATCHER_REJECTED' FROM (SELECT s1, cand FROM truth SEMI JOIN pairs USING (s1, cand)) x ANTI JOIN (SELECT s1, cand FROM scored WHERE p >= 0.5) y USING (s1, cand) UNION ALL SELECT s1, cand, 'FP' FROM (SELECT s1, cand FROM scored WHERE p >= 0.5) x ANTI JOIN truth USING (s1, cand)) SELECT error_type, count(*) AS n FROM e GROUP BY error_type")
 def ta_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TA8: wrong pairs by kind."""
-    own = scored(spark, sf_dir)
-    return taxonomy.ledger(truth(spark, sf_dir), own.select("s1", "cand"), decide.accept(own, 0.5).select("s1", "cand")).groupBy("error_type").agg(F.count("*").alias("n"))
+    w = Linked(spark, sf_dir)
+    own = w.scored
+    return taxonomy.ledger(w.truth, own.select("s1", "cand"), decide.accept(own, 0.5).select("s1", "cand")).groupBy("error_type").agg(F.count("*").alias("n"))
 
 
 @registered()
 def ta_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TA1-TA7, TA9: every classification of all candidate pairs, counted."""
-    rows = taxonomy.with_scores(features.paired(budgeted(spark, sf_dir), *both_sides(spark, sf_dir)))
+    w = Linked(spark, sf_dir)
+    rows = taxonomy.with_scores(w.paired("name", "name_tokens", "numbers", "pincode"))
     hopeless, hopeful = taxonomy.recoverability(taxonomy.NAME, taxonomy.ADDR)
     kinds = {"miss_reason": taxonomy.miss_reason(), "miss_category": taxonomy.miss_category(), "miss_class": taxonomy.miss_class(), "dba_subtype": taxonomy.dba_subtype(), "recovered": taxonomy.recovered_class(), "fp": taxonomy.false_positive_class(), "fp_six": taxonomy.false_positive_class_six(), "fn": taxonomy.false_negative_class(), "recoverable": F.when(hopeless, "hopeless").when(hopeful, "hopeful").otherwise("neither")}
     all_ = F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("class")) for k, c in kinds.items()))
@@ -264,13 +336,15 @@ def ta_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("WITH " + sql.PAIRS + ", n AS (SELECT s1, count(*) AS n FROM pairs GROUP BY s1), r AS (SELECT s1, (row_number() OVER (ORDER BY n DESC, right(s1, 1), s1) - 1) % 10 AS t FROM n) SELECT s1, CAST(CASE WHEN t < 5 THEN t ELSE 9 - t END AS INTEGER) AS fold FROM r")
 def ml_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML7: folds of records, even in pairs."""
-    return evaluate.folds(budgeted(spark, sf_dir))
+    w = Linked(spark, sf_dir)
+    return evaluate.folds(w.pairs)
 
 
 @registered()
 def ml_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML4, ML7: out-of-fold scores of a logistic regression on set features."""
-    rows = fe_sets(spark, sf_dir).join(truth(spark, sf_dir).withColumn("label", F.lit(1.0)), ["s1", "cand"], "left").fillna(0.0, ["label"])
+    w = Linked(spark, sf_dir)
+    rows = fe_sets(spark, sf_dir).join(w.truth.withColumn("label", F.lit(1.0)), ["s1", "cand"], "left").fillna(0.0, ["label"])
     return learn.out_of_fold(rows, ["name_exact", "name_jaccard", "name_gap", "name_in", "number_shared", "pin"], "logistic", 3, 20).select("s1", "cand", "fold", F.round("p", 4).alias("p"))
 
 
@@ -299,7 +373,8 @@ def jn_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("WITH " + sql.ENTITIES + ", r AS (SELECT * FROM ents WHERE source <> 'S1'), d AS (SELECT token, count(*) AS df FROM (SELECT unnest(name_tokens) AS token FROM r) GROUP BY token) SELECT token, round(ln(((SELECT count(*) FROM r) + 1) / (df + 1)) + 1, 6) AS idf FROM d")
 def ag_token_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SK9, AG13: weights of name words."""
-    return rounded(retrieval.token_idf(both_sides(spark, sf_dir)[1])[0].select("token", "idf"), "idf")
+    w = Linked(spark, sf_dir)
+    return rounded(retrieval.token_idf(w.right)[0].select("token", "idf"), "idf")
 
 
 SEMANTIC = "p >= 0.6"
@@ -308,22 +383,25 @@ SEMANTIC = "p >= 0.6"
 @registered("WITH " + sql.PAIRS + ", blk AS (SELECT s1, cand FROM pairs WHERE ord <= 3), sem AS (SELECT s1, cand FROM scored WHERE p >= 0.6 AND s1 IN (SELECT s1 FROM blk)), u AS (SELECT coalesce(b.s1, s.s1) AS s1, coalesce(b.cand, s.cand) AS cand, CASE WHEN s.s1 IS NULL THEN 'block' WHEN b.s1 IS NULL THEN 'semantic' ELSE 'both' END AS provenance FROM blk b FULL JOIN sem s ON b.s1 = s.s1 AND b.cand = s.cand) SELECT provenance, t.s1 IS NOT NULL AS is_true, count(*) AS n FROM u LEFT JOIN truth t ON t.s1 = u.s1 AND t.cand = u.cand GROUP BY ALL")
 def st_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST1-ST3, PR5, AG17: union of two candidate sets with protection, by provenance and truth."""
-    hits = scored(spark, sf_dir).where(SEMANTIC).select("s1", "cand", F.col("p").alias("cosine"), F.lit(1).alias("rank"))
-    both = retrieval.union(budgeted(spark, sf_dir).where("ord <= 3"), hits)
-    return evaluate.provenance_table(both, truth(spark, sf_dir))
+    w = Linked(spark, sf_dir)
+    hits = w.scored.where(SEMANTIC).select("s1", "cand", F.col("p").alias("cosine"), F.lit(1).alias("rank"))
+    both = retrieval.union(w.pairs.where("ord <= 3"), hits)
+    return evaluate.provenance_table(both, w.truth)
 
 
 @registered("WITH " + sql.PAIRS + " SELECT country, count(*) FILTER (n = 0) AS zero, count(*) FILTER (n = 1) AS one, count(*) FILTER (n > 1) AS multi, CAST(sum(n) AS BIGINT) AS partners FROM (SELECT i.s1, i.country, count(s.cand) AS n FROM ids i LEFT JOIN (SELECT * FROM scored WHERE p >= 0.5) s USING (s1) GROUP BY ALL) GROUP BY country")
 def ag_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IO9, JN7, AG16: result rows of every record, and partners by country."""
-    own = ids(spark, sf_dir)
-    return validate.distribution(results(own, decide.accept(scored(spark, sf_dir), 0.5)), own)
+    w = Linked(spark, sf_dir)
+    own = w.ids
+    return validate.distribution(results(own, decide.accept(w.scored, 0.5)), own)
 
 
 @registered("SELECT '' AS file, '' AS rule, '' AS severity, 0::BIGINT AS n WHERE false")
 def va_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VA1-VA4, ST4, ST5: violations of the results this engine writes; there are none."""
-    own, pairs = ids(spark, sf_dir), scored(spark, sf_dir)
+    w = Linked(spark, sf_dir)
+    own, pairs = w.ids, w.scored
     found = validate.audit(results(own, decide.accept(pairs, 0.5)), results(own, pairs, "candidate_entity_ids"), own, records(spark, sf_dir).select("entity_id"))
     return found.groupBy("file", "rule", "severity").agg(F.count("*").alias("n"))
 
@@ -367,20 +445,23 @@ def ag_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("WITH " + sql.PAIRS + ", m AS (SELECT s1 FROM truth GROUP BY s1 HAVING count(*) > 1) SELECT count(*) FILTER (p.cand IS NULL) AS lost_in_blocking, count(*) FILTER (p.cand IS NOT NULL AND p.p < 0.5) AS lost_at_threshold, count(*) FILTER (p.p >= 0.5) AS found FROM truth t SEMI JOIN m USING (s1) LEFT JOIN scored p ON p.s1 = t.s1 AND p.cand = t.cand")
 def ag_secondary_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG18: where records with several partners lose them."""
-    own = scored(spark, sf_dir)
-    return evaluate.secondary_loss(truth(spark, sf_dir), own, decide.accept(own, 0.5))
+    w = Linked(spark, sf_dir)
+    own = w.scored
+    return evaluate.secondary_loss(w.truth, own, decide.accept(own, 0.5))
 
 
 @registered("WITH " + sql.PAIRS + ", z AS (SELECT i.s1, count(p.cand) AS n FROM ids i LEFT JOIN pairs p USING (s1) WHERE i.s1 NOT IN (SELECT s1 FROM truth) GROUP BY i.s1) SELECT count(*) AS entities, count(*) FILTER (n > 0) AS contaminated, CAST(coalesce(sum(n), 0) AS BIGINT) AS added FROM z")
 def ag_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG21: candidates of records that have no true partner."""
-    return evaluate.contamination(truth(spark, sf_dir), budgeted(spark, sf_dir), ids(spark, sf_dir).select("s1"))
+    w = Linked(spark, sf_dir)
+    return evaluate.contamination(w.truth, w.pairs, w.ids.select("s1"))
 
 
 @registered("WITH " + sql.PAIRS + ", g AS (SELECT k, (SELECT count(*) FROM pairs WHERE ord < k) AS candidates FROM (SELECT unnest([2, 4, 8, 16]) AS k)) SELECT CAST(k AS INTEGER) AS k, candidates, coalesce(candidates - lag(candidates) OVER (ORDER BY k), 0) AS candidates_gain FROM g")
 def wn_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN8, EV4: candidates gained along a grid of budgets of keys, in one pass over the pairs."""
-    pairs = budgeted(spark, sf_dir).select(F.explode(F.filter(F.array(*map(F.lit, (2, 4, 8, 16))), lambda k: F.col("ord") < k)).alias("k"))
+    w = Linked(spark, sf_dir)
+    pairs = w.pairs.select(F.explode(F.filter(F.array(*map(F.lit, (2, 4, 8, 16))), lambda k: F.col("ord") < k)).alias("k"))
     return evaluate.differences(pairs.groupBy("k").agg(F.count("*").alias("candidates")), "k", "candidates").fillna(0)
 
 

@@ -18,11 +18,12 @@ def _clean(column: str) -> str:
 
 
 RECORDS = """
-rec0 AS (SELECT doc_id, coalesce(text, '') AS t, lang FROM documents),
+rec0 AS (SELECT doc_id, lang, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS l FROM documents),
+rec1 AS (SELECT *, unnest(range(0, greatest(1, CAST((len(l) + 1) // 2 AS BIGINT)))) AS i FROM rec0),
 rec AS (
-  SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS entity_id, substr(split_part(t, chr(10), 1), 1, 60) AS business_name,
-    substr(replace(substr(t, length(split_part(t, chr(10), 1)) + 2), chr(10), ' '), 1, 80) AS business_address, upper(coalesce(lang, '')) AS country
-  FROM rec0
+  SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id || '-' || i AS entity_id, coalesce(l[2 * i + 1], '') AS business_name,
+    coalesce(l[2 * i + 2], '') AS business_address, upper(coalesce(lang, '')) AS country
+  FROM rec1
 )"""
 
 _STOP_N, _STOP_A = _in(W.NAME_STOP + W.NAME_STOP_MORE), _in(W.ADDRESS_STOP + W.ADDRESS_STOP_MORE)
@@ -70,7 +71,7 @@ PAIRS = (
     + """, freq AS (SELECT ktype, kval, source, count(*) AS n FROM keys WHERE source <> 'S1' GROUP BY ALL),
 post AS (SELECT DISTINCT ktype, kval, source, entity_id AS cand FROM keys WHERE source <> 'S1'),
 first AS (
-  SELECT k.entity_id AS s1, p.cand, min(k.ord) AS ord FROM keys k JOIN freq f ON k.ktype = f.ktype AND k.kval = f.kval AND f.n <= CASE k.step WHEN 4 THEN 150 ELSE 400 END
+  SELECT k.entity_id AS s1, p.cand, min(k.ord) AS ord FROM keys k JOIN freq f ON k.ktype = f.ktype AND k.kval = f.kval AND f.n <= CASE k.step WHEN 5 THEN 150 ELSE 400 END
     JOIN post p ON p.ktype = f.ktype AND p.kval = f.kval AND p.source = f.source
   WHERE k.source = 'S1' GROUP BY ALL
 ), per_key AS (SELECT s1, ord, count(*) AS n FROM first GROUP BY ALL),
@@ -78,9 +79,9 @@ cum AS (SELECT s1, ord, sum(n) OVER (PARTITION BY s1 ORDER BY ord) AS cum FROM p
 stop AS (SELECT s1, min(ord) AS stop FROM cum WHERE cum >= 120 GROUP BY s1),
 pairs AS (SELECT f.s1, f.cand, f.ord FROM first f LEFT JOIN stop s USING (s1) WHERE s.stop IS NULL OR f.ord <= s.stop),
 ids AS (SELECT entity_id AS s1, country FROM ents WHERE source = 'S1'),
-txt AS (SELECT doc_id, doc_id % 3 AS src, md5(t) AS h FROM rec0 WHERE t <> ''),
-low AS (SELECT h, src, min(doc_id) AS doc_id FROM txt WHERE src <> 0 GROUP BY ALL),
-truth AS (SELECT 'S1-' || a.doc_id AS s1, 'S' || (b.src + 1) || '-' || b.doc_id AS cand FROM txt a JOIN low b ON a.h = b.h WHERE a.src = 0),
+txt AS (SELECT entity_id, left(entity_id, 2) AS src, md5(business_name || chr(1) || business_address) AS h FROM rec WHERE business_name <> ''),
+low AS (SELECT h, src, min(entity_id) AS cand FROM txt WHERE src <> 'S1' GROUP BY ALL),
+truth AS (SELECT a.entity_id AS s1, b.cand FROM txt a JOIN low b ON a.h = b.h WHERE a.src = 'S1'),
 scored AS (
   SELECT p.s1, p.cand, a.country AS ca, b.country AS cb, a.pincode AS pa, b.pincode AS pb,
     round(CASE WHEN len(list_distinct(a.name_tokens || b.name_tokens)) = 0 THEN 0 ELSE len(list_intersect(a.name_tokens, b.name_tokens)) / len(list_distinct(a.name_tokens || b.name_tokens)) END, 6) AS p

@@ -46,6 +46,18 @@ def truth_pairs(truth: DataFrame) -> tuple[DataFrame, DataFrame]:
     return own.select("s1"), own.select("s1", F.explode(id_list(F.col("m"))).alias("cand"))
 
 
+def first_truth(truth: DataFrame, s1: DataFrame, n: int, line: str = "line") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The first n rows of truth by their line number, their records of source 1, and their true pairs."""
+    own = truth.where(F.col(line) < n)
+    ids, pairs = truth_pairs(own)
+    return own, s1.join(ids.select(F.col("s1").alias("entity_id")), "entity_id", "left_semi"), pairs
+
+
+def lookup(records: DataFrame, ids: DataFrame) -> DataFrame:
+    """The records of some identifiers (entity_id), one row each: the rest of a file is filtered out as it is read."""
+    return records.join(F.broadcast(ids.distinct()) if ids.isLocal() else ids.distinct(), "entity_id", "left_semi").dropDuplicates(["entity_id"])
+
+
 def training_pool(pool: DataFrame, pairs: DataFrame, first: int, line: str = "line") -> DataFrame:
     """Records that are true targets or among the first by their line number."""
     targets = pairs.select(F.col("cand").alias("entity_id")).distinct().withColumn("wanted", F.lit(True))
@@ -53,12 +65,18 @@ def training_pool(pool: DataFrame, pairs: DataFrame, first: int, line: str = "li
 
 
 def documents_as_records(docs: DataFrame) -> DataFrame:
-    """Records of three sources: the first line is the name, what follows the address, the language the country."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"),
-        F.substring(F.substring_index(text, "\n", 1), 1, 60).alias("business_name"),
-        F.substring(F.replace(F.substr(text, F.length(F.substring_index(text, "\n", 1)) + 2), F.lit("\n"), F.lit(" ")), 1, 80).alias("business_address"),
+    """Records of three sources: every two lines of a text are a name and an address, the language is the country.
+
+    Lines without any character but blanks don't count; a text without lines is one blank record. Nothing is cut off.
+    """
+    lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: F.trim(x) != "")
+    each = F.sequence(F.lit(0), F.greatest((F.size(lines) + 1).cast("double") / 2 - 1, F.lit(0.0)).cast("int"))
+    rows = docs.select("doc_id", "lang", lines.alias("lines"), F.explode(each).alias("at"))
+    line = lambda more: F.coalesce(F.get("lines", 2 * F.col("at") + more), F.lit(""))
+    return rows.select(
+        F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("at").cast("string")).alias("entity_id"),
+        line(0).alias("business_name"),
+        line(1).alias("business_address"),
         F.upper(F.coalesce(F.col("lang"), F.lit(""))).alias("country"),
     )
 
@@ -69,7 +87,14 @@ def results(entities: DataFrame, pairs: DataFrame, name: str = "matched_entity_i
     return entities.join(own, "s1", "left").select(F.col("s1").alias("source1_entity_id"), F.coalesce("ids", F.lit("")).alias(name))
 
 
+def in_input_order(df: DataFrame, source1: DataFrame, line: str = "line") -> DataFrame:
+    """Result rows in the order in which source 1 has its records; what it doesn't have goes last."""
+    order = source1.groupBy(F.col("entity_id").alias("source1_entity_id")).agg(F.min(line).alias("__line"))
+    return df.join(order, "source1_entity_id", "left").orderBy(F.col("__line").asc_nulls_last(), "source1_entity_id").drop("__line")
+
+
 def write_results(df: DataFrame, path: str) -> None:
+    """Tab-separated files in the order of the rows."""
     df.write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="")
 
 
@@ -83,6 +108,11 @@ def finished(spark: SparkSession, path: str) -> set[str]:
         raise
 
 
+def read_back(spark: SparkSession, path: str, source1: DataFrame, line: str = "line") -> DataFrame:
+    """The results of all countries that write_country() left, in the order of source 1."""
+    return in_input_order(spark.read.parquet(path).drop("country"), source1, line)
+
+
 def write_country(df: DataFrame, path: str, country: str) -> None:
     """Only this country's partition is replaced."""
     df.withColumn("country", F.lit(country)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("country").parquet(path)
