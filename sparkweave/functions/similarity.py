@@ -145,7 +145,7 @@ SCORES = T.StructType([T.StructField(c, T.DoubleType()) for c in ("ratio", "sort
 
 
 def all_scores(a: str, b: str) -> tuple[float, float, float, float]:
-    return indel(a, b), indel(" ".join(sorted(a.split())), " ".join(sorted(b.split()))), word_sets(a, b), best_part(a, b)
+    return indel(a, b), sorted_indel(a, b), word_sets(a, b), best_part(a, b)
 
 
 @F.pandas_udf(SCORES)
@@ -154,6 +154,16 @@ def string_scores(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([*map(_known(all_scores), zip(a, b))], columns=SCORES.names, dtype=float)
 
 
+def sorted_indel(a: str, b: str) -> float:
+    return indel(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+
+
+@F.pandas_udf(T.StructType(SCORES.fields[:2]))
+def two_scores(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """The scores of strings and of sorted words."""
+    return pd.DataFrame([*map(_known(lambda x, y: (indel(x, y), sorted_indel(x, y))), zip(a, b))], columns=SCORES.names[:2], dtype=float)
+
+
 def sorted_words(text: Column) -> Column:
     return F.array_join(F.array_sort(tokens(text)), " ")
 

@@ -37,7 +37,8 @@ a, b, NAME, ADDR = map(Named, ("a", "b", "name_sort", "addr_sort"))
 
 
 def with_scores(rows: DataFrame) -> DataFrame:
-    return rows.select("*", S.token_sort_ratio(a["name"], b["name"]).alias("name_sort"), S.token_sort_ratio(a["address"], b["address"]).alias("addr_sort"), S.ratio(a["name"], b["name"]).alias("name_ratio"), S.ratio(a["address"], b["address"]).alias("addr_ratio"))
+    both = rows.withColumns({"__name": S.two_scores(a["name"], b["name"]), "__addr": S.two_scores(a["address"], b["address"])})
+    return both.select(*rows.columns, F.col("__name.sort").alias("name_sort"), F.col("__addr.sort").alias("addr_sort"), F.col("__name.ratio").alias("name_ratio"), F.col("__addr.ratio").alias("addr_ratio"))
 
 
 def cases(*pairs: tuple[Column, str], other: str) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cached_property
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,8 @@ from sparkweave.functions import text as X
 from sparkweave.operators import blocking, decide, evaluate, features, learn, retrieval, taxonomy, validate
 from sparkweave.operators.entity import entities
 from sparkweave.plans import sql
-from sparkweave.sources.records import documents_as_records, results
-from sparkweave.sources.store import materialized
+from sparkweave.sources.records import RESULT, documents_as_records, first_truth, lookup, read_back, read_tsv, results, training_pool, write_results
+from sparkweave.sources.store import materialized, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -322,11 +323,25 @@ def ta_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taxonomy.ledger(w.truth, own.select("s1", "cand"), decide.accept(own, 0.5).select("s1", "cand")).groupBy("error_type").agg(F.count("*").alias("n"))
 
 
-@registered()
+@registered("WITH " + sql.PAIRS + ", c AS (SELECT a, b, " + sql.PERCENTS + NAMES_TWO + "), k AS (SELECT unnest([" + ", ".join(f"{{'kind': '{k}', 'class': {v}}}" for k, v in sql.CLASSES.items()) + "]) AS x FROM c) SELECT x.kind AS kind, x.class AS class, count(*) AS n FROM k GROUP BY ALL")
 def ta_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TA1-TA7, TA9: every classification of all candidate pairs, counted."""
+    """TA1-TA7, TA9: every classification of all candidate pairs, counted. Scores are shares of common words here, which SQL
+    can tell too; ta_scored has those of strings."""
+    w = Linked(spark, sf_dir)
+    a, b, percent = F.col("a"), F.col("b"), lambda c: F.round(100 * c, 4)
+    rows = features.paired(w.pairs, w.left, w.right)
+    scores = {"name_sort": S.jaccard(a["name_tokens"], b["name_tokens"]), "addr_sort": S.jaccard(a["address_tokens"], b["address_tokens"]), "name_ratio": S.overlap(a["name_tokens"], b["name_tokens"]), "addr_ratio": S.overlap(a["address_tokens"], b["address_tokens"])}
+    return classified(rows.withColumns({k: percent(c) for k, c in scores.items()}))
+
+
+@registered()
+def ta_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TA1-TA7, TA9 with the string scores they are meant for."""
     w = Linked(spark, sf_dir)
-    rows = taxonomy.with_scores(w.paired("name", "name_tokens", "numbers", "pincode"))
+    return classified(taxonomy.with_scores(features.paired(w.pairs, w.left, w.right)))
+
+
+def classified(rows: DataFrame) -> DataFrame:
     hopeless, hopeful = taxonomy.recoverability(taxonomy.NAME, taxonomy.ADDR)
     kinds = {"miss_reason": taxonomy.miss_reason(), "miss_category": taxonomy.miss_category(), "miss_class": taxonomy.miss_class(), "dba_subtype": taxonomy.dba_subtype(), "recovered": taxonomy.recovered_class(), "fp": taxonomy.false_positive_class(), "fp_six": taxonomy.false_positive_class_six(), "fn": taxonomy.false_negative_class(), "recoverable": F.when(hopeless, "hopeless").when(hopeful, "hopeful").otherwise("neither")}
     all_ = F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("class")) for k, c in kinds.items()))
@@ -397,15 +412,49 @@ def ag_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.distribution(results(own, decide.accept(w.scored, 0.5)), own)
 
 
-@registered("SELECT '' AS file, '' AS rule, '' AS severity, 0::BIGINT AS n WHERE false")
+def with_faults(rows: DataFrame, column: str, more: bool = False) -> DataFrame:
+    """Result rows with one fault of every kind planted by document number: rows left out or given twice, identifiers that are
+    the record's own, wrongly named, unknown or repeated, a record that isn't there; more: a partner that is no candidate."""
+    n, ids_, s1 = F.split("source1_entity_id", "-")[1].cast("long") % 60, F.col(column), F.col("source1_entity_id")
+    wrong = F.when(n == 9, F.concat_ws(",", ids_, s1)).when(n == 12, F.concat_ws(",", ids_, F.lit("X-1"))).when(n == 15, F.concat_ws(",", ids_, F.lit("S2-none"))).when(n == 18, F.concat_ws(",", ids_, ids_))
+    wrong = (wrong.when(n == 21, F.concat_ws(",", ids_, F.lit("S3-none"))) if more else wrong).otherwise(ids_)
+    own = rows.where(n != 3).select(s1, wrong.alias(column), F.explode(F.sequence(F.lit(1), F.when(n == 6, 2).otherwise(1))).alias("again")).drop("again")
+    return own.unionByName(rows.sparkSession.createDataFrame([("S1-extra", "")], own.schema))
+
+
+@registered("WITH " + sql.PAIRS + """, f0 AS (SELECT 'matching' AS file, i.s1, coalesce(string_agg(s.cand, ',' ORDER BY s.cand), '') AS ids FROM ids i LEFT JOIN (SELECT * FROM scored WHERE p >= 0.5) s USING (s1) GROUP BY i.s1
+    UNION ALL SELECT 'candidates', i.s1, coalesce(string_agg(s.cand, ',' ORDER BY s.cand), '') FROM ids i LEFT JOIN scored s USING (s1) GROUP BY i.s1),
+  f1 AS (SELECT *, CAST(split_part(s1, '-', 2) AS BIGINT) % 60 AS n FROM f0),
+  f2 AS (SELECT file, s1, n, CASE WHEN n = 9 THEN ids || ',' || s1 WHEN n = 12 THEN ids || ',X-1' WHEN n = 15 THEN ids || ',S2-none' WHEN n = 18 THEN ids || ',' || ids WHEN n = 21 AND file = 'matching' THEN ids || ',S3-none' ELSE ids END AS ids FROM f1 WHERE n <> 3),
+  l AS (SELECT file, s1, list_filter(string_split(ids, ','), lambda x: x <> '') AS l FROM (SELECT * FROM f2 UNION ALL SELECT * FROM f2 WHERE n = 6 UNION ALL SELECT 'matching', 'S1-extra', 0, '' UNION ALL SELECT 'candidates', 'S1-extra', 0, '')),
+  x AS (SELECT file, s1, unnest(l) AS id FROM l),
+  v AS (SELECT file, 'duplicate_row' AS rule FROM l GROUP BY file, s1 HAVING count(*) > 1 UNION ALL SELECT file, 'duplicate_id' FROM l WHERE len(l) > len(list_distinct(l)) UNION ALL SELECT file, 'self_match' FROM x WHERE id LIKE 'S1-%'
+    UNION ALL SELECT file, 'wrong_prefix' FROM x WHERE NOT regexp_matches(id, '^S[123]-') UNION ALL SELECT file, 'unknown_id' FROM x ANTI JOIN (SELECT entity_id AS id FROM rec) r USING (id)
+    UNION ALL SELECT f.file, 'missing_row' FROM ids i, (VALUES ('matching'), ('candidates')) f(file) WHERE (f.file, i.s1) NOT IN (SELECT (file, s1) FROM l)
+    UNION ALL SELECT DISTINCT file, 'extra_row' FROM l WHERE s1 NOT IN (SELECT s1 FROM ids)
+    UNION ALL SELECT 'matching', 'not_a_candidate' FROM (SELECT s1, id FROM x WHERE file = 'matching') m ANTI JOIN (SELECT s1, id FROM x WHERE file = 'candidates') c USING (s1, id))
+SELECT file, rule, 'error' AS severity, count(*) AS n FROM v GROUP BY ALL""")
 def va_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VA1-VA4, ST4, ST5: violations of the results this engine writes; there are none."""
+    """VA1-VA4, ST4, ST5: violations in result tables in which faults of every kind are planted, counted."""
     w = Linked(spark, sf_dir)
-    own, pairs = w.ids, w.scored
-    found = validate.audit(results(own, decide.accept(pairs, 0.5)), results(own, pairs, "candidate_entity_ids"), own, records(spark, sf_dir).select("entity_id"))
+    matches = with_faults(results(w.ids, decide.accept(w.scored, 0.5)), "matched_entity_ids", True)
+    candidates = with_faults(results(w.ids, w.scored, "candidate_entity_ids"), "candidate_entity_ids")
+    found = validate.audit(materialized(matches, "matches"), materialized(candidates, "candidates"), w.ids, w.ents.select("entity_id"))
     return found.groupBy("file", "rule", "severity").agg(F.count("*").alias("n"))
 
 
+@registered("WITH " + sql.PAIRS + " SELECT i.s1, coalesce(string_agg(s.cand, ',' ORDER BY s.cand), '') AS matched_entity_ids FROM ids i LEFT JOIN (SELECT * FROM scored WHERE p >= 0.5) s USING (s1) GROUP BY i.s1")
+def io_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IO9, IO10, WN7: result rows written by country, read back in the order of source 1, written and read as text."""
+    w = Linked(spark, sf_dir)
+    source1 = w.left.withColumn("line", F.split("entity_id", "-")[1].cast("long"))
+    at = f"{shared_dir(spark)}/results-{uuid4().hex}"
+    rows = results(w.ids, decide.accept(w.scored, 0.5)).join(w.ids.withColumnRenamed("s1", "source1_entity_id"), "source1_entity_id")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("country").parquet(f"{at}/store")
+    write_results(read_back(spark, f"{at}/store", source1), f"{at}/text")
+    return read_tsv(spark, f"{at}/text", RESULT).select(F.col("source1_entity_id").alias("s1"), "matched_entity_ids")
+
+
 @registered("WITH " + sql.RECORDS + " SELECT count(*) AS rows, count(*) - count(DISTINCT entity_id) AS duplicate_ids, count(*) FILTER (trim(business_name) = '') AS business_name_blank, count(*) FILTER (trim(business_address) = '') AS business_address_blank, count(*) FILTER (trim(country) = '') AS country_blank, round(avg(length(business_name)), 6) AS business_name_mean, round(avg(length(business_address)), 6) AS business_address_mean, round(avg(length(country)), 6) AS country_mean, CAST(max(length(business_name)) AS INTEGER) AS business_name_max, CAST(max(length(business_address)) AS INTEGER) AS business_address_max, CAST(max(length(country)) AS INTEGER) AS country_max FROM rec")
 def ag_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG10, IO7: blanks, duplicates and lengths of records."""

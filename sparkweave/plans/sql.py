@@ -96,3 +96,78 @@ def counted(links: str, by: str = "") -> str:
   CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25 * (tp / (tp + fp)) * (tp / (tp + fn)) / (0.25 * (tp / (tp + fp)) + tp / (tp + fn)) END AS f,
   CASE WHEN tp + fp > 0 THEN tp / (tp + fp) WHEN tp + fp + fn = 0 THEN 1.0 ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) WHEN tp + fp + fn = 0 THEN 1.0 ELSE 0.0 END AS r
 FROM {links}"""
+
+
+def _cases(*pairs: tuple[str, str], other: str) -> str:
+    return "CASE " + " ".join(f"WHEN {c} THEN '{name}'" for c, name in pairs) + f" ELSE '{other}' END"
+
+
+def _share(field: str, of: str) -> str:
+    both, of = f"len(list_intersect(a.{field}, b.{field}))", of.format(f"a.{field}", f"b.{field}")
+    return f"round(CASE WHEN {of} = 0 THEN 0 ELSE 100 * ({both} / {of}) END, 4)"
+
+
+_UNION, _LEAST = "len(list_distinct({0} || {1}))", "least(len({0}), len({1}))"
+PERCENTS = f"{_share('name_tokens', _UNION)} AS ns, {_share('address_tokens', _UNION)} AS ads, {_share('name_tokens', _LEAST)} AS nr, {_share('address_tokens', _LEAST)} AS adr"
+_BLANK, _NUMBER = "(a.address = '' OR b.address = '')", "list_has_any(a.numbers, b.numbers)"
+_APART = f"(len(a.numbers) > 0 AND len(b.numbers) > 0 AND NOT {_NUMBER})"
+_INDIC = "regexp_matches(a.raw_name || b.raw_name, '[\\x{0900}-\\x{0D7F}]')"
+_WORDS, _OWN = "list_filter(string_split({}, ' '), lambda t: t <> '')", f"list_filter(string_split({{}}, ' '), lambda t: t <> '' AND t NOT IN {_STOP_N})"
+_ALIASES = "list_filter(string_split_regex({}.raw_name, '(?i)\\b(?:aka|dba|d/b/a|formerly|f/k/a|fka)\\b'), lambda t: trim(t) <> '')"
+_ACRONYM = "array_to_string(list_transform({}, lambda t: left(t, 1)), '')"
+_SINGLE = f"(len({_WORDS.format('a.name')}) = 1 OR len({_WORDS.format('b.name')}) = 1)"
+_LONGER = "CASE WHEN length(a.name) > length(b.name) THEN a.name ELSE b.name END"
+_SHORTER = "replace(CASE WHEN length(a.name) > length(b.name) THEN b.name ELSE a.name END, ' ', '')"
+_MANY = f"(len({_ALIASES.format('a')}) > 1 OR len({_ALIASES.format('b')}) > 1)"
+
+
+def _both(pattern: str) -> str:
+    return f"regexp_matches(a.raw_name || ' ' || b.raw_name, '{pattern}')"
+
+
+def _initials(x: str, y: str) -> str:
+    own, other = _OWN.format(f"{x}.name"), _OWN.format(f"{y}.name")
+    return f"(len({own}) >= 2 AND len({other}) = 1 AND {_ACRONYM.format(own)} = {other}[1])"
+
+
+def _legal(x: str, keep: bool) -> str:
+    return f"list_sort(list_distinct(list_filter(string_split({x}.name, ' '), lambda t: t <> '' AND t {'' if keep else 'NOT'} IN {_in(W.LEGAL)})))"
+
+
+#: Every classification of a pair (a, b) with its scores ns, ads (words), nr, adr, as an expression.
+CLASSES = {
+    "miss_reason": _cases(("b.address = ''", "empty_candidate_address_and_no_name_key"), ("a.country <> b.country AND a.country <> '' AND b.country <> ''", "country_mismatch"), ("regexp_matches(b.raw_name, '[^\\x00-\\x7f]')", "non_ascii_script_in_name"), ("ns >= 80", "high_name_similarity_but_missed_key"), (_NUMBER, "shared_address_number_but_missed_composite_key"), other="low_name_and_low_address_similarity"),
+    "miss_category": _cases(
+        (_BLANK, "H_missing_address"), (_both("(?i)(\\.com|\\.in|\\.org|\\.co|\\.net|www\\.|http)") + " AND ns < 60", "D_url_domain_mismatch"), (f"{_INDIC} AND ns < 50", "B_transliteration_mismatch"),
+        (_both("(?i)\\b(dba|aka|formerly|fka|group|division)\\b") + " OR (contains(lower(a.raw_name), 'llp') AND NOT contains(lower(b.raw_name), 'ltd') AND ns < 50)", "C_dba_alias_mismatch"),
+        (f"{_APART} AND ads > 50", "F_numeric_address_mismatch"), (f"len({_WORDS.format('a.address')}) >= 6 AND len({_WORDS.format('b.address')}) <= 3 AND ns < 70", "G_geographic_granularity_mismatch"),
+        ("ns >= 75 AND ads < 40", "A_name_representation_mismatch"), ("ads >= 75 AND ns < 40", "E_address_representation_mismatch"), (f"a.name IN {_in(W.GENERIC_NAMES)}", "I_generic_name"),
+        ("ads >= 50", "E_address_representation_mismatch"), ("ns >= 50", "A_name_representation_mismatch"), other="J_other",
+    ),
+    "miss_class": _cases(
+        (f"{_INDIC} AND false", "A_cross_script_transliteration"), (_MANY, "B_dba_brand_vs_legal"), (f"{_initials('a', 'b')} OR {_initials('b', 'a')}", "K_acronym"),
+        ("(length(a.name) < 4 OR length(b.name) < 4) AND a.name <> b.name", "L_very_short_names"), ("list_sort(a.name_tokens) = list_sort(b.name_tokens) AND len(a.name_tokens) > 0", "E_legal_suffix_divergence"),
+        ("length(a.address) < 5 OR length(b.address) < 5", "G_weak_or_missing_address"), ("len(list_intersect(a.name_tokens, b.name_tokens)) = 0 AND ns < 30 AND ads > 70", "B_dba_brand_vs_legal"),
+        ("len(list_intersect(a.name_tokens, b.name_tokens)) = 0 AND ns < 30 AND ads < 40", "C_parent_vs_brand_or_unrelated"), ("len(list_intersect(a.name_tokens, b.name_tokens)) = 0", "F_missing_business_name_tokens"),
+        ("ns > 70 AND ads < 40", "H_address_granularity_or_branch"), ("nr > 60 AND ns > 65", "J_typographical_corruption"), (_APART, "H_address_granularity_or_branch"), other="N_other",
+    ),
+    "dba_subtype": _cases(
+        (_both("(?i)(\\.com|\\.in|\\.org|\\.co|\\.net|www\\.|http|@)") + f" AND (ads >= 50 OR {_NUMBER})", "C_website_domain_variation"), (_both("(?i)(\\.com|\\.in|\\.org|\\.co|\\.net|www\\.|http|@)"), "D_website_redirect_weak_address"),
+        (_both("(?i)\\b(dba|aka|formerly|fka|trade|trading as|operating as)\\b"), "A_dba_vs_legal_entity"), (_INDIC, "J_cross_script_dba"), ("length(a.address) < 10 OR length(b.address) < 10", "G_empty_or_weak_address"),
+        (f"{_SINGLE} AND {_ACRONYM.format(_OWN.format('(' + _LONGER + ')'))} <> '' AND {_ACRONYM.format(_OWN.format('(' + _LONGER + ')'))} = {_SHORTER}", "E_abbreviated_brand_acronym"),
+        (_SINGLE, "B_brand_vs_parent_company"), ("ads >= 60 AND ns < 50", "F_missing_business_name_tokens"), other="I_legal_suffix_dominating",
+    ),
+    "recovered": _cases(
+        (_BLANK, "missing_address"), (_INDIC, "transliteration"), (" OR ".join(f"contains(a.raw_name || chr(10) || b.raw_name, '{d}')" for d in (".com", ".in", ".org")), "website_domain_variation"),
+        (f"{_legal('a', False)} = {_legal('b', False)} AND {_legal('a', True)} <> {_legal('b', True)}", "legal_suffix_variation"), (_MANY, "dba_brand_variation"), ("nr >= 80 AND a.name <> b.name", "spelling_variation"),
+        ("length(a.name) <= 5 OR length(b.name) <= 5", "abbreviation"), ("ads >= 80 AND adr < 70", "reordered_address"), ("ads >= 60", "address_variation"),
+        (f"len(list_filter(list_intersect({_WORDS.format('a.name')}, {_WORDS.format('b.name')}), lambda t: t IN {_in(W.GENERIC)})) > 0", "generic_business_name"), ("contains(b.name, a.name) OR contains(a.name, b.name)", "parent_child_business"), other="other",
+    ),
+    "fp": _cases(("a.name = b.name AND a.address <> b.address", "homonymous_same_name_diff_address"), ("(ns >= 85 AND a.address = '') OR b.address = ''", "similar_name_missing_address"), ("ns >= 80 AND ads >= 60", "generic_chain_branch_collision"), other="fuzzy_noise_collision"),
+    "fp_six": _cases(
+        ("a.name = b.name AND a.address <> b.address", "same_name_diff_address"), ("len(a.numbers) > 0 AND list_sort(a.numbers) = list_sort(b.numbers) AND ns < 50", "same_address_num_diff_business"), (_BLANK, "empty_address_ambiguity"),
+        ("ns >= 85 AND a.address <> b.address", "high_name_sim_branch_or_locality"), (f"len(list_filter({_WORDS.format('a.name')}, lambda t: t IN {_in(W.GENERIC_FP)})) > 0", "generic_company_name_collision"), other="other_hard_negative",
+    ),
+    "fn": _cases((_BLANK, "missing_address_low_name_sim"), ("ns < 50", "heavy_transliteration_or_dba"), ("ads < 50", "address_format_or_landmark_mismatch"), other="marginal_probability_below_threshold"),
+    "recoverable": _cases(("ns < 30 AND ads < 30", "hopeless"), ("ns >= 50 OR ads >= 50 OR (ns >= 35 AND ads >= 35)", "hopeful"), other="neither"),
+}

@@ -13,6 +13,8 @@ from sparkweave.functions.text import country_key
 RECORD = T.StructType([T.StructField(c, T.StringType()) for c in ("entity_id", "business_name", "business_address", "country")])
 TRUTH = T.StructType([T.StructField(c, T.StringType()) for c in ("source1_entity_id", "matched_entity_ids")])
 
+RESULT = T.StructType([T.StructField(c, T.StringType()) for c in ("source1_entity_id", "matched_entity_ids")])
+
 
 def data_paths(root: str, sample: bool = False) -> dict[str, str]:
     """Places of the seven inputs: flat for a sample, else under train and test."""
