@@ -1,15 +1,16 @@
 """Exact top-k search by inner product with an impact-ordered, score-at-a-time index.
 
 Components are quantised to integers, floor(64 * x). Vectors are dealt to blocks of a bounded size by a written row number;
-a task builds the index of one block at a time, once, and the queries stream past it in chunks. The index has the postings
-of each dimension in order of value, so that for a query they lie in order of impact: the component times the value, less
-the least impact of the dimension (from the upper end where the query's component is positive, else from the lower).
+a task builds the index of one block at a time, once, and the queries stream past it in chunks. The index has posting
+segments: for each dimension the vectors whose component lies in one of RANGES ranges of values, as a list or, if many do, as
+a column with zeros for the others. For a query the impact of a posting is the component times the value, less the least
+impact of the dimension; that of a segment is the greatest in it.
 
-Each query takes the segments of all dimensions by descending impact, quantised to LEVELS steps of its own greatest one, and
-adds the exact impacts to the accumulators of their vectors. After each step, from the first on at which k vectors can be
-told, it tries a proof: a vector can still gain no more than the sum over dimensions of the next impact there. Processing
-stops only when that leaves few possible members of the k highest (or no segment); those are scored exactly from their
-vectors. The k best of each block meet in one ranking, so k rows for each query and block are shuffled.
+Each query takes the segments of all dimensions by its own descending impact, quantised to LEVELS steps of the greatest one,
+and adds the exact impacts to the accumulators of their vectors. After each step it tries a proof: a vector can still gain no
+more than the sum over dimensions of the next impact there. Processing stops only when that leaves few possible members of
+the k highest (or no segment); those are scored exactly from their vectors. The k best of each block meet in one ranking, so
+k rows for each query and block are shuffled.
 
 Vectors that are null or hold a null or non-finite component take no part; shorter vectors count as filled up with zeros.
 A query's own row (any with its vec_id) is no candidate. Ties go to the smaller vec_id; rows that repeat a vec_id rank
@@ -31,8 +32,10 @@ SCALE = 64
 K = 20
 #: Vectors of a block and queries of a chunk, about.
 BLOCK, CHUNK = 16_384, 256
-#: Steps of quantised impact.
-LEVELS = 32
+#: Ranges of values of a dimension, and steps of quantised impact.
+RANGES, LEVELS = 4, 32
+#: Share of a block from which on a segment is a column.
+MANY = 1 / 8
 #: Share of a block's vectors that may be left to exact scoring when processing stops.
 LEFT = 1 / 64
 
@@ -42,56 +45,64 @@ FOUND_SQL = "query_id long, query_row long, vec_id long, score long, processed d
 
 
 class Index:
-    """Postings of a block of integer vectors, by dimension and value."""
+    """Posting segments of a block of integer vectors, in order of the dimension and the range of values."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, ranges: int = RANGES):
         self.ids, self.vectors = ids, vectors
-        self.order = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32))
-        self.values = np.ascontiguousarray(np.take_along_axis(vectors, self.order.T, 0).T).astype(np.int64)
-
-    def schedule(self, query: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each dimension how many postings, from its end of high impact, each step has processed; and the next impact."""
-        n, up = len(self.ids), query >= 0
-        lowest = np.where(up, self.values[:, 0], self.values[:, -1])
-        most = np.abs(query) * (self.values[:, -1] - self.values[:, 0])
-        least = int(most.max(initial=0)) * np.arange(levels - 1, -1, -1) // levels
-        done, rest = np.empty((levels, len(query)), np.int64), np.zeros((levels, len(query)), np.int64)
-        for d, q in enumerate(query.tolist()):
-            if not q:
-                done[:, d] = n
-                continue
-            gain = -(-least // abs(q))  # impact >= least from this distance to the lowest value on
-            if q > 0:
-                done[:, d] = n - np.searchsorted(self.values[d], lowest[d] + gain, "left")
-                then = n - done[:, d] - 1
-            else:
-                done[:, d] = then = np.searchsorted(self.values[d], lowest[d] - gain, "right")
-            some = done[:, d] < n
-            rest[some, d] = q * (self.values[d, then[some]] - lowest[d])
-        return done, rest
+        n, width = vectors.shape
+        high = int(np.abs(vectors.astype(np.int64)).max(initial=0))
+        kind = np.float32 if 4 * width * high * high < 1 << 24 else np.float64 if 4 * width * high * high < 1 << 53 else np.int64
+        self.counts = np.zeros((width, ranges), np.int64)
+        # For queries with a positive and those with a negative component: the segments, and the greatest gain in each.
+        self.segments: tuple[list, list] = ([], [])
+        self.gains = np.zeros((2, width, ranges), np.int64)
+        for d in range(width):
+            own = vectors[:, d].astype(np.int64)
+            low, top = int(own.min()), int(own.max())
+            of = (own - low) * ranges // (top - low + 1)
+            for r in range(ranges):
+                places = np.flatnonzero(of == r)
+                self.counts[d, r] = len(places)
+                for sign, gain in enumerate((own[places] - low, top - own[places])):
+                    self.gains[sign, d, r] = gain.max(initial=0)
+                    if len(places) < MANY * n:
+                        self.segments[sign].append((places, gain.astype(kind)))
+                    else:
+                        column = np.zeros(n, kind)
+                        column[places] = gain
+                        self.segments[sign].append((None, column))
+        self.kind = kind
 
     def search(self, query: np.ndarray, query_id: int, k: int = K, left: float = LEFT, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray, float]:
         """Ids and scores of the k best of one query, in order, and the share of the postings that were processed."""
         n, query = len(self.ids), query.astype(np.int64)
-        own = np.flatnonzero(self.ids == query_id)
-        need = k + len(own)
+        need = k + int((self.ids == query_id).sum())
         members, share = np.arange(n), 0.0
         if n > need:
-            done, rest = self.schedule(query, levels)
-            lowest = np.where(query >= 0, self.values[:, 0], self.values[:, -1])
-            used = np.flatnonzero(query)
-            acc, before = np.zeros(n), np.zeros(len(query), np.int64)
-            for now, bound in zip(done, rest.sum(1)):
-                spans = [(d, n - now[d], n - before[d]) if query[d] > 0 else (d, before[d], now[d]) for d in used[now[used] > before[used]].tolist()]
-                if spans:
-                    places = np.concatenate([self.order[d, x:y] for d, x, y in spans])
-                    acc += np.bincount(places, np.concatenate([query[d] * (self.values[d, x:y] - lowest[d]) for d, x, y in spans]), n)
-                before = now
-                least = np.partition(acc, n - need)[n - need]
-                members = np.flatnonzero(acc + bound >= least)
+            weight, sign = np.abs(query), (query < 0).astype(np.int64)
+            impact = weight[:, None] * self.gains[sign, np.arange(len(query))]
+            step = -(-impact * levels // max(1, int(impact.max())))
+            order = np.argsort(-step, axis=None, kind="stable")
+            ends = np.searchsorted(-step.ravel()[order], np.arange(-levels, 0), "right").tolist()
+            acc, gain, at, width = np.zeros(n, self.kind), np.empty(n, self.kind), 0, self.counts.shape[1]
+            for level, end in zip(range(levels, 0, -1), ends):
+                if at == end:
+                    continue
+                for s in order[at:end].tolist():
+                    d = s // width
+                    places, gains = self.segments[sign[d]][s]
+                    if places is None:
+                        acc += np.multiply(gains, self.kind(weight[d]), out=gain)
+                    else:
+                        acc[places] += gains * self.kind(weight[d])
+                at = end
+                bound = int(np.where(step < level, impact, 0).max(1).sum())
+                if bound and acc.mean() + bound >= acc.max():
+                    continue  # then the average vector is a possible member yet
+                members = np.flatnonzero(acc + self.kind(bound) >= np.partition(acc, n - need)[n - need])
                 if len(members) <= max(left * n, need):
                     break
-            share = float(before[used].sum()) / max(1, n * len(used))
+            share = float(self.counts.ravel()[order[:at]].sum()) / (n * len(query))
         members = members[self.ids[members] != query_id]
         scores = self.exact(members, query)
         best = np.lexsort((self.ids[members], -scores))[:k]
