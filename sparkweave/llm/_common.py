@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -22,6 +23,7 @@ ARROW_BYTES = 4_000_000
 PIECE_BYTES = 4_000_000
 #: The ASCII white space [\x20\x09-\x0D] (fixed values).
 WHITE = " \t\n\x0b\x0c\r"
+LONG_WHITE = re.compile(rb"[\x20\x09-\x0D]+")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,6 +139,19 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def one_blank(text: bytes) -> bytes:
+    """The words of a text joined by one blank; those of a long one aren't made one by one."""
+    return LONG_WHITE.sub(b" ", text).strip(b" ") if len(text) > PIECE_BYTES else b" ".join(text.split())
+
+
+def word_bounds(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in words joined by one blank."""
+    if not joined:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    return np.concatenate([[0], blanks + 1]), np.append(blanks, len(joined))
+
+
 def no_white(text: Column) -> Column:
     """text without the characters [\\x20\\x09-\\x0D]."""
     for c in WHITE:

@@ -8,7 +8,8 @@ product of the family's and the language's probability.
 The machines learn from at most SAMPLE labelled rows a language (SAMPLE_ALL in all), chosen by a hash of the identifier,
 each as a whole and as its first words; every text is predicted whole. A null text or one without any letter is `und`
 with score 0, as is everything when there is nothing to learn from. Languages that FAMILIES doesn't know are families of
-their own. Rows that repeat get the same prediction; other columns are left aside.
+their own. Rows that repeat get the same prediction, whatever their identifiers; long texts are counted in steps; other columns are
+left aside. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ DIM = 2048
 SAMPLE, SAMPLE_ALL = 800, 6400
 #: Words of the short form of a sampled text.
 SHORT = 6
+#: Bytes of text worked on at once.
+STEP = 1 << 20
 #: Families of languages by ISO 639-1 code (fixed values).
 FAMILIES = {
     "romance": "ca es fr gl it oc pt ro".split(),
@@ -65,15 +68,18 @@ def features(texts: list[str]) -> np.ndarray:
     """A unit row for each text: square roots of the counts of hashed bigrams and trigrams."""
     raw = [b"  " + t.lower().encode("utf-8", "surrogatepass") + b" " for t in texts]
     lengths = np.fromiter(map(len, raw), np.int64, len(raw))
-    codes = KINDS[np.frombuffer(b"".join(raw), np.uint8)]
-    row = np.repeat(np.arange(len(raw)) * DIM, lengths)
-    two = codes[:-1] * np.uint32(257) + codes[1:]
-    three = two[:-1] * np.uint32(257) + codes[2:]
+    data, bounds = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum(lengths)])
     out = np.zeros(len(raw) * DIM)
-    for gram, width in ((two, 2), (three, 3)):
-        bucket = (gram * np.uint32(2654435761) + np.uint32(width * 40503)) >> np.uint32(32 - DIM.bit_length() + 1)
-        real = (gram != 32 * 257 + 32 if width == 2 else gram != (32 * 257 + 32) * 257 + 32) & (row[width - 1 :] == row[: len(gram)])
-        out += np.bincount(row[: len(gram)][real] + bucket[real], minlength=len(out))
+    for at in range(0, len(data), STEP):  # grams that start in this step
+        codes = KINDS[data[at : at + STEP + 2]]
+        row = np.repeat(np.arange(len(raw)), np.diff(np.clip(bounds, at, at + len(codes))))
+        two = codes[:-1] * np.uint32(257) + codes[1:]
+        three = two[:-1] * np.uint32(257) + codes[2:]
+        for gram, width in ((two[:STEP], 2), (three[:STEP], 3)):
+            bucket = (gram * np.uint32(2654435761) + np.uint32(width * 40503)) >> np.uint32(32 - DIM.bit_length() + 1)
+            first = row[: len(gram)]
+            real = (gram != 32 * 257 + 32 if width == 2 else gram != (32 * 257 + 32) * 257 + 32) & (row[width - 1 : width - 1 + len(gram)] == first)
+            out += np.bincount(first[real] * DIM + bucket[real], minlength=len(out))
     out = np.sqrt(out.reshape(len(raw), DIM))
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
@@ -200,7 +206,7 @@ def sample(docs: DataFrame, learn: Column, most: int = SAMPLE, most_all: int = S
     def work(batch):
         ids, texts, langs = (batch.column(i).to_pylist() for i in range(3))
         own = [i for i, t in enumerate(texts) if has_letter(t)]
-        for form in (lambda t: t, lambda t: " ".join(t.split()[:SHORT])):
+        for form in (lambda t: t, lambda t: " ".join(t.split(None, SHORT)[:SHORT])):
             x = features([form(texts[i]) for i in own])
             yield {"doc_id": [ids[i] for i in own], "lang": [langs[i] for i in own], "x": [r.astype(np.float16).tobytes() for r in x]}
 

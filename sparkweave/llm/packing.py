@@ -4,9 +4,10 @@ Documents are tokenized and closed with an end token; only those longer than a s
 takes what is left over and every other one fills a sequence by itself. The other pieces are dealt to partitions of a
 bounded number of pieces. Each partition packs its own by best-fit decreasing and computes lower bounds on its number of
 sequences from dual-feasible functions (the plain volume, Fekete and Schepers' thresholds and their rounding functions).
-A partition that meets its bound is certified and done. Pieces of the others are exchanged: they are dealt anew into half
-as many partitions (up to LARGEST pieces each) and packed again, and the outcome is taken if it needs fewer sequences.
-This ends when all are certified, when a round gains nothing, or after ROUNDS rounds.
+A partition that meets its bound is certified; one without gaps is done. Pieces of the others are exchanged, for what is
+best for each may not be best for all: they are dealt anew into half as many partitions (up to LARGEST pieces each, which is
+what a task holds) and packed again, and the outcome is taken if it needs fewer sequences. This goes on until the bound for
+all pieces together (global_bound(), from the counts of their lengths) is met or a round gains nothing.
 
 Null text counts as empty: such a document is its end token. Rows that repeat are packed each for itself. Extra columns
 are left aside. An empty table gives an empty result.
@@ -30,14 +31,13 @@ SIZE = 1024
 END = 2
 #: Pieces of a partition at first, and at most.
 PARTITION, LARGEST = 20_000, 500_000
-ROUNDS = 6
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = pa.schema([*PIECES, ("item", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("bins", pa.int64()), ("bound", pa.int64())])
-PACKED_SQL = PIECES_SQL + ", item long, sequence_id long, offset long, bins long, bound long"
+PACKED = pa.schema([*PIECES, ("item", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("bins", pa.int64()), ("bound", pa.int64()), ("volume", pa.int64())])
+PACKED_SQL = PIECES_SQL + ", item long, sequence_id long, offset long, bins long, bound long, volume long"
 #: Marks the sequences that one piece fills.
-FULL = 15 << 58
+FULL = 1 << 61
 
 
 def piece_starts(length: int, size: int) -> list[int]:
@@ -67,8 +67,19 @@ def pieces(docs: DataFrame, vocab: str, size: int = SIZE, end: int = END, ids: b
 
 
 def lower_bound(sizes: np.ndarray, size: int) -> int:
-    """The most sequences that a dual-feasible function proves to be needed."""
-    count = np.bincount(sizes, minlength=size + 1).astype(np.int64)
+    return bound_of(np.bincount(sizes, minlength=size + 1).astype(np.int64), size)
+
+
+def global_bound(cut: DataFrame, size: int = SIZE) -> int:
+    """The fewest sequences that pieces() can be packed into, as far as it is proven; at most size counts reach the driver."""
+    count = np.zeros(size + 1, np.int64)
+    for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect():
+        count[r["length"]] = r["n"]
+    return bound_of(count, size)
+
+
+def bound_of(count: np.ndarray, size: int) -> int:
+    """The most sequences that a dual-feasible function proves to be needed, given how many pieces each length has."""
     value = np.arange(size + 1, dtype=np.int64)
     best = -(-int((count * value).sum()) // size)
     volume, number = np.cumsum(count * value), np.cumsum(count)
@@ -116,36 +127,34 @@ def packer(number: int, size: int):
         sizes = own["length"].to_numpy()
         where, offset, bins = best_fit_decreasing(sizes, size)
         group = own["part"][0].as_py()
-        ids = (number << 58) + (group << 24) + where
-        cols = {"sequence_id": ids, "offset": offset, "bins": np.full(len(sizes), bins), "bound": np.full(len(sizes), lower_bound(sizes, size))}
+        ids = (number << 48) + (group << 20) + where  # LARGEST pieces at most are below 2^20 sequences
+        cols = {"sequence_id": ids, "offset": offset, "bins": np.full(len(sizes), bins), "bound": np.full(len(sizes), lower_bound(sizes, size)), "volume": np.full(len(sizes), int(sizes.sum()) // size)}
         return pa.table([pa.array(cols[f.name]) if f.name in cols else own[f.name] for f in PACKED], schema=PACKED)
 
     return run
 
 
-def pack(cut: DataFrame, size: int = SIZE, partition: int = PARTITION, largest: int = LARGEST, rounds: int = ROUNDS) -> DataFrame:
+def pack(cut: DataFrame, size: int = SIZE, partition: int = PARTITION, largest: int = LARGEST) -> DataFrame:
     """The rows of pieces() with sequence_id, offset, and certified: whether the partition's number of sequences is least."""
     cut = written(cut.withColumn("item", F.monotonically_increasing_id()), "pieces")
     names = [f.name for f in PIECES]
     full = cut.where(F.col("length") == size).select(*names, (F.col("item") + F.lit(FULL)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
     done = [full]
-    left, count, target, before = cut.where(F.col("length") < size), None, partition, None
-    count = left.count()
-    for number in range(rounds):
-        if not count:
-            break
-        parts = -(-count // target)
-        part = F.pmod(F.xxhash64("item", F.lit(number)), F.lit(parts))
+    left, target, before, closed, number = cut.where(F.col("length") < size), partition, None, 0, 0
+    least, count = global_bound(left, size), left.count()
+    while count:
+        part = F.pmod(F.xxhash64("item", F.lit(number)), F.lit(-(-count // target)))
         tried = written(left.select(*names, "item", part.alias("part")).groupBy("part").applyInArrow(packer(number, size), PACKED_SQL), "packed")
-        open_ = tried.where("bins > bound")
-        bins, now, count = tried.agg(F.count_if(F.expr("offset = 0")), F.count_if(F.expr("offset = 0 and bins > bound")), F.count_if(F.expr("bins > bound"))).first()
+        bins, now, count = tried.agg(F.count_if(F.expr("offset = 0")), F.count_if(F.expr("offset = 0 and bins > volume")), F.count_if(F.expr("bins > volume"))).first()
         if before is not None and bins >= before[1]:
             break  # the last round's outcome stays
         if before is not None:
-            done[-1] = before[0].where("bins <= bound")
+            done[-1] = before[0].where("bins <= volume")
         done.append(tried)
-        before = (tried, now)
-        left, target = open_, min(largest, 2 * target)
+        if closed + bins <= least:
+            break  # no packing needs fewer
+        before, closed = (tried, now), closed + bins - now
+        left, target, number = tried.where("bins > volume"), min(largest, 2 * target), number + 1
     out = [done[0], *(d.select(*names, "sequence_id", "offset", (F.col("bins") <= F.col("bound")).alias("certified")) for d in done[1:])]
     return reduce(DataFrame.unionByName, out)
 

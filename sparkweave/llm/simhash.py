@@ -18,18 +18,21 @@ row, then, where that leaves more than one component, with every text of another
 fewer; larger buckets are dealt at random into parts of about that size, in each band anew, so work stays linear.
 
 Null text counts as empty. A text without words has fingerprint zero and links like any other. Fewer words than a
-shingle: the whole sequence is one shingle. Repeated rows share a class. Other columns are left aside.
+shingle: the whole sequence is one shingle. Repeated rows share a class, whatever their identifiers; a class without any
+identifier has none. Long texts are hashed in steps. Other columns are left aside; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm._common import as_bytes, clean_id, components, in_batches, table, written
+from sparkweave.llm._common import as_bytes, clean_id, components, in_batches, one_blank, table, word_bounds, written
 
 BITS = 64
 SEED = 42
@@ -43,12 +46,19 @@ ODD, FLIP = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS, 1
 ODD |= np.uint32(1)
 
 
-def shingle_bounds(words: list[bytes], k: int) -> tuple[list[int], list[int]]:
-    """Starts and ends of shingles of k words in the words joined by one blank."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    k = min(k, len(words))
-    return (ends - lengths)[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
+#: Shingles hashed at once.
+STEP = 1 << 17
+
+
+def shingle_hashes(text: bytes, k: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of k words in order, STEP at a time; none for a text without words."""
+    joined = one_blank(text.lower())
+    starts, ends = word_bounds(joined)
+    k = min(k, len(starts))
+    starts, ends = starts[: len(starts) - k + 1], ends[max(k - 1, 0) :]
+    digest = xxhash.xxh64_intdigest
+    for at in range(0, len(starts), STEP):
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + STEP].tolist(), ends[at : at + STEP].tolist())], "<u8")
 
 
 def fingerprint(text: bytes, k: int = 3, views: int = 1) -> list[int]:
@@ -56,19 +66,13 @@ def fingerprint(text: bytes, k: int = 3, views: int = 1) -> list[int]:
 
     The first view takes XXH64 itself, each further one a mixed form of it.
     """
-    words = text.lower().split()
-    if not words:
-        return [0] * views
-    joined = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
-    starts, ends = shingle_bounds(words, k)
-    counts, step = np.zeros((views, BITS), np.int64), 1 << 17
-    for at in range(0, len(starts), step):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + step], ends[at : at + step])], "<u8")
+    counts, total = np.zeros((views, BITS), np.int64), 0
+    for h in shingle_hashes(text, k):
+        total += len(h)
         for view in range(views):
             counts[view] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
             h = (h ^ (h >> np.uint64(31))) * MIX
-    return np.packbits(2 * counts > len(starts), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+    return np.packbits(2 * counts > total, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
 
 
 def fingerprints(docs: DataFrame, k: int = 3, views: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,11 +123,7 @@ def classes(docs: DataFrame, k: int = 3, views: int = 1, id_col: str = "doc_id",
 
 def shingles(text: bytes, k: int) -> np.ndarray:
     """XXH64 of the distinct shingles, ascending; none for a text without words."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, "<u8")
-    joined = b" ".join(words)
-    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(*shingle_bounds(words, k))], "<u8"))
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(text, k)]))
 
 
 def band_keys(own: np.ndarray) -> list[int]:
