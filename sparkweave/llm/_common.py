@@ -50,7 +50,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: computed once, and safe when executors are lost."""
     spark, at = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
+
+
+def dropped(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Deletes tables of written(), or folders, that nothing reads any more."""
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -182,8 +191,9 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     seen = mark(edges)
     if seen[0]:
         for _ in range(most):
-            edges = written(step(step(edges, True), False), "edges")
+            before, edges = edges, written(step(step(edges, True), False), "edges")
             now = mark(edges)
+            dropped(edges.sparkSession, before)
             if now == seen:
                 break
             seen = now

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkweave.llm._common import new_path, no_white, table, written
+from sparkweave.llm._common import dropped, new_path, no_white, table, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Records for which one partition of the state is meant, and the fewest partitions. A state partition holds at least
@@ -47,9 +47,8 @@ def records(docs: DataFrame, digest: Callable[[Column], Column] = sha256, id_col
     return docs.select(digest(no_white(text)).alias("digest"), place(id_col, text_col).alias("at"))
 
 
-def fold(spark: SparkSession, source: str, schema, files: int = FILES_PER_TRIGGER) -> DataFrame:
-    """(digest, keep, group_size) after the stream over the record files in source has caught up."""
-    at = new_path(spark, "dedup")
+def fold(spark: SparkSession, source: str, schema, at: str, files: int = FILES_PER_TRIGGER) -> DataFrame:
+    """(digest, keep, group_size) after the stream over the record files in source has caught up; its state lies in at."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     state = stream.groupBy("digest").agg(F.min("at").alias("keep"), F.count("*").alias("group_size"))
 
@@ -82,7 +81,9 @@ def duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha256, id_
     log = records(docs, digest, id_col, text_col)
     source = new_path(spark, "records")
     log.write.parquet(source)
-    log, groups = spark.read.schema(log.schema).parquet(source), written(fold(spark, source, log.schema, files), "groups")
+    at, log = new_path(spark, "dedup"), spark.read.schema(log.schema).parquet(source)
+    groups = written(fold(spark, source, log.schema, at, files), "groups")
+    dropped(spark, at)
 
     # No more than HOT digests make up one in HOT of all rows each: those meet their rows by broadcast, the others in a join
     # in which no digest has more rows than that.

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm._common import as_bytes, clean_id, components, in_batches, one_blank, table, word_bounds, written
+from sparkweave.llm._common import as_bytes, clean_id, components, dropped, in_batches, one_blank, table, word_bounds, written
 
 BITS = 64
 SEED = 42
@@ -152,7 +152,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, alike: float, id_col: s
     own = clean_id(docs, id_col, text_col).withColumnRenamed("doc_id", "row").join(some, "row", "left_semi")
     own = written(own.mapInArrow(in_batches(gather, sets), "row long, own binary"), "sets")
     at = lambda name, content: own.select(F.col("row").alias(name), F.col("own").alias(content))
-    return written(pairs.join(at("u", "a"), "u").join(at("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(in_batches(compare, ends), "u long, v long"), "confirmed")
+    found = written(pairs.join(at("u", "a"), "u").join(at("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(in_batches(compare, ends), "u long, v long"), "confirmed")
+    dropped(docs.sparkSession, own)
+    return found
 
 
 def similar(docs: DataFrame, k: int = 5, views: int = 1, alike: float = ALIKE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,14 +174,21 @@ def similar(docs: DataFrame, k: int = 5, views: int = 1, alike: float = ALIKE, i
     first = written(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
     edges = confirmed(first, docs, k, alike, id_col, text_col)
 
+    spark = docs.sparkSession
+    dropped(spark, marked, nodes, keyed)
     placed = members.join(components(edges).withColumnRenamed("node", "row"), "row", "left").select("key", "row", "n", F.coalesce("root", "row").alias("root"))
     placed = written(placed, "placed")
+    dropped(spark, members)
     split = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
     parts = placed.join(split, "key", "left_semi").withColumn("part", F.pmod(F.xxhash64("row", "key"), F.ceil(F.col("n") / GROUP)))
     a, b = (parts.select("key", "part", F.col("row").alias(r), F.col("root").alias(f"{r}_root")) for r in ("u", "v"))
     second = a.join(b, ["key", "part"]).where("u < v and u_root <> v_root").select("u", "v").distinct()
     second = written(second.join(first, ["u", "v"], "left_anti"), "candidates")
-    return components(edges.union(confirmed(second, docs, k, alike, id_col, text_col)))
+    dropped(spark, placed, first)
+    more = confirmed(second, docs, k, alike, id_col, text_col)
+    found = components(edges.union(more))
+    dropped(spark, second, edges, more)
+    return found
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
