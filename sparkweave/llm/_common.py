@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -74,10 +75,13 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, with release() at its end."""
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], encodes: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with release() at its end. A worker that encoded before lets go of its known words, unless it is to encode."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not encodes and (bpe := sys.modules.get("sparkweave.llm.bpe")) and bpe.load.cache_info().currsize:
+            bpe.load.cache_clear()
+            release()
         yield from run(batches)
         release()
 
@@ -90,7 +94,7 @@ def clean_id(docs: DataFrame, id_col: str, *cols: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(c) for c in cols))
 
 
-def in_batches(work: Callable[[pa.RecordBatch], Iterable[dict[str, list | pa.Array]]], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def in_batches(work: Callable[[pa.RecordBatch], Iterable[dict[str, list | pa.Array]]], schema: pa.Schema, encodes: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow; work gives columns by name for each batch of at most about PIECE_BYTES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +103,7 @@ def in_batches(work: Callable[[pa.RecordBatch], Iterable[dict[str, list | pa.Arr
                 for cols in work(piece):
                     yield from cut(cols, schema)
 
-    return released(run)
+    return released(run, encodes)
 
 
 def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -2,22 +2,25 @@
 
 A paragraph is a line of a text, or a run of lines with words between which fewer words lie than the longest template has,
 so that notices count however they are wrapped. A run is given only where it confirms a family that no shorter (or earlier)
-run in it or overlapping it does; its number is that of its first line. A multinomial logistic regression over sparse word n-grams (one to three words of which
-one is a cue such as "license" or "gnu") gives it a licence family or the class `unknown`. It is trained on the driver, on
-variants of the templates below (words dropped, other words around) and, for `unknown`, on sentences that only sound like
-licences; a temperature fitted on variants kept apart calibrates its probabilities. A predicted family counts only when
-enough words of one of its templates are in the paragraph.
-
-All features hold a cue, so a paragraph without any has none of them and is `unknown` whatever else it says; texts without
-cues are passed over by plain substring tests. The rest is array functions within the row: no join and no shuffle.
-
-A null or empty text has no paragraphs. Rows that repeat are scanned each for itself; other columns are left aside. Ties
-between families go to the first by name. An empty table gives an empty result.
+run in it or overlapping it does; its number is that of its first line. A multinomial logistic regression over sparse word
+n-grams (one to three words; an L1 penalty chooses them) gives it a licence family or the class `unknown`. It is trained on
+the driver, on variants of the templates below (words dropped, other words around) and, for `unknown`, on sentences that only
+sound like licences. Its temperature is calibrated on templates and sentences that the machine it is fitted with has not seen
+in any variant; the machine that is used has seen them all. A predicted family counts only when enough words of one of its
+templates are in the paragraph.
+
+Only paragraphs with a cue (a word that begins with one of CUES, as every template has one) are judged; texts without any are
+passed over by plain substring tests. The rest is array functions within the row: no join and no shuffle.
+
+A null or empty text has no paragraphs. Rows that repeat are scanned each for itself, whatever their identifiers; other
+columns are left aside. Ties between families go to the first by name. An empty table gives an empty result. A long text is
+one row's arrays of lines; nothing of it is cut.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -26,19 +29,19 @@ from pyspark.sql import functions as F
 
 from sparkweave.llm._common import clean_id, table
 
-#: Notices by which licences are granted (fixed values).
+#: Notices by which licences are granted, for longer ones the sentence that names them (fixed values).
 TEMPLATES = {
-    "agpl-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0"],
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Released under the Apache 2.0 license.", "SPDX-License-Identifier: Apache-2.0"],
-    "bsd": ["Released under the BSD License.", "Licensed under the 3-clause BSD license.", "Redistribution and use in source and binary forms, with or without modification, are permitted.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "cc-by-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
-    "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
-    "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
-    "cc0-1.0": ["Released under CC0 1.0.", "Dedicated to the public domain under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0"],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Released under the GPL version 3 license.", "SPDX-License-Identifier: GPL-3.0"],
-    "lgpl-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"],
-    "mit": ["Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.", "SPDX-License-Identifier: MIT"],
-    "mpl-2.0": ["This file is subject to the terms of the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "agpl-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0", "Under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License.", "Released under the AGPL version 3 license.", "Distributed under the AGPL-3.0 license."],
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Released under the Apache 2.0 license.", "SPDX-License-Identifier: Apache-2.0", "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License.", "Distributed under the terms of the Apache License 2.0."],
+    "bsd": ["Released under the BSD License.", "Licensed under the 3-clause BSD license.", "Redistribution and use in source and binary forms, with or without modification, are permitted.", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause", "Use of this source code is governed by a BSD-style license.", "Distributed under the terms of the Modified BSD License."],
+    "cc-by-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0", "Available under the Creative Commons Attribution 4.0 license."],
+    "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0", "Available under the Creative Commons Attribution-NonCommercial 4.0 license."],
+    "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0", "Available under the Creative Commons Attribution-ShareAlike 4.0 license."],
+    "cc0-1.0": ["Released under CC0 1.0.", "Dedicated to the public domain under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0", "To the extent possible under law, the author has waived all copyright to this work under CC0.", "Available under the Creative Commons CC0 1.0 Universal Public Domain Dedication."],
+    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Released under the GPL version 3 license.", "SPDX-License-Identifier: GPL-3.0", "Under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License.", "Distributed under the GPL-3.0 license."],
+    "lgpl-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0", "Under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License.", "Released under the LGPL version 3 license.", "Distributed under the LGPL-3.0 license."],
+    "mit": ["Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.", "SPDX-License-Identifier: MIT", "Distributed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."],
+    "mpl-2.0": ["This file is subject to the terms of the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Released under the MPL 2.0 license."],
 }
 #: Sentences that name licences or permissions but grant none of these.
 OTHERS = [
@@ -46,6 +49,9 @@ OTHERS = [
     "The apache helicopter landed near the village.", "They signed a public statement on creative writing.", "Licensed under a license of our own.", "Released under the terms of the license.",
     "Version 2.0 was released last week.", "The software license expired on Monday.", "Redistribution of wealth was discussed.", "A gnu is a large antelope.", "Licensed plumbers are hard to find.",
     "Fishing licenses are sold at the public office.", "The mozilla conference is open to the public.", "Public domain names are expensive.", "This work is licensed.", "See the license file for details.",
+    "Distributed under the terms of an agreement with the publisher.", "The general public was free to use the source of the river.", "Either version of the story may be published by the foundation.", "This file is subject to change without notice.",
+    "You may not use this file at work.", "Permission is granted to any person with a copy of the ticket.", "Use of this building is governed by the house rules.", "The author has waived all rights to the work.", "A license as published by the city, either in person or by mail.",
+    "Available under the counter.", "Commons are shared by all people of the village.", "An attribution of the painting to the master is doubtful.", "The domain of the function is the set of real numbers.", "Creative people need a license to fail.",
 ]
 UNKNOWN = "unknown"
 #: Stems that make a word a cue; a text that holds none of them as a part has no cue.
@@ -71,8 +77,7 @@ def cue(word: str) -> bool:
 
 
 def grams_of(tokens: list[str]) -> list[str]:
-    out = [" ".join(tokens[i : i + n]) for n in (1, 2, 3) for i in range(len(tokens) - n + 1)]
-    return [g for g in dict.fromkeys(out) if any(map(cue, g.split(" ")))]
+    return list(dict.fromkeys(" ".join(tokens[i : i + n]) for n in (1, 2, 3) for i in range(len(tokens) - n + 1)))
 
 
 def variants(text: str, random: np.random.Generator) -> list[list[str]]:
@@ -89,43 +94,72 @@ def variants(text: str, random: np.random.Generator) -> list[list[str]]:
 
 
 class Classifier:
-    """names (unknown last), grams, weights (a row for each name), biases; temperature is in them."""
+    """names (unknown last), grams, weights (a row for each name), biases; temperature is in them.
 
-    def __init__(self, templates: dict[str, list[str]], others: list[str], seed: int = 3):
+    apart: the templates (by place in their family) and sentences that only calibrate; None fits on all of them with the
+    temperature that those of every third place give."""
+
+    def __init__(self, templates: dict[str, list[str]], others: list[str], seed: int = 3, apart: int | None = None, temperature: float | None = None):
         random = np.random.default_rng(seed)
         self.names = [*sorted(templates), UNKNOWN]
-        rows = [(v, n) for n, name in enumerate(self.names) for t in templates.get(name, others) for v in variants(t, random)]
-        self.grams = sorted({g for v, _ in rows for g in grams_of(v)})
-        place = {g: i for i, g in enumerate(self.grams)}
-        x = np.zeros((len(rows) + 40, len(self.grams)))
-        for i, (v, _) in enumerate(rows):
-            x[i, [place[g] for g in grams_of(v)]] = 1
-        y = np.array([n for _, n in rows] + [len(self.names) - 1] * 40)
-        apart = np.arange(len(y)) % 4 == 3
-        weights, bias = self._fit(x[~apart], y[~apart])
-        logits = x[apart] @ weights.T + bias
-        heat = np.arange(2, 61) / 10
-        loss = [-np.log(np.maximum(self.soft(logits / t)[np.arange(apart.sum()), y[apart]], 1e-12)).mean() for t in heat]
-        t = float(heat[int(np.argmin(loss))])
-        self.weights, self.biases = weights / t, bias / t
+        rows = [(v, n, i) for n, name in enumerate(self.names) for i, t in enumerate(templates.get(name, others)) for v in variants(t, random)]
+        y, place = (np.array([r[k] for r in rows] + [len(self.names) - 1 if k == 1 else -1] * 40) for k in (1, 2))
+        held = np.zeros(len(y), bool) if apart is None else place % 3 == apart
+        known = Counter(g for (v, _, _), h in zip(rows, held.tolist()) if not h for g in grams_of(v))
+        self.grams = sorted(g for g, n in known.items() if n > 2)
+        at = {g: i for i, g in enumerate(self.grams)}
+        x = np.zeros((len(y), len(self.grams)), np.float32)
+        for i, (v, _, _) in enumerate(rows):
+            x[i, [at[g] for g in grams_of(v) if g in at]] = 1
+        weights, bias = self._fit(x[~held], y[~held])
+        if temperature is None and apart is None:
+            temperature = Classifier(templates, others, seed, 2).temperature
+        elif temperature is None:
+            logits, heat = x[held] @ weights.T + bias, np.arange(2, 61) / 10
+            loss = [-np.log(np.maximum(self.soft(logits / t)[np.arange(held.sum()), y[held]], 1e-12)).mean() for t in heat]
+            temperature = float(heat[int(np.argmin(loss))])
+        self.temperature = temperature
+        self.weights, self.biases = weights / temperature, bias / temperature
         used = np.abs(self.weights).max(0) > 0
         self.grams, self.weights = [g for g, u in zip(self.grams, used) if u], self.weights[:, used]
 
+    def chances(self, text: str) -> np.ndarray:
+        on = [i for i, g in enumerate(self.grams) if g in set(grams_of(words_of(text)))]
+        return self.soft((self.weights[:, on].sum(1) + self.biases)[None])[0]
+
     @staticmethod
     def soft(z: np.ndarray) -> np.ndarray:
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
-    def _fit(self, x: np.ndarray, y: np.ndarray, steps: int = 600, rate: float = 2.0, l1: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
-        """Proximal gradient descent with an L1 penalty, which keeps the weights sparse."""
-        goal = np.eye(len(self.names))[y]
-        weights, bias = np.zeros((len(self.names), x.shape[1])), np.zeros(len(self.names))
+    def _fit(self, x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 4.0, l1: float = 5e-4) -> tuple[np.ndarray, np.ndarray]:
+        """Proximal gradient descent with an L1 penalty, which keeps the weights sparse; every class weighs the same, and longer
+        n-grams cost more."""
+        n = len(self.names)
+        goal, share = np.eye(n, dtype=x.dtype)[y], (len(y) / (n * np.maximum(1, np.bincount(y, minlength=n))))[y][:, None].astype(x.dtype) / len(x)
+        scale = np.array([0.5 ** g.count(" ") for g in self.grams], x.dtype)
+        x = x * scale
+        weights, bias = np.zeros((n, x.shape[1]), x.dtype), np.zeros(n, x.dtype)
         for _ in range(steps):
-            error = (self.soft(x @ weights.T + bias) - goal) / len(x)
+            error = (self.soft(x @ weights.T + bias) - goal) * share
             weights -= rate * (error.T @ x)
             bias -= rate * error.sum(0)
             weights = np.sign(weights) * np.maximum(np.abs(weights) - rate * l1, 0)
-        return weights, bias
+        return weights * scale, bias
+
+
+def cross_validated(templates: dict[str, list[str]] = TEMPLATES, others: list[str] = OTHERS, sure: float = SURE) -> tuple[float, float]:
+    """Precision and recall of families on templates and sentences that the machine has not seen in any variant."""
+    hit = said = there = 0
+    for apart in range(3):
+        model = Classifier(templates, others, apart=apart, temperature=1.0)
+        for name in model.names:
+            for text in templates.get(name, others)[apart::3]:
+                p = model.chances(text)
+                best = model.names[int(p.argmax())]
+                told = best != UNKNOWN and p.max() >= sure
+                said, there, hit = said + told, there + (name != UNKNOWN), hit + (told and best == name)
+    return hit / max(1, said), hit / max(1, there)
 
 
 @lru_cache(1)

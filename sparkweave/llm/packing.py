@@ -63,7 +63,7 @@ def pieces(docs: DataFrame, vocab: str, size: int = SIZE, end: int = END, ids: b
                     out[name].append(value)
         yield out
 
-    return clean_id(docs, id_col, text_col).mapInArrow(in_batches(work, schema), PIECES_SQL + ", ids binary" * ids)
+    return clean_id(docs, id_col, text_col).mapInArrow(in_batches(work, schema, True), PIECES_SQL + ", ids binary" * ids)
 
 
 def lower_bound(sizes: np.ndarray, size: int) -> int:

@@ -35,7 +35,7 @@ def encode(docs: DataFrame, vocab: str, decoded: bool = False, id_col: str = "do
         ids = own.encode(batch.column(1).to_pylist())
         yield {"doc_id": batch.column(0), "ids": ids} | ({"decoded": [own.decode(x) for x in ids]} if decoded else {})
 
-    return clean_id(docs, id_col, text_col).mapInArrow(in_batches(work, schema), "doc_id long, ids binary" + ", decoded string" * decoded)
+    return clean_id(docs, id_col, text_col).mapInArrow(in_batches(work, schema, True), "doc_id long, ids binary" + ", decoded string" * decoded)
 
 
 def decode(coded: DataFrame, vocab: str) -> DataFrame:
@@ -47,7 +47,7 @@ def decode(coded: DataFrame, vocab: str) -> DataFrame:
         own = bpe.load(shared.value)
         yield {"doc_id": batch.column(0), "ids": batch.column(1), "decoded": [own.decode(x or b"") for x in batch.column(1).to_pylist()]}
 
-    return coded.select("doc_id", "ids").mapInArrow(in_batches(work, schema), "doc_id long, ids binary, decoded string")
+    return coded.select("doc_id", "ids").mapInArrow(in_batches(work, schema, True), "doc_id long, ids binary, decoded string")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
