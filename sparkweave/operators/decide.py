@@ -96,8 +96,8 @@ def two_thresholds(scored: DataFrame, truth: DataFrame, entities: DataFrame, fir
 
     The macro score is a mean over records, so the pairs follow from each side's own sweep and no pair is evaluated.
     """
-    side = lambda own: (sweep(scored.join(entities.where(own).select("s1"), "s1", "left_semi"), truth.join(entities.where(own).select("s1"), "s1", "left_semi"), entities.where(own), taus), entities.where(own).agg(F.count("*").alias("n")))
-    (a, n), (b, m) = side(F.col("country") == first), side(F.col("country") != first)
+    side = lambda own, name: (sweep(scored.join(entities.where(own).select("s1"), "s1", "left_semi"), truth.join(entities.where(own).select("s1"), "s1", "left_semi"), entities.where(own), taus), entities.where(own).agg(F.count("*").alias(name)))
+    (a, n), (b, m) = side(F.col("country") == first, "n"), side(F.col("country") != first, "m")
     a = a.select(F.col("tau").alias("tau_first"), F.col("macro_f").alias("f")).crossJoin(F.broadcast(n))
     b = b.select(F.col("tau").alias("tau_other"), F.col("macro_f").alias("g")).crossJoin(F.broadcast(m))
     return a.crossJoin(F.broadcast(b)).select("tau_first", "tau_other", ((F.col("f") * F.col("n") + F.col("g") * F.col("m")) / (F.col("n") + F.col("m"))).alias("macro_f"))

@@ -364,16 +364,16 @@ def ml_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieval_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    asked = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("B-"), "item_id").alias("id"), F.lit("").alias("country"), F.substring(F.coalesce("text", F.lit("")), 1, 60).alias("text"))
+    asked = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("B-"), "item_id").alias("id"), F.lit("").alias("country"), F.coalesce("text", F.lit("")).alias("text"))
     return asked, records(spark, sf_dir).select(F.col("entity_id").alias("id"), F.lit("").alias("country"), F.col("business_name").alias("text"))
 
 
-@registered(r"""WITH """ + sql.RECORDS + r""", txts AS (SELECT 'B-' || item_id AS id, substr(coalesce(text, ''), 1, 60) AS text, true AS q FROM benchmark UNION ALL SELECT entity_id, business_name, false FROM rec),
+@registered(r"""WITH """ + sql.RECORDS + r""", txts AS (SELECT 'B-' || item_id AS id, coalesce(text, '') AS text, true AS q FROM benchmark UNION ALL SELECT entity_id, business_name, false FROM rec),
 wrds AS (SELECT id, q, ' ' || unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) || ' ' AS wrd FROM txts),
 grms AS (SELECT id, q, unnest(list_transform(range(1, length(wrd) - n + 2), lambda i: substr(wrd, CAST(i AS BIGINT), n))) AS gram FROM (SELECT *, unnest([3, 4, 5]) AS n FROM wrds) WHERE length(wrd) >= n),
 tf AS (SELECT id, q, gram, 1 + ln(count(*)) AS tf, count(*) AS n FROM grms GROUP BY id, q, gram), total AS (SELECT count(*) AS docs FROM txts),
 terms AS (SELECT gram, count(*) AS df, sum(n) AS uses FROM tf GROUP BY gram),
-vocab AS (SELECT gram, ln((docs + 1) / (df + 1)) + 1 AS idf, row_number() OVER (ORDER BY uses DESC, gram) AS r FROM terms, total WHERE df >= 2 AND df <= docs * 0.05),
+vocab AS (SELECT gram, ln((docs + 1) / (df + 1)) + 1 AS idf, row_number() OVER (ORDER BY uses DESC, gram) AS r FROM terms, total WHERE df >= 2),
 raw AS (SELECT id, q, gram, tf * idf AS w FROM tf JOIN vocab USING (gram) WHERE r <= 30000), norms AS (SELECT id, sqrt(sum(w * w)) AS norm FROM raw GROUP BY id),
 unit AS (SELECT raw.id, q, gram, w / norm AS w FROM raw JOIN norms ON raw.id = norms.id),
 cosines AS (SELECT a.id AS s1, b.id AS cand, round(sum(a.w * b.w), 6) AS cosine FROM unit a JOIN unit b ON a.gram = b.gram WHERE a.q AND NOT b.q GROUP BY a.id, b.id),
@@ -381,7 +381,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY cosine DESC, ca
 SELECT s1, count(*) AS n, max(cosine) AS best FROM ranked WHERE rank <= 10 GROUP BY s1""")
 def jn_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SK8, JN3, WN1, PR4: the nearest records of each benchmark item by cosine of character grams."""
-    found = retrieval.nearest(*retrieval_rows(spark, sf_dir), k=10, floor=0.3, max_df=0.05)
+    found = retrieval.nearest(*retrieval_rows(spark, sf_dir), k=10, floor=0.3)
     return found.groupBy("s1").agg(F.count("*").alias("n"), F.max("cosine").alias("best"))
 
 
@@ -514,6 +514,127 @@ def wn_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.differences(pairs.groupBy("k").agg(F.count("*").alias("candidates")), "k", "candidates").fillna(0)
 
 
+@registered("WITH " + sql.RECORDS + f" SELECT entity_id, {sql.older('business_name', sql.W.NAME_SHORT)} AS name, {sql.older('business_address', {k: v for k, v in sql.W.ADDRESS_SHORT.items() if k != 'court'})} AS address FROM rec")
+def tx_older(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TX2b: names and addresses by the older normalization."""
+    raw = records(spark, sf_dir)
+    return raw.select("entity_id", X.shorten(X.clean_base(F.col("business_name"), True), X.W.NAME_SHORT).alias("name"), X.normalize_address(F.col("business_address"), True).alias("address"))
+
+
+@registered("WITH " + sql.ENTITIES + r""" SELECT entity_id, array_to_string(list_filter([name, '', address], lambda x: x <> ''), ' ') AS text,
+  CASE WHEN country = 'EN' THEN regexp_extract(raw_address, '(?:^|[^a-zA-Z0-9_])([0-9]{5})(?:-[0-9]{4})?(?:$|[^a-zA-Z0-9_])', 1) ELSE regexp_extract(raw_address, '(?:^|[^a-zA-Z0-9_])([1-9][0-9]{5})(?:$|[^a-zA-Z0-9_])', 1) END AS code FROM ents""")
+def tx_represent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TX23, TX26: texts for retrieval, and postal codes by country."""
+    e = entities(records(spark, sf_dir))
+    return e.select("entity_id", X.represent("name_latin_addr", F.col("name"), F.col("address"), F.col("latin_name")).alias("text"), X.postal(F.col("raw_address"), F.when(F.col("country") == "EN", "US").otherwise("INDIA")).alias("code"))
+
+
+@registered("WITH " + sql.VARIANTS + " SELECT preset, ktype, step, count(*) AS n, count(DISTINCT kval) AS n_distinct FROM variants GROUP BY ALL")
+def bk_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BK7-BK9, BK11, BK13, BK14: keys of the variants that read words, numbers and postal codes, counted by kind."""
+    ents, out = Linked(spark, sf_dir).ents, None
+    for name in ("naive", "stages", "composite", "smart_no_alias", "toy", "grams"):
+        own = blocking.exploded(ents, blocking.PRESETS[name]()).groupBy("ktype", "step").agg(F.count("*").alias("n"), F.countDistinct("kval").alias("n_distinct")).withColumn("preset", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@registered("WITH " + sql.PAIRS + ", blk AS (SELECT s1, cand FROM pairs WHERE ord <= 3), hits AS (SELECT * FROM (SELECT s1, cand, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, cand) AS rank FROM scored) WHERE rank <= 10), rest AS (SELECT * FROM hits ANTI JOIN truth USING (s1, cand) ANTI JOIN blk USING (s1, cand)) SELECT s1, cand, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY rank, cand) AS r FROM rest) WHERE r <= 2")
+def st_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST6, JN9: the best retrieved pairs of each record that are neither blocked nor true."""
+    w = Linked(spark, sf_dir)
+    return retrieval.hard_negatives(decide.ranked(w.scored, 10).select("s1", "cand", "rank"), w.pairs.where("ord <= 3").select("s1", "cand"), w.truth, 2).select("s1", "cand", "rank")
+
+
+FOLDS = ", n0 AS (SELECT s1, count(*) AS n FROM pairs GROUP BY s1), r0 AS (SELECT s1, (row_number() OVER (ORDER BY n DESC, right(s1, 1), s1) - 1) % 10 AS t FROM n0), folds AS (SELECT s1, CASE WHEN t < 5 THEN t ELSE 9 - t END AS fold FROM r0)"
+
+
+@registered("WITH " + sql.PAIRS + COUNTS + FOLDS + ", m AS (SELECT fold, avg(f) AS f FROM per JOIN folds USING (s1) GROUP BY fold) SELECT round(avg(f), 6) AS mean, round(stddev_pop(f), 6) AS deviation FROM m")
+def ag_fold_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG14: mean and deviation of the macro score over folds."""
+    w = Linked(spark, sf_dir)
+    counts = evaluate.per_entity(w.truth, decide.accept(w.scored, 0.5), w.ids).join(evaluate.folds(w.pairs), "s1")
+    return rounded(evaluate.fold_spread(counts), "mean", "deviation")
+
+
+@registered("WITH " + sql.PAIRS + COUNTS.replace("UNION ALL SELECT s1, cand, 0, 1 FROM hit", "UNION ALL SELECT s1, cand, 0, 1 FROM hit WHERE cand LIKE 'S3-%'").replace("0 AS l FROM truth", "0 AS l FROM truth WHERE cand LIKE 'S3-%'") + f" SELECT {SUMMARY} FROM per")
+def ev_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG6, EV3: scores against one of the other sources alone."""
+    w = Linked(spark, sf_dir)
+    counts = evaluate.by_target(w.truth, decide.accept(w.scored, 0.5), w.ids, "S3-")
+    return rounded(evaluate.summary(counts), "macro_f", "macro_p", "macro_r").drop("micro_p", "micro_r")
+
+
+SWEPT = ORACLES["dc_sweep"]
+
+
+@registered("SELECT * FROM (" + SWEPT + ") ORDER BY macro_f DESC, tau LIMIT 1")
+def dc_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DC2, WN4: the best threshold, of equal ones the lowest (a report of one row)."""
+    w = Linked(spark, sf_dir)
+    return decide.best(rounded(decide.sweep(w.scored, w.truth, w.ids, TAUS), "macro_f", "macro_p", "macro_r"))
+
+
+@registered("WITH " + sql.PAIRS + ", c AS (SELECT s.*, row_number() OVER (PARTITION BY s.s1 ORDER BY s.p DESC, s.cand) AS rank, b.address = '' OR a.address = '' AS blank FROM scored s JOIN ents a ON s.s1 = a.entity_id JOIN ents b ON s.cand = b.entity_id) SELECT s1, cand FROM c WHERE p >= 0.6 + CASE WHEN blank THEN 0.04 ELSE 0 END - CASE WHEN rank = 1 AND p >= 0.7 THEN 0.03 ELSE 0 END")
+def dc_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DC4: a threshold that blank addresses raise and sure best pairs lower."""
+    w = Linked(spark, sf_dir)
+    best = decide.ranked(w.scored, 1).select("s1", "cand", "rank")
+    rows = w.scored.join(best, ["s1", "cand"], "left").join(w.paired("address").select("s1", "cand", ((F.col("a.address") == "") | (F.col("b.address") == "")).cast("int").alias("addr_blank")), ["s1", "cand"])
+    return decide.accept(rows.select("*", F.col("p").alias("cosine"), F.col("p").alias("name_sort")), decide.conditional_tau(0.6)).select("s1", "cand")
+
+
+@registered("WITH " + sql.PAIRS + ", g AS (SELECT x.t AS tau_first, y.t AS tau_other FROM (SELECT unnest([0.3, 0.5, 0.7])::DOUBLE AS t) x, (SELECT unnest([0.3, 0.5, 0.7])::DOUBLE AS t) y), c0 AS (SELECT tau_first, tau_other, s1, cand, max(t) AS t, max(l) AS l FROM (SELECT tau_first, tau_other, s1, cand, 1 AS t, 0 AS l FROM truth, g UNION ALL SELECT tau_first, tau_other, s1, cand, 0, 1 FROM scored, g WHERE p >= CASE ca WHEN 'EN' THEN tau_first ELSE tau_other END) GROUP BY ALL), c1 AS (SELECT tau_first, tau_other, s1, sum(t * l) AS tp0, sum((1 - t) * l) AS fp0, sum(t * (1 - l)) AS fn0 FROM c0 GROUP BY ALL), per AS (" + sql.counted("(SELECT i.*, g.tau_first, g.tau_other, coalesce(tp0, 0) AS tp, coalesce(fp0, 0) AS fp, coalesce(fn0, 0) AS fn FROM ids i CROSS JOIN g LEFT JOIN c1 ON c1.s1 = i.s1 AND c1.tau_first = g.tau_first AND c1.tau_other = g.tau_other) i", ", tau_first, tau_other") + ") SELECT tau_first, tau_other, round(avg(f), 6) AS macro_f FROM per GROUP BY ALL")
+def dc_two_taus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DC3, EV4: the macro score for every pair of thresholds, one for a country and one for the others."""
+    w = Linked(spark, sf_dir)
+    return rounded(decide.two_thresholds(w.scored, w.truth, w.ids, "EN", [0.3, 0.5, 0.7]), "macro_f")
+
+
+@registered("WITH " + sql.PAIRS + ", base AS (SELECT s1, cand FROM scored WHERE p >= 0.9), m AS (SELECT *, row_number() OVER w AS n, p - coalesce(lead(p) OVER w, 0) AS margin FROM scored WINDOW w AS (PARTITION BY s1 ORDER BY p DESC, cand)), g AS (SELECT x.t AS tau_rescue, y.t AS margin FROM (SELECT unnest([0.4, 0.6])::DOUBLE AS t) x, (SELECT unnest([0.0999999, 0.2999999])::DOUBLE AS t) y), lk AS (SELECT tau_rescue, margin, s1, cand FROM base, g UNION ALL SELECT g.tau_rescue, g.margin, m.s1, m.cand FROM m JOIN g ON m.p >= g.tau_rescue AND m.margin >= g.margin WHERE n = 1 AND m.s1 NOT IN (SELECT s1 FROM base)), c0 AS (SELECT tau_rescue, margin, s1, cand, max(t) AS t, max(l) AS l FROM (SELECT tau_rescue, margin, s1, cand, 1 AS t, 0 AS l FROM truth, g UNION ALL SELECT tau_rescue, margin, s1, cand, 0, 1 FROM lk) GROUP BY ALL), c1 AS (SELECT tau_rescue, margin, s1, sum(t * l) AS tp0, sum((1 - t) * l) AS fp0, sum(t * (1 - l)) AS fn0 FROM c0 GROUP BY ALL), per AS (" + sql.counted("(SELECT i.*, g.tau_rescue, g.margin, coalesce(tp0, 0) AS tp, coalesce(fp0, 0) AS fp, coalesce(fn0, 0) AS fn FROM ids i CROSS JOIN g LEFT JOIN c1 ON c1.s1 = i.s1 AND c1.tau_rescue = g.tau_rescue AND c1.margin = g.margin) i", ", tau_rescue, margin") + ") SELECT tau_rescue, margin, round(avg(f), 6) AS macro_f FROM per GROUP BY ALL")
+def dc_rescue_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DC6, EV4: the macro score of rescued links for a grid of thresholds and leads, in one plan."""
+    w = Linked(spark, sf_dir)
+    return rounded(decide.rescue_grid(w.scored, w.truth, w.ids, 0.9, [0.4, 0.6], [0.0999999, 0.2999999]), "macro_f")
+
+
+@registered()
+def ev_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EV5: adaptive search over how many retrieved pairs a record gets and their least score; one macro score a setting."""
+    w = Linked(spark, sf_dir)
+    best, base = materialized(decide.ranked(w.scored, 10), "ranked"), materialized(w.pairs.where("ord <= 1").join(w.scored.select("s1", "cand", "p"), ["s1", "cand"]), "base")
+
+    def points(k: int, floor: float) -> float:
+        hits = best.where((F.col("rank") <= k) & (F.col("p") >= floor)).select("s1", "cand", F.col("p").alias("cosine"), "rank")
+        both = retrieval.union(base.select("s1", "cand"), hits).select("s1", "cand").join(w.scored.select("s1", "cand", "p"), ["s1", "cand"])
+        return round(evaluate.per_entity(w.truth, decide.accept(both, 0.5), w.ids).agg(F.avg("f")).first()[0], 6)
+
+    return spark.createDataFrame(decide.searched(points, [1, 3, 5], [0.4, 0.6], (3, 0.5), 2), "k int, floor double, macro_f double")
+
+
+@registered("WITH " + sql.RECORDS + ", a AS (SELECT * FROM rec WHERE entity_id LIKE 'S1-%'), b AS (SELECT *, CAST(split_part(entity_id, '-', 2) AS BIGINT) AS line FROM rec WHERE entity_id LIKE 'S2-%') SELECT 'lookup' AS part, count(*) AS n FROM rec WHERE entity_id IN (SELECT 'S2-' || doc_id || '-0' FROM labels) UNION ALL SELECT 'pool', count(*) FROM b WHERE line < 100 OR entity_id IN (SELECT 'S2-' || doc_id || '-0' FROM labels)")
+def io_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IO4, IO8, JN4: records looked up by identifier, and a training pool of targets and first lines."""
+    raw = records(spark, sf_dir)
+    targets = table(spark, sf_dir, "labels").select(F.concat(F.lit("S2-"), "doc_id", F.lit("-0")).alias("cand"))
+    pool = training_pool(raw.where("entity_id like 'S2-%'").withColumn("line", F.split("entity_id", "-")[1].cast("long")), targets, 100)
+    found = lookup(raw, targets.withColumnRenamed("cand", "entity_id"))
+    return found.agg(F.count("*").alias("n")).select(F.lit("lookup").alias("part"), "n").unionByName(pool.agg(F.count("*").alias("n")).select(F.lit("pool").alias("part"), "n"))
+
+
+@registered()
+def ml_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML1-ML3, ML5, ML6, ML8, ML9, AG20: boosted trees and a forest on set features, by source and calibrated, and a blend."""
+    w, names = Linked(spark, sf_dir), ["name_exact", "name_jaccard", "name_gap", "name_in", "number_shared", "pin"]
+    rows = fe_sets(spark, sf_dir).join(w.truth.withColumn("label", F.lit(1.0)), ["s1", "cand"], "left").fillna(0.0, ["label"])
+    rows = materialized(rows.withColumn("is_s3", F.col("cand").startswith("S3-").cast("double")), "rows")
+    trees = learn.out_of_fold(rows, names, "boosted", 3, 10).select("s1", "cand", "label", F.col("p").alias("p_trees"))
+    forest = learn.out_of_fold(rows, names, "forest", 3, 10).select("s1", "cand", F.col("p").alias("p_forest"))
+    apart = learn.by_source(rows, names, "histogram", 3, 5).select("s1", "cand", F.col("p").alias("p_source"))
+    both = trees.join(forest, ["s1", "cand"]).join(apart, ["s1", "cand"], "left").withColumn("p", decide.blend(("p_trees", 0.6), ("p_forest", 0.4)))
+    return learn.calibrated(both).select("s1", "cand", *(F.round(c, 3).alias(c) for c in ("p_trees", "p_forest", "p_source", "raw", "p")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From records to scores by slice."""
     return ev_slices(spark, sf_dir)

@@ -49,6 +49,53 @@ ent AS (
 )"""
 )
 
+
+
+def older(column: str, short: dict[str, str]) -> str:
+    """The older normalization of a column."""
+    text = rf"trim(regexp_replace(regexp_replace(lower(strip_accents(replace({column}, '&', ' and '))), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+    return _short(f"(CASE WHEN lower({column}) = 'nan' THEN '' ELSE {text} END)", short)
+
+
+def _products(preset: str, step: int, kind: str, left: str, right: str, n: int, m: int) -> str:
+    return f"SELECT entity_id, source, '{preset}' AS preset, {step} AS step, '{kind}' AS ktype, {left}[x] || chr(1) || {right}[y] AS kval FROM vents, (SELECT x, y FROM range(1, {n + 1}) a(x), range(1, {m + 1}) b(y)) v WHERE len({left}) >= x AND len({right}) >= y"
+
+
+def _pairs(preset: str, step: int, kind: str, words: str, *places: tuple[int, int]) -> str:
+    return f"SELECT entity_id, source, '{preset}', {step}, '{kind}', least({words}[x], {words}[y]) || chr(1) || greatest({words}[x], {words}[y]) FROM vents, (VALUES {', '.join(map(str, places))}) v(x, y) WHERE len({words}) >= y"
+
+
+def _each(preset: str, step: int, kind: str, words: str, first: int = 1_000_000_000, least: int = 1) -> str:
+    return f"SELECT entity_id, source, '{preset}', {step}, '{kind}', unnest(list_filter({words}[1:{first}], lambda w: length(w) >= {least})) FROM vents"
+
+
+def _one(preset: str, step: int, kind: str, value: str, least: int) -> str:
+    return f"SELECT entity_id, source, '{preset}', {step}, '{kind}', {value} FROM vents WHERE length({value}) >= {least}"
+
+
+_TOY_N, _TOY_A = _in(W.TOY_NAME_STOP), _in(W.TOY_ADDRESS_STOP)
+VARIANTS = (
+    ENTITIES
+    + f""", vents AS (
+  SELECT *, list_sort(name_tokens) AS sorted, list_filter(content, lambda t: length(t) >= 3) AS long_, CASE WHEN pincode = '' THEN [] ELSE [pincode] END AS pins, list_filter(nt, lambda t: t NOT IN {_TOY_N}) AS tn,
+    list_filter(list_filter(nt, lambda t: t NOT IN {_TOY_N})[1:2], lambda t: length(t) >= 3) AS tfirst, list_filter(adt, lambda t: t NOT IN {_TOY_A} AND regexp_full_match(t, '\\p{{Nd}}+')) AS tnum,
+    list_filter(adt, lambda t: t NOT IN {_TOY_A} AND NOT regexp_full_match(t, '\\p{{Nd}}+') AND length(t) >= 3) AS tw,
+    list_filter(adt, lambda t: length(t) >= 4 AND t NOT IN {_in(W.ADDRESS_STOP)} AND NOT regexp_full_match(t, '\\p{{Nd}}+')) AS sw,
+    CASE WHEN length(replace(name, ' ', '')) >= 4 THEN list_distinct(list_transform(range(1, CAST(length(replace(name, ' ', '')) AS BIGINT) - 2), lambda i: substr(replace(name, ' ', ''), i, 4))) ELSE [] END AS grams
+  FROM ents
+), variants AS (
+  """
+    + " UNION ALL ".join([
+        _products("composite", 2, "name_num", "long_", "numbers", 3, 3), _one("composite", 1, "exact_name", "name", 4), _pairs("composite", 1, "name_pair", "long_", (1, 2), (1, 3)), _products("composite", 3, "num_word", "numbers", "address_words", 3, 3),
+        _each("naive", 1, "tok", "sorted", 1), _pairs("naive", 1, "pair", "sorted", (1, 2)), _one("naive", 1, "prefix3", "left(name, 3)", 3),
+        _one("stages", 1, "exact_name", "name", 4), _each("stages", 3, "name_tok", "content", 2), _pairs("stages", 4, "name_pair", "content", (1, 2)), _one("stages", 5, "prefix4", "left(name, 4)", 4), _each("stages", 6, "postal", "pins"), _products("stages", 7, "name_postal", "content", "pins", 1, 1), _products("stages", 8, "name_num", "content", "numbers", 1, 2),
+        _one("smart_no_alias", 1, "exact_name", "name", 4), _pairs("smart_no_alias", 1, "name_pair", "content", (1, 2), (1, 3)), _each("smart_no_alias", 1, "name_tok", "content", 2, 3), _products("smart_no_alias", 1, "num_word", "numbers", "sw", 2, 2), _products("smart_no_alias", 1, "name_num", "content", "numbers", 2, 2), _pairs("smart_no_alias", 1, "addr_pair", "sw", (1, 2), (1, 3)),
+        _each("toy", 1, "name_tok", "tn", least=3), _pairs("toy", 1, "name_pair", "tn", (1, 2)), _products("toy", 1, "num_word", "tnum", "tw", 2, 3), _products("toy", 1, "name_num", "tfirst", "tnum", 2, 2),
+        _each("grams", 1, "gram", "grams"),
+    ])
+    + ")"
+)
+
 #: Keys of the ordered passes. The tables hold no aliases, domains or Brahmic letters, so those keys have no rows here.
 KEYS = (
     ENTITIES

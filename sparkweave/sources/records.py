@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,15 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType = RECORD, rows
     return df if rows is None else df.limit(rows)
 
 
+def read_lines(spark: SparkSession, path: str, schema: T.StructType = RECORD) -> DataFrame:
+    """read_tsv() with `line`, ascending in the order of the file's lines (files of a folder by their place in the plan)."""
+    df = read_tsv(spark, path, schema).withColumn("__id", F.monotonically_increasing_id())
+    first = df.groupBy(F.shiftright("__id", 33).alias("__part")).agg(F.count("*").alias("n"))
+    before = first.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))  # a row for each split of the file
+    line = F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return df.withColumn("__part", F.shiftright("__id", 33)).join(F.broadcast(before), "__part").withColumn("line", line).drop("__part", "__id", "__before")
+
+
 def of_country(records: DataFrame, country: str) -> DataFrame:
     return records.where(country_key(F.col("country")) == country.strip().upper())
 
