@@ -72,7 +72,8 @@ def best_edge(masks: dict[str, int], m: int, b: str) -> float:
 
 
 def best_part(a: str, b: str) -> float:
-    """Best score of the shorter string against windows of its length, and shorter ones at the edges of the longer.
+    """Best score of the shorter string against windows of its length, and shorter ones at the edges of the longer; of two
+    strings of one length either may be the shorter.
 
     From one window to the next the common subsequence changes by one at most, which bounds all windows between two known
     ones; only spans that may still hold a better one are halved.
@@ -83,6 +84,11 @@ def best_part(a: str, b: str) -> float:
         return 100.0 if not b else 0.0
     if a in b:
         return 100.0
+    return windowed(a, b) if len(a) < len(b) else max(windowed(a, b), windowed(b, a))
+
+
+def windowed(a: str, b: str) -> float:
+    """best_part() of a that is no longer than b and not in it."""
     m, masks = len(a), char_masks(a)
     best = max(best_edge(masks, m, b), best_edge(char_masks(a[::-1]), m, b[::-1]))
     at = lambda i: matched(masks, m, b[i : i + m])
