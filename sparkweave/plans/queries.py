@@ -165,7 +165,7 @@ def jn_budgeted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.pairs.select("s1", "cand", "ord")
 
 
-@registered()
+@registered("WITH " + sql.TWO_TIER)
 def jn_two_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BK12: composite keys, and single words only where those find little."""
     w = Linked(spark, sf_dir)
@@ -368,23 +368,21 @@ def retrieval_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return asked, records(spark, sf_dir).select(F.col("entity_id").alias("id"), F.lit("").alias("country"), F.col("business_name").alias("text"))
 
 
-@registered(r"""WITH """ + sql.RECORDS + r""", txts AS (SELECT 'B-' || item_id AS id, coalesce(text, '') AS text, true AS q FROM benchmark UNION ALL SELECT entity_id, business_name, false FROM rec),
-wrds AS (SELECT id, q, ' ' || unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) || ' ' AS wrd FROM txts),
-grms AS (SELECT id, q, unnest(list_transform(range(1, length(wrd) - n + 2), lambda i: substr(wrd, CAST(i AS BIGINT), n))) AS gram FROM (SELECT *, unnest([3, 4, 5]) AS n FROM wrds) WHERE length(wrd) >= n),
-tf AS (SELECT id, q, gram, 1 + ln(count(*)) AS tf, count(*) AS n FROM grms GROUP BY id, q, gram), total AS (SELECT count(*) AS docs FROM txts),
-terms AS (SELECT gram, count(*) AS df, sum(n) AS uses FROM tf GROUP BY gram),
-vocab AS (SELECT gram, ln((docs + 1) / (df + 1)) + 1 AS idf, row_number() OVER (ORDER BY uses DESC, gram) AS r FROM terms, total WHERE df >= 2),
-raw AS (SELECT id, q, gram, tf * idf AS w FROM tf JOIN vocab USING (gram) WHERE r <= 30000), norms AS (SELECT id, sqrt(sum(w * w)) AS norm FROM raw GROUP BY id),
-unit AS (SELECT raw.id, q, gram, w / norm AS w FROM raw JOIN norms ON raw.id = norms.id),
-cosines AS (SELECT a.id AS s1, b.id AS cand, round(sum(a.w * b.w), 6) AS cosine FROM unit a JOIN unit b ON a.gram = b.gram WHERE a.q AND NOT b.q GROUP BY a.id, b.id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY cosine DESC, cand) AS rank FROM cosines WHERE cosine >= 0.3)
-SELECT s1, count(*) AS n, max(cosine) AS best FROM ranked WHERE rank <= 10 GROUP BY s1""")
+@registered("WITH " + sql.RECORDS + ", txts AS (SELECT 'B-' || item_id AS id, '' AS country, coalesce(text, '') AS text, true AS q, false AS p FROM benchmark UNION ALL SELECT entity_id, '', business_name, false, true FROM rec), " + sql.nearest(0.3) + " SELECT s1, count(*) AS n, max(cosine) AS best FROM ranked WHERE rank <= 10 GROUP BY s1")
 def jn_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SK8, JN3, WN1, PR4: the nearest records of each benchmark item by cosine of character grams."""
+    """SK8, JN3, WN1, PR4: the nearest records of each benchmark item by cosine of character grams of whole texts."""
     found = retrieval.nearest(*retrieval_rows(spark, sf_dir), k=10, floor=0.3)
     return found.groupBy("s1").agg(F.count("*").alias("n"), F.max("cosine").alias("best"))
 
 
+@registered("WITH txts AS (SELECT 'Q-' || p_partkey AS id, p_brand AS country, p_name AS text, true AS q, false AS p FROM part UNION ALL SELECT 'P-' || p_partkey, p_brand, p_name, false, true FROM part), " + sql.nearest(0.9) + " SELECT s1, cand, cosine, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 2")
+def jn_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN11, SK8: the nearest names within the same group alone (brands for countries), with their cosine and rank."""
+    part = table(spark, sf_dir, "part")
+    asked, pool = (part.select(F.concat(F.lit(k), "p_partkey").alias("id"), F.col("p_brand").alias("country"), F.col("p_name").alias("text")) for k in ("Q-", "P-"))
+    return retrieval.nearest(asked, pool, k=2, floor=0.9)
+
+
 @registered("WITH " + sql.ENTITIES + ", r AS (SELECT * FROM ents WHERE source <> 'S1'), d AS (SELECT token, count(*) AS df FROM (SELECT unnest(name_tokens) AS token FROM r) GROUP BY token) SELECT token, round(ln(((SELECT count(*) FROM r) + 1) / (df + 1)) + 1, 6) AS idf FROM d")
 def ag_token_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SK9, AG13: weights of name words."""

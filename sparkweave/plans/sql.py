@@ -96,6 +96,33 @@ VARIANTS = (
     + ")"
 )
 
+
+
+def _met(name: str, keys: str, cap: int, left: str = "true") -> str:
+    """Pairs of S1 (those for which left holds) and the other sources that share a key of a short enough list."""
+    return f"""{name}_f AS (SELECT ktype, kval, source, count(*) AS n FROM {keys} WHERE source <> 'S1' GROUP BY ALL),
+{name} AS (SELECT k.entity_id AS s1, p.entity_id AS cand, min(k.ord) AS ord FROM {keys} k JOIN {name}_f f ON f.ktype = k.ktype AND f.kval = k.kval AND f.n <= {cap}
+  JOIN (SELECT DISTINCT ktype, kval, source, entity_id FROM {keys}) p ON p.ktype = f.ktype AND p.kval = f.kval AND p.source = f.source WHERE k.source = 'S1' AND {left} GROUP BY ALL)"""
+
+
+TWO_TIER = (
+    VARIANTS
+    + """, tk0 AS (
+  SELECT entity_id, source, 1 AS part, 0 AS x, 0 AS y, 'exact_name' AS ktype, name AS kval FROM vents WHERE length(name) >= 4
+  UNION ALL SELECT entity_id, source, 2, x, y, 'name_pair', least(long_[x], long_[y]) || chr(1) || greatest(long_[x], long_[y]) FROM vents, (VALUES (1, 2), (1, 3)) v(x, y) WHERE len(long_) >= y
+  UNION ALL SELECT entity_id, source, 3, x, y, 'name_num', long_[x] || chr(1) || numbers[y] FROM vents, (SELECT x, y FROM range(1, 4) a(x), range(1, 4) b(y)) v WHERE len(long_) >= x AND len(numbers) >= y
+  UNION ALL SELECT entity_id, source, 4, x, y, 'num_word', numbers[x] || chr(1) || address_words[y] FROM vents, (SELECT x, y FROM range(1, 4) a(x), range(1, 4) b(y)) v WHERE len(numbers) >= x AND len(address_words) >= y
+), tk AS (SELECT entity_id, source, ktype, kval, row_number() OVER (PARTITION BY entity_id ORDER BY part, x, y) - 1 AS ord FROM tk0),
+"""
+    + _met("lead", "tk", 300)
+    + """, enough AS (SELECT s1 FROM lead GROUP BY s1 HAVING count(*) >= 4),
+sk AS (SELECT entity_id, source, 'name_tok' AS ktype, z.w AS kval, z.i + 999 AS ord FROM (SELECT entity_id, source, unnest(list_transform(list_filter(content[1:2], lambda w: length(w) >= 3), lambda w, i: {'w': w, 'i': i})) AS z FROM vents)),
+"""
+    + _met("more", "sk", 80, "k.entity_id NOT IN (SELECT s1 FROM enough)")
+    + """, both_ AS (SELECT s1, cand, min(ord) AS ord FROM (SELECT * FROM lead UNION ALL SELECT * FROM more) GROUP BY ALL)
+SELECT s1, cand, CAST(ord AS INTEGER) AS ord FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY ord, cand) AS r FROM both_) WHERE r <= 25"""
+)
+
 #: Keys of the ordered passes. The tables hold no aliases, domains or Brahmic letters, so those keys have no rows here.
 KEYS = (
     ENTITIES
@@ -218,3 +245,16 @@ CLASSES = {
     "fn": _cases((_BLANK, "missing_address_low_name_sim"), ("ns < 50", "heavy_transliteration_or_dba"), ("ads < 50", "address_format_or_landmark_mismatch"), other="marginal_probability_below_threshold"),
     "recoverable": _cases(("ns < 30 AND ads < 30", "hopeless"), ("ns >= 50 OR ads >= 50 OR (ns >= 35 AND ads >= 35)", "hopeful"), other="neither"),
 }
+
+
+def nearest(floor: float) -> str:
+    """The table `ranked` of the nearest texts within a country, from txts (id, country, text, q: asks, p: is asked for)."""
+    return rf"""wrds AS (SELECT id, country, q, p, ' ' || unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) || ' ' AS wrd FROM txts),
+grms AS (SELECT id, country, q, p, unnest(list_transform(range(1, length(wrd) - n + 2), lambda i: substr(wrd, CAST(i AS BIGINT), n))) AS gram FROM (SELECT *, unnest([3, 4, 5]) AS n FROM wrds) WHERE length(wrd) >= n),
+tf AS (SELECT id, country, q, p, gram, 1 + ln(count(*)) AS tf, count(*) AS n FROM grms GROUP BY ALL), total AS (SELECT country, count(*) AS docs FROM txts GROUP BY country),
+terms AS (SELECT country, gram, count(*) AS df, sum(n) AS uses FROM tf GROUP BY ALL),
+vocab AS (SELECT country, gram, ln((docs + 1) / (df + 1)) + 1 AS idf, row_number() OVER (PARTITION BY country ORDER BY uses DESC, gram) AS r FROM terms JOIN total USING (country) WHERE df >= 2),
+raw AS (SELECT id, country, q, p, gram, tf * idf AS w FROM tf JOIN vocab USING (country, gram) WHERE r <= 30000), norms AS (SELECT id, sqrt(sum(w * w)) AS norm FROM raw GROUP BY id),
+unit AS (SELECT raw.id, country, q, p, gram, w / norm AS w FROM raw JOIN norms ON raw.id = norms.id),
+cosines AS (SELECT a.id AS s1, b.id AS cand, round(sum(a.w * b.w), 6) AS cosine FROM unit a JOIN unit b ON a.gram = b.gram AND a.country = b.country WHERE a.q AND b.p GROUP BY a.id, b.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY cosine DESC, cand) AS rank FROM cosines WHERE cosine >= {floor})"""
