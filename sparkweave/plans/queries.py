@@ -18,7 +18,7 @@ from sparkweave.functions import text as X
 from sparkweave.operators import blocking, decide, evaluate, features, learn, retrieval, taxonomy, validate
 from sparkweave.operators.entity import entities
 from sparkweave.plans import sql
-from sparkweave.sources.records import RESULT, documents_as_records, first_truth, lookup, read_back, read_tsv, results, training_pool, write_results
+from sparkweave.sources.records import RESULT, documents_as_records, lookup, read_back, read_tsv, results, training_pool, write_results
 from sparkweave.sources.store import materialized, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sparkweave.operators import blocking, decide, evaluate, features, learn, validate
 from sparkweave.operators.entity import entities
 from sparkweave.sources import package
-from sparkweave.sources.records import TRUTH, data_paths, in_input_order, read_lines, results, training_pool, truth_pairs, write_results
+from sparkweave.sources.records import TRUTH, data_paths, first_truth, in_input_order, read_lines, results, training_pool, write_results
 from sparkweave.sources.store import materialized
 
 
@@ -60,12 +60,9 @@ def candidate_rows(left: DataFrame, right: DataFrame, preset: str) -> tuple[Data
 def run(spark: SparkSession, how: Settings) -> Outcome:
     """Everything is a plan over written tables; the driver gets a threshold, a few scores and the number of violations."""
     paths, names = data_paths(how.data_dir, how.sample), features.PRESETS[how.preset]
-    truth = read_lines(spark, paths["train_gt"], TRUTH)
-    if how.train_sample_size is not None:
-        truth = truth.where(F.col("line") < how.train_sample_size)
-    ids, known = truth_pairs(truth)
+    first = how.train_sample_size if how.train_sample_size is not None else 1 << 62
+    _, source1, known = first_truth(read_lines(spark, paths["train_gt"], TRUTH), read_lines(spark, paths["train_s1"]), first)
     known = materialized(known, "truth")
-    source1 = read_lines(spark, paths["train_s1"]).join(ids.select(F.col("s1").alias("entity_id")), "entity_id", "left_semi")
     pools = [read_lines(spark, paths[f"train_s{n}"]) for n in (2, 3)]
     if how.train_sample_size is not None:
         pools = [training_pool(p, known, 10 * how.train_sample_size) for p in pools]
