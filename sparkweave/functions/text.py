@@ -19,6 +19,9 @@ ALIAS = r"(?i)(?<![\p{L}\p{N}_])(?:aka|dba|d/b/a|formerly|f/k/a|fka)(?![\p{L}\p{
 URL = r"(?i)([a-zA-Z0-9\-]+)\.(?:com|in|org|net|co|io|biz|info|gov|edu|fr)"
 PIN = r"(?<![\p{L}\p{N}_])(\p{Nd}{5,6})(?![\p{L}\p{N}_])"
 
+#: Grams that are taken from one part of a text.
+PART = 64
+
 
 @F.pandas_udf(T.StringType())
 def strip_accents(text: pd.Series) -> pd.Series:
@@ -163,7 +166,9 @@ def postal(raw: Column, country: Column) -> Column:
 def char_grams(name: Column, n: int = 4, short: bool = False) -> Column:
     """Distinct n-grams of the characters without blanks; short: a shorter text is its own gram."""
     text = F.replace(name, F.lit(" "), F.lit(""))
-    some = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
+    # A place in a string is found from its start, so grams are taken from short parts.
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)), F.lit(PART)), lambda i: F.substr(text, i, F.lit(PART + n - 1)))
+    some = F.flatten(F.transform(parts, lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - n + 1, F.lit(1))), lambda i: F.substr(p, i, F.lit(n)))))
     none = F.when(F.lit(short) & (text != ""), F.array(text)).otherwise(F.array().cast("array<string>"))
     return F.when(F.length(text) >= n, F.array_distinct(some)).otherwise(none)
 

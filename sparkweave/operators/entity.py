@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from sparkweave.functions import text as X
 
 
-def entities(records: DataFrame, presplit: bool = True, more: bool = True) -> DataFrame:
-    """presplit: hyphens and slashes become blanks first; more: the longer stop lists. Both belong together."""
+def entities(records: DataFrame, presplit: bool = True, more: bool = True, grams: bool = True) -> DataFrame:
+    """presplit: hyphens and slashes become blanks first; more: the longer stop lists. Both belong together. grams: with the
+    four-grams of names, which only the gram features and keys need and which make most of the work."""
     name, address = (X.presplit(F.col(c)) if presplit else X.text_of(F.col(c)) for c in ("business_name", "business_address"))
     first = records.select(
         "entity_id",
@@ -29,7 +30,7 @@ def entities(records: DataFrame, presplit: bool = True, more: bool = True) -> Da
         X.address_words(F.col("address"), more).alias("address_words"),
         X.numbers(F.col("address")).alias("numbers"),
         X.pincode(F.col("raw_address")).alias("pincode"),
-        X.char_grams(F.col("name"), 4).alias("grams"),
+        *([X.char_grams(F.col("name"), 4).alias("grams")] if grams else []),
         X.url_core(F.col("name")).alias("url"),
         X.url_core(F.col("raw_name")).alias("raw_url"),
         X.content(F.col("latin_name"), 3, more).alias("latin_content"),

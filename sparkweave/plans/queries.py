@@ -47,8 +47,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Linked:
     """What most queries go through, each part made when it is first asked for: entities and pairs are written once."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, grams: bool = False):
+        self.spark, self.sf_dir, self.grams = spark, sf_dir, grams
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -56,7 +56,7 @@ class Linked:
 
     @cached_property
     def ents(self) -> DataFrame:
-        return materialized(entities(self.raw), "entities")
+        return materialized(entities(self.raw, grams=self.grams), "entities")
 
     @property
     def left(self) -> DataFrame:
@@ -143,7 +143,7 @@ def bk_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def bk_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BK1, BK3-BK14: keys of every preset, counted by kind."""
-    ents = entities(records(spark, sf_dir))
+    ents = Linked(spark, sf_dir, True).ents
     out = None
     for name, keys in blocking.PRESETS.items():
         own = blocking.exploded(ents, keys()).groupBy("ktype", "step").agg(F.count("*").alias("n")).withColumn("preset", F.lit(name))
@@ -219,7 +219,7 @@ def all_features(w: Linked) -> DataFrame:
 def fe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SK1-SK4, F26 to F63 with F35a, F35b, F40 and F51 on all blocked pairs, scored on whole names and addresses."""
     every = dict.fromkeys(f for names in features.PRESETS.values() for f in names)
-    return all_features(Linked(spark, sf_dir)).select("s1", "cand", *every)
+    return all_features(Linked(spark, sf_dir, True)).select("s1", "cand", *every)
 
 
 NAMES_TWO = " FROM pairs p JOIN ents a ON p.s1 = a.entity_id JOIN ents b ON p.cand = b.entity_id"
@@ -530,7 +530,7 @@ def tx_represent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("WITH " + sql.VARIANTS + " SELECT preset, ktype, step, count(*) AS n, count(DISTINCT kval) AS n_distinct FROM variants GROUP BY ALL")
 def bk_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BK7-BK9, BK11, BK13, BK14: keys of the variants that read words, numbers and postal codes, counted by kind."""
-    ents, out = Linked(spark, sf_dir).ents, None
+    ents, out = Linked(spark, sf_dir, True).ents, None
     for name in ("naive", "stages", "composite", "smart_no_alias", "toy", "grams"):
         own = blocking.exploded(ents, blocking.PRESETS[name]()).groupBy("ktype", "step").agg(F.count("*").alias("n"), F.countDistinct("kval").alias("n_distinct")).withColumn("preset", F.lit(name))
         out = own if out is None else out.unionByName(own)

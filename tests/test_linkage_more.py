@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkweave.functions import similarity as S
+from sparkweave.functions import text as X
 from sparkweave.operators import blocking, decide, evaluate, features, retrieval
 from sparkweave.operators.entity import entities
 from sparkweave.plans.run import parsed, run
@@ -63,6 +64,16 @@ def test_word_sets_against_the_definition():
         assert math.isclose(S.word_sets(a, b), want), (a, b)
 
 
+@pytest.mark.parametrize("n", [3, 4])
+def test_grams_of_any_length(spark, n):
+    random.seed(47)
+    texts = ["".join(random.choices("abé漢𐍈 ", k=k)) for k in (0, 1, 3, 4, 5, 63, 64, 66, 67, 68, 130, 700)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.char_grams(F.col("t"), n).alias("g")).collect()
+    for r in rows:
+        own = r["t"].replace(" ", "")
+        assert r["g"] == list(dict.fromkeys(own[i : i + n] for i in range(len(own) - n + 1)))
+
+
 def test_records_hold_every_line(spark):
     docs = spark.createDataFrame([(3, "a\n\nb\n c \nd\ne", "en"), (4, None, None), (5, "", "de"), (6, "x" * 5000 + "\n" + "y" * 5000, "fr")], "doc_id long, text string, lang string")
     got = {r["entity_id"]: (r["business_name"], r["business_address"], r["country"]) for r in documents_as_records(docs).collect()}
