@@ -360,7 +360,7 @@ def ml_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML4, ML7: out-of-fold scores of a logistic regression on set features."""
     w = Linked(spark, sf_dir)
     rows = fe_sets(spark, sf_dir).join(w.truth.withColumn("label", F.lit(1.0)), ["s1", "cand"], "left").fillna(0.0, ["label"])
-    return learn.out_of_fold(rows, ["name_exact", "name_jaccard", "name_gap", "name_in", "number_shared", "pin"], "logistic", 3, 20).select("s1", "cand", "fold", F.round("p", 4).alias("p"))
+    return learn.out_of_fold(rows, ["name_exact", "name_jaccard", "name_gap", "name_in", "number_shared", "pin"], "logistic").select("s1", "cand", "fold", F.round("p", 4).alias("p"))
 
 
 def retrieval_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
