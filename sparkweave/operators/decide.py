@@ -81,26 +81,33 @@ def steps(low: float, high: float, step: float) -> list[float]:
     return [round(low + step * i, 6) for i in range(round((high - low) / step) + 1)]
 
 
-def sweep(scored: DataFrame, truth: DataFrame, entities: DataFrame, taus: Iterable[float], beta: float = 0.5) -> DataFrame:
-    """(tau, macro_f, macro_p, macro_r) for each threshold, in one plan; pairs meet only the thresholds they reach."""
+def at_each(scored: DataFrame, truth: DataFrame, entities: DataFrame, taus: Iterable[float], beta: float = 0.5) -> DataFrame:
+    """per_entity() at each threshold (tau), with the columns of entities; pairs meet only the thresholds they reach."""
     taus = sorted(float(t) for t in taus)
     own = scored.select("s1", "cand", F.explode(F.filter(F.lit(taus), lambda t: t <= F.col("p"))).alias("tau"))
-    each = entities.select("s1", F.explode(F.lit(taus)).alias("tau"))
+    each = entities.select("*", F.explode(F.lit(taus)).alias("tau"))
     known = truth.select("s1", "cand", F.explode(F.lit(taus)).alias("tau"))
-    counts = per_entity(known, own, each, ["tau"], beta)
+    return per_entity(known, own, each, ["tau"], beta)
+
+
+def sweep(scored: DataFrame, truth: DataFrame, entities: DataFrame, taus: Iterable[float], beta: float = 0.5) -> DataFrame:
+    """(tau, macro_f, macro_p, macro_r) for each threshold, in one plan."""
+    counts = at_each(scored, truth, entities.select("s1"), taus, beta)
     return counts.groupBy("tau").agg(F.avg("f").alias("macro_f"), F.avg("p").alias("macro_p"), F.avg("r").alias("macro_r"))
 
 
 def two_thresholds(scored: DataFrame, truth: DataFrame, entities: DataFrame, first: str, taus: Iterable[float]) -> DataFrame:
     """(tau_first, tau_other, macro_f) for every pair of thresholds, one for records of country `first`, one for the others.
 
-    The macro score is a mean over records, so the pairs follow from each side's own sweep and no pair is evaluated.
+    The macro score is a mean over records, so the pairs follow from the sums of both sides in one sweep and no pair is
+    evaluated. The sides are told apart in the sums alone: a sweep for each of them, over semi-joined halves of the same
+    tables, lost counts in Spark 4.1, whose unions take the partitioning of their inputs for granted where exchanges are reused.
     """
-    side = lambda own, name: (sweep(scored.join(entities.where(own).select("s1"), "s1", "left_semi"), truth.join(entities.where(own).select("s1"), "s1", "left_semi"), entities.where(own), taus), entities.where(own).agg(F.count("*").alias(name)))
-    (a, n), (b, m) = side(F.col("country") == first, "n"), side(F.col("country") != first, "m")
-    a = a.select(F.col("tau").alias("tau_first"), F.col("macro_f").alias("f")).crossJoin(F.broadcast(n))
-    b = b.select(F.col("tau").alias("tau_other"), F.col("macro_f").alias("g")).crossJoin(F.broadcast(m))
-    return a.crossJoin(F.broadcast(b)).select("tau_first", "tau_other", ((F.col("f") * F.col("n") + F.col("g") * F.col("m")) / (F.col("n") + F.col("m"))).alias("macro_f"))
+    taus = sorted(float(t) for t in taus)
+    side = entities.select("s1", F.coalesce(F.col("country") == first, F.lit(False)).alias("first"))
+    sums = at_each(scored, truth, side, taus).groupBy("tau").agg(*(agg.alias(name) for k, own in (("a", F.col("first")), ("b", ~F.col("first"))) for agg, name in ((F.coalesce(F.sum(F.when(own, F.col("f"))), F.lit(0.0)), k), (F.count_if(own), f"{k}_n"))))
+    a, b = sums.select(F.col("tau").alias("tau_first"), "a", "a_n"), sums.select(F.col("tau").alias("tau_other"), "b", "b_n")
+    return a.crossJoin(F.broadcast(b)).select("tau_first", "tau_other", ((F.col("a") + F.col("b")) / (F.col("a_n") + F.col("b_n"))).alias("macro_f"))
 
 
 def rescue_grid(scored: DataFrame, truth: DataFrame, entities: DataFrame, tau: float, taus: list[float], leads: list[float]) -> DataFrame:
