@@ -14,8 +14,8 @@ Several views (independent fingerprints of the same shingles) raise the share of
 similar() finds pairs by the overlap of their shingles instead: candidates are pairs within the radius in any view, and
 texts that agree on ROWS minimum hashes in one of BANDS bands (a pair with overlap 0.8 fails to in 1 of 1500 cases, one
 with 0.85 in 1 of 300,000). Each is confirmed by its true overlap. In a band's bucket a text is compared with the least
-row, then, where that leaves more than one component, with every text of another component in buckets of GROUP texts or
-fewer; larger buckets are dealt at random into parts of about that size, in each band anew, so work stays linear.
+row, then, where that leaves more than one component, with every text of another component, however large the bucket; parts
+of about GROUP texts meet each other apart. Work is linear but for texts of one bucket that the least row does not link.
 
 Null text counts as empty. A text without words has fingerprint zero and links like any other. Fewer words than a
 shingle: the whole sequence is one shingle. Repeated rows share a class, whatever their identifiers; a class without any
@@ -157,6 +157,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, alike: float, id_col: s
     return found
 
 
+def across(placed: DataFrame) -> DataFrame:
+    """The pairs (u, v) of all rows of a bucket that have other roots, from (key, row, n, root) with n rows in the bucket. Every
+    part of GROUP rows or so meets every other, each two in a task of their own choice, so a large bucket is no one task's."""
+    parts = F.ceil(F.col("n") / GROUP)
+    dealt = placed.withColumn("part", F.pmod(F.xxhash64("row", "key"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    side = lambda r, x, y: dealt.select("key", F.col("part").alias(x), F.col("other").alias(y), F.col("row").alias(r), F.col("root").alias(f"{r}_root"))
+    both = side("u", "x", "y").join(side("v", "y", "x"), ["key", "x", "y"])
+    return both.where("u < v and u_root <> v_root").select("u", "v").distinct()
+
+
 def similar(docs: DataFrame, k: int = 5, views: int = 1, alike: float = ALIKE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, root) of texts that are linked, by overlaps of alike or more, to others; identifiers are long and unique."""
     schema = pa.schema([("row", pa.int64()), ("key", pa.int64())])
@@ -180,9 +190,7 @@ def similar(docs: DataFrame, k: int = 5, views: int = 1, alike: float = ALIKE, i
     placed = written(placed, "placed")
     dropped(spark, members)
     split = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-    parts = placed.join(split, "key", "left_semi").withColumn("part", F.pmod(F.xxhash64("row", "key"), F.ceil(F.col("n") / GROUP)))
-    a, b = (parts.select("key", "part", F.col("row").alias(r), F.col("root").alias(f"{r}_root")) for r in ("u", "v"))
-    second = a.join(b, ["key", "part"]).where("u < v and u_root <> v_root").select("u", "v").distinct()
+    second = across(placed.join(split, "key", "left_semi"))
     second = written(second.join(first, ["u", "v"], "left_anti"), "candidates")
     dropped(spark, placed, first)
     more = confirmed(second, docs, k, alike, id_col, text_col)
