@@ -48,9 +48,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: computed once, and safe when executors are lost."""
+    """df, written to the shared folder and read again: computed once, and safe when executors are lost. Shuffle files of the work
+    are given up at once; else they stay until the driver happens to collect its garbage."""
     spark, at = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(at)
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(at)
     out.written_at = at
     return out

@@ -14,8 +14,8 @@ Several views (independent fingerprints of the same shingles) raise the share of
 similar() finds pairs by the overlap of their shingles instead: candidates are pairs within the radius in any view, and
 texts that agree on ROWS minimum hashes in one of BANDS bands (a pair with overlap 0.8 fails to in 1 of 1500 cases, one
 with 0.85 in 1 of 300,000). Each is confirmed by its true overlap. In a band's bucket a text is compared with the least
-row, then, where that leaves more than one component, with every text of another component, however large the bucket; parts
-of about GROUP texts meet each other apart. Work is linear but for texts of one bucket that the least row does not link.
+row, then, where that leaves more than one component, with a few others, which joins most of a large group; then with every
+text of another component, however large the bucket. Work is linear but for texts of one bucket that none of these link.
 
 Null text counts as empty. A text without words has fingerprint zero and links like any other. Fewer words than a
 shingle: the whole sequence is one shingle. Repeated rows share a class, whatever their identifiers; a class without any
@@ -40,8 +40,11 @@ SEED = 42
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Differing bits up to which fingerprints link. Common neighbours stand for pairs at this radius only.
 RADIUS = 2
-#: Bands and minimum hashes a band, the least overlap of shingles that links, and texts that are compared each with each.
+#: Bands and minimum hashes a band, the least overlap of shingles that links, and strays that a bucket's rows meet at once.
 BANDS, ROWS, ALIKE, GROUP = 40, 8, 0.8, 32
+#: Rows of each bucket that all its others are compared with at a turn, and most such turns before what is left is compared
+#: whole; none where that is no more work.
+PIVOTS, TURNS = 8, 2
 ODD, FLIP = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint32)
 ODD |= np.uint32(1)
 
@@ -157,14 +160,30 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, alike: float, id_col: s
     return found
 
 
+def split(placed: DataFrame) -> DataFrame:
+    """(key, main, n, strays) of buckets (key, row, root) with more than one root: the commonest, rows, and those of other roots."""
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("m"))
+    all_ = sizes.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("n"), (F.sum("m") - F.max("m")).alias("strays"))
+    return all_.where("strays > 0")
+
+
 def across(placed: DataFrame) -> DataFrame:
-    """The pairs (u, v) of all rows of a bucket that have other roots, from (key, row, n, root) with n rows in the bucket. Every
-    part of GROUP rows or so meets every other, each two in a task of their own choice, so a large bucket is no one task's."""
-    parts = F.ceil(F.col("n") / GROUP)
-    dealt = placed.withColumn("part", F.pmod(F.xxhash64("row", "key"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    side = lambda r, x, y: dealt.select("key", F.col("part").alias(x), F.col("other").alias(y), F.col("row").alias(r), F.col("root").alias(f"{r}_root"))
-    both = side("u", "x", "y").join(side("v", "y", "x"), ["key", "x", "y"])
-    return both.where("u < v and u_root <> v_root").select("u", "v").distinct()
+    """The pairs (u, v) of all rows of a bucket that have other roots, from (key, row, root). Rows of the commonest root meet the
+    strays alone, so that rows of one root make no pairs; parts of GROUP strays or so meet the bucket's rows apart, so a large
+    bucket is no one task's."""
+    told = placed.select("key", "row", "root").join(split(placed).select("key", "main", F.ceil(F.col("strays") / GROUP).alias("parts")), "key")
+    rows = told.select("key", "main", F.col("row").alias("u"), F.col("root").alias("u_root"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    strays = told.where("root <> main").select("key", F.col("row").alias("v"), F.col("root").alias("v_root"), F.pmod(F.xxhash64("row", "key"), F.col("parts")).alias("part"))
+    both = rows.join(strays, ["key", "part"]).where("u_root <> v_root and (u < v or u_root = main)")
+    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def sampled(placed: DataFrame, turn: int) -> DataFrame:
+    """Of the pairs of across() those with one of PIVOTS rows of each bucket, others at each turn."""
+    each = [F.min(F.struct(F.xxhash64("row", "key", F.lit(PIVOTS * turn + i)).alias("h"), "row", "root")) for i in range(PIVOTS)]
+    chosen = placed.groupBy("key").agg(F.array_distinct(F.array(*each)).alias("x")).select("key", F.explode("x").alias("x")).select("key", F.col("x.row").alias("v"), F.col("x.root").alias("v_root"))
+    both = placed.withColumnsRenamed({"row": "u", "root": "u_root"}).join(chosen, "key").where("u_root <> v_root")
+    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def similar(docs: DataFrame, k: int = 5, views: int = 1, alike: float = ALIKE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,17 +205,25 @@ def similar(docs: DataFrame, k: int = 5, views: int = 1, alike: float = ALIKE, i
 
     spark = docs.sparkSession
     dropped(spark, marked, nodes, keyed)
-    placed = members.join(components(edges).withColumnRenamed("node", "row"), "row", "left").select("key", "row", "n", F.coalesce("root", "row").alias("root"))
-    placed = written(placed, "placed")
-    dropped(spark, members)
-    split = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-    second = across(placed.join(split, "key", "left_semi"))
-    second = written(second.join(first, ["u", "v"], "left_anti"), "candidates")
-    dropped(spark, placed, first)
-    more = confirmed(second, docs, k, alike, id_col, text_col)
-    found = components(edges.union(more))
-    dropped(spark, second, edges, more)
-    return found
+    roots, turn = components(edges), 0
+    while True:
+        placed = members.join(roots.withColumnRenamed("node", "row"), "row", "left").select("key", "row", F.coalesce("root", "row").alias("root"))
+        rest = written(placed.join(split(placed).select("key"), "key", "left_semi"), "placed")
+        whole, few = split(rest).agg(F.sum(F.col("n") * F.col("strays")), F.sum("n") * PIVOTS).first()
+        last = turn == TURNS or not whole or whole <= few
+        second = across(rest) if last else sampled(rest, turn)
+        second = written(second.join(first, ["u", "v"], "left_anti"), "candidates")
+        more = confirmed(second, docs, k, alike, id_col, text_col)
+        joined = written(edges.union(more), "joined")
+        dropped(spark, rest, edges, more)
+        edges, tried = joined, first
+        if last:
+            dropped(spark, members, second, tried)
+            found = components(edges)
+            dropped(spark, edges)
+            return found
+        first, roots, turn = written(tried.union(second), "candidates"), components(edges), turn + 1
+        dropped(spark, tried, second)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

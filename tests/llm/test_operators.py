@@ -581,3 +581,36 @@ def test_large_buckets_are_compared_whole(spark):
     got = [tuple(r) for r in simhash.across(spark.createDataFrame(rows, "key long, row long, n long, root long")).collect()]
     n = 3 * simhash.GROUP + 4
     assert sorted(got) == [(u, v) for u in range(n) for v in range(u + 1, n) if u // 2 != v // 2]
+
+
+def test_a_large_group_of_near_copies_makes_few_rows(spark):
+    """pipeline: each row of a bucket was repeated for every part of it, linked or not, which grew with the square of a group."""
+    from sparkweave.llm import simhash
+
+    rows = [(1, row, 0 if row < 1000 else row) for row in range(1003)]
+    placed = spark.createDataFrame(rows, "key long, row long, root long")
+    got = sorted(tuple(r) for r in simhash.across(placed).collect())
+    assert got == [(u, v) for u in range(1003) for v in range(max(u + 1, 1000), 1003)]
+    parts = simhash.split(placed).select((F.ceil(F.col("strays") / simhash.GROUP)).alias("parts"), "n", "main").first()
+    assert tuple(parts) == (1, 1003, 0)
+    some = simhash.sampled(placed, 0).collect()
+    assert 0 < len(some) <= 1003 * simhash.PIVOTS and {tuple(r) for r in some} <= set(got)
+
+
+@pytest.mark.parametrize("turns", [0, 2])
+def test_near_copies_of_one_base(spark, monkeypatch, turns):
+    """A group in which the least row is like some of the others only; what turns leave is compared whole."""
+    from sparkweave.llm import simhash
+
+    random.seed(31)
+    base = [f"w{random.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in random.sample(range(120), random.choice([1, 2, 3])):
+            words[at] = f"n{random.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(simhash, "TURNS", turns)
+    found = {r["node"]: r["root"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_links([(a, b) for a, x in rows for b, y in rows if a < b and overlap(x, y) >= 0.8])
+    assert {i: found.get(i, i) for i, _ in rows} == {i: want.get(i, i) for i, _ in rows}
