@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkweave.llm._common import as_bytes, clean_id, components, dropped, in_batches, one_blank, table, word_bounds, written
@@ -104,8 +104,7 @@ def links(nodes: DataFrame) -> DataFrame:
     kept = masks(RADIUS)
     tables = F.explode(F.array(*(F.struct(F.lit(t).alias("table"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(kept))))
     keyed = nodes.select("low", "view", "fp", tables.alias("b")).select("low", "view", "fp", "b.table", "b.key")
-    full = keyed.groupBy("view", "table", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    members = keyed.join(full, ["view", "table", "key"])
+    members = keyed.withColumn("n", F.count("*").over(Window.partitionBy("view", "table", "key"))).where("n > 1")  # dealt out once
     flips = F.array(*(F.array(*(F.lit(signed(f)) for f in (0, *(1 << b for b in range(BITS) if not m >> b & 1)))) for m in kept))
     around = members.select("low", "view", "fp", F.explode(F.element_at(flips, F.col("table") + 1)).alias("flip"))
     near = around.select("low", "view", F.col("fp").bitwiseXOR(F.col("flip")).alias("hub")).groupBy("view", "hub").agg(F.collect_set("low").alias("lows")).where(F.size("lows") > 1)
@@ -179,8 +178,9 @@ def across(placed: DataFrame) -> DataFrame:
 
 
 def sampled(placed: DataFrame, turn: int) -> DataFrame:
-    """Of the pairs of across() those with one of PIVOTS rows of each bucket, others at each turn."""
-    each = [F.min(F.struct(F.xxhash64("row", "key", F.lit(PIVOTS * turn + i)).alias("h"), "row", "root")) for i in range(PIVOTS)]
+    """Of the pairs of across() those with one of PIVOTS rows of each bucket, others at each turn. Buckets choose by one order of
+    all rows, so that those of a group choose mostly the same rows."""
+    each = [F.min(F.struct(F.xxhash64("row", F.lit(PIVOTS * turn + i)).alias("h"), "row", "root")) for i in range(PIVOTS)]
     chosen = placed.groupBy("key").agg(F.array_distinct(F.array(*each)).alias("x")).select("key", F.explode("x").alias("x")).select("key", F.col("x.row").alias("v"), F.col("x.root").alias("v_root"))
     both = placed.withColumnsRenamed({"row": "u", "root": "u_root"}).join(chosen, "key").where("u_root <> v_root")
     return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -197,8 +197,8 @@ def similar(docs: DataFrame, k: int = 5, views: int = 1, alike: float = ALIKE, i
     nodes = written(marked.groupBy("view", "fp").agg(F.min("doc_id").alias("low")), "nodes")
     near = links(nodes).union(marked.join(nodes, ["view", "fp"]).where("doc_id <> low").select("low", "doc_id"))
     keyed = written(clean_id(docs, id_col, text_col).mapInArrow(in_batches(work, schema), "row long, key long"), "bands")
-    full = keyed.groupBy("key").agg(F.min("row").alias("low"), F.count("*").alias("n")).where("n > 1")
-    members = written(keyed.join(full, "key"), "members")
+    bucket = Window.partitionBy("key")
+    members = written(keyed.withColumns({"low": F.min("row").over(bucket), "n": F.count("*").over(bucket)}).where("n > 1"), "members")
     first = members.where("row <> low").select(F.col("low").alias("u"), F.col("row").alias("v")).union(near)
     first = written(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
     edges = confirmed(first, docs, k, alike, id_col, text_col)

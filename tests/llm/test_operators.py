@@ -595,6 +595,8 @@ def test_a_large_group_of_near_copies_makes_few_rows(spark):
     assert tuple(parts) == (1, 1003, 0)
     some = simhash.sampled(placed, 0).collect()
     assert 0 < len(some) <= 1003 * simhash.PIVOTS and {tuple(r) for r in some} <= set(got)
+    again = placed.unionByName(placed.withColumn("key", F.lit(2)))
+    assert sorted(simhash.sampled(again, 0).collect()) == sorted(some)
 
 
 @pytest.mark.parametrize("turns", [0, 2])
