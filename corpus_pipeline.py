@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +25,25 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact.keep(docs)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with __row, a hash of doc_id and text that no other row has; of rows that repeat both, one stays. Nothing of the texts
+    is written: where different rows share a hash, as a second one shows, all get others."""
+    for seed in count():
+        own, more = (F.xxhash64(F.lit(2 * seed + i), "doc_id", "text") for i in range(2))
+        rows = docs.withColumn("__row", own)
+        shared = rows.select("__row", more.alias("more")).groupBy("__row").agg(F.count("*").alias("n"), F.min("more").alias("low"), F.max("more").alias("high")).where("n > 1")
+        shared = written(shared, "shared")
+        if shared.where("low <> high").isEmpty():
+            break
+    if shared.isEmpty():
+        return rows
+    again = rows.join(shared, "__row", "left_semi").dropDuplicates(["__row"])
+    return rows.join(shared, "__row", "left_anti").unionByName(again)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id (null last) of each group linked by five-word similarities of 0.8 or more."""
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    rows = numbered(docs)
     found = written(simhash.similar(rows, k=SHINGLE, views=VIEWS, id_col="__row").select(F.col("node").alias("__row"), "root"), "groups")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")
     own = rows.select("doc_id", "__row").join(found, "__row")

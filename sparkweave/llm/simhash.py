@@ -15,7 +15,8 @@ similar() finds pairs by the overlap of their shingles instead: candidates are p
 texts that agree on ROWS minimum hashes in one of BANDS bands (a pair with overlap 0.8 fails to in 1 of 1500 cases, one
 with 0.85 in 1 of 300,000). Each is confirmed by its true overlap. In a band's bucket a text is compared with the least
 row, then, where that leaves more than one component, with a few others, which joins most of a large group; then with every
-text of another component, however large the bucket. Work is linear but for texts of one bucket that none of these link.
+text of another component, however large the bucket. These pairs are made in one of their buckets only, and where the parities
+of both texts' shingles don't prove that too many differ; it is these comparisons that aren't linear in a bucket's rows.
 
 Null text counts as empty. A text without words has fingerprint zero and links like any other. Fewer words than a
 shingle: the whole sequence is one shingle. Repeated rows share a class, whatever their identifiers; a class without any
@@ -25,11 +26,12 @@ identifier has none. Long texts are hashed in steps. Other columns are left asid
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkweave.llm._common import as_bytes, clean_id, components, dropped, in_batches, one_blank, table, word_bounds, written
@@ -45,6 +47,10 @@ BANDS, ROWS, ALIKE, GROUP = 40, 8, 0.8, 32
 #: Rows of each bucket that all its others are compared with at a turn, and most such turns before what is left is compared
 #: whole; none where that is no more work.
 PIVOTS, TURNS = 8, 2
+#: Rows to be confirmed that find their texts by broadcast (16 MB of numbers), so that whole texts aren't dealt out; more find them in a join.
+TOLD = 2_000_000
+#: Bits of a text's parities. Each shingle of only one of two texts turns one bit, so no fewer shingles differ than bits do.
+PARITY = 2048
 ODD, FLIP = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint32)
 ODD |= np.uint32(1)
 
@@ -136,6 +142,12 @@ def band_keys(own: np.ndarray) -> list[int]:
     return [signed(xxhash.xxh64_intdigest(b.tobytes(), band)) for band, b in enumerate(low.reshape(BANDS, ROWS))]
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """PARITY bits, as longs: whether the number of shingles that fall to each is odd."""
+    odd = np.bincount((own & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, alike: float, id_col: str, text_col: str) -> DataFrame:
     """The pairs (u, v) of docs whose shingles overlap by alike or more."""
     sets = pa.schema([("row", pa.int64()), ("own", pa.binary())])
@@ -150,12 +162,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, alike: float, id_col: s
         stay = pa.array([both == every or both / (every - both) >= alike for both, every in sizes], pa.bool_())
         yield {"u": batch.column(0).filter(stay), "v": batch.column(1).filter(stay)}
 
-    some = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
-    own = clean_id(docs, id_col, text_col).withColumnRenamed("doc_id", "row").join(some, "row", "left_semi")
+    some = written(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct(), "some")
+    near = F.broadcast(some) if some.count() <= TOLD else some
+    own = clean_id(docs, id_col, text_col).withColumnRenamed("doc_id", "row").join(near, "row", "left_semi")
     own = written(own.mapInArrow(in_batches(gather, sets), "row long, own binary"), "sets")
     at = lambda name, content: own.select(F.col("row").alias(name), F.col("own").alias(content))
     found = written(pairs.join(at("u", "a"), "u").join(at("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(in_batches(compare, ends), "u long, v long"), "confirmed")
-    dropped(docs.sparkSession, own)
+    dropped(docs.sparkSession, own, some)
     return found
 
 
@@ -166,59 +179,85 @@ def split(placed: DataFrame) -> DataFrame:
     return all_.where("strays > 0")
 
 
-def across(placed: DataFrame) -> DataFrame:
-    """The pairs (u, v) of all rows of a bucket that have other roots, from (key, row, root). Rows of the commonest root meet the
-    strays alone, so that rows of one root make no pairs; parts of GROUP strays or so meet the bucket's rows apart, so a large
-    bucket is no one task's."""
-    told = placed.select("key", "row", "root").join(split(placed).select("key", "main", F.ceil(F.col("strays") / GROUP).alias("parts")), "key")
-    rows = told.select("key", "main", F.col("row").alias("u"), F.col("root").alias("u_root"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    strays = told.where("root <> main").select("key", F.col("row").alias("v"), F.col("root").alias("v_root"), F.pmod(F.xxhash64("row", "key"), F.col("parts")).alias("part"))
-    both = rows.join(strays, ["key", "part"]).where("u_root <> v_root and (u < v or u_root = main)")
-    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+def once(key: str, *keys: str) -> Column:
+    """Whether key is the least that all of some arrays have: a pair that meets in many buckets is made in one of them."""
+    return F.col(key) == F.array_min(F.array_intersect(*keys))
+
+
+def known(placed: DataFrame, marks: DataFrame | None) -> DataFrame:
+    return placed.groupBy("row").agg(F.collect_set("key").alias("keys")) if marks is None else marks
+
 
+def may_be(marks: DataFrame | None, alike: float) -> Column:
+    """False where parities prove that the texts of x and y differ in more shingles than texts that overlap by alike can."""
+    if marks is None or "bits" not in marks.columns:
+        return F.lit(True)
+    apart = reduce(Column.__add__, (F.bit_count(F.get("x.bits", F.lit(i)).bitwiseXOR(F.get("y.bits", F.lit(i)))) for i in range(PARITY // 64)))
+    return apart * (1 + alike) <= (F.col("x.n") + F.col("y.n")) * (1 - alike) + 1e-6
 
-def sampled(placed: DataFrame, turn: int) -> DataFrame:
+
+def across(placed: DataFrame, marks: DataFrame | None = None, alike: float = ALIKE) -> DataFrame:
+    """The pairs (u, v) of all rows of a bucket that have other roots, from (key, row, root), each pair once and without those that
+    can't be alike by their marks (row, keys, n, bits), if given. Rows of the commonest root meet the strays alone, so that rows of one root
+    make no pairs; parts of GROUP strays or so meet the bucket's rows apart, so a large bucket is no one task's."""
+    told = placed.select("key", "row", "root").join(split(placed).select("key", "main", F.ceil(F.col("strays") / GROUP).alias("parts")), "key").join(known(placed, marks), "row")
+    rows = told.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    strays = told.where("root <> main").withColumn("part", F.pmod(F.xxhash64("row", "key"), F.col("parts")))
+    both = F.expr("x.key = y.key and x.part = y.part and x.root <> y.root and (x.row < y.row or x.root = x.main)")
+    return ends(rows.alias("x").join(strays.alias("y"), both & once("x.key", "x.keys", "y.keys") & may_be(marks, alike)))
+
+
+def sampled(placed: DataFrame, turn: int, marks: DataFrame | None = None, alike: float = ALIKE) -> DataFrame:
     """Of the pairs of across() those with one of PIVOTS rows of each bucket, others at each turn. Buckets choose by one order of
     all rows, so that those of a group choose mostly the same rows."""
     each = [F.min(F.struct(F.xxhash64("row", F.lit(PIVOTS * turn + i)).alias("h"), "row", "root")) for i in range(PIVOTS)]
-    chosen = placed.groupBy("key").agg(F.array_distinct(F.array(*each)).alias("x")).select("key", F.explode("x").alias("x")).select("key", F.col("x.row").alias("v"), F.col("x.root").alias("v_root"))
-    both = placed.withColumnsRenamed({"row": "u", "root": "u_root"}).join(chosen, "key").where("u_root <> v_root")
-    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    chosen = placed.groupBy("key").agg(F.array_distinct(F.array(*each)).alias("x")).select("key", F.explode("x").alias("x")).select("key", "x.row", "x.root")
+    marks = known(placed, marks)
+    own = marks.drop("keys").join(chosen.groupBy("row").agg(F.collect_set("key").alias("keys")), "row")
+    rows, chosen = placed.select("key", "row", "root").join(marks, "row"), chosen.join(own, "row")
+    both = F.expr("x.key = y.key and x.root <> y.root")
+    return ends(rows.alias("x").join(chosen.alias("y"), both & once("x.key", "x.keys", "y.keys") & may_be(marks, alike)))
+
+
+def ends(both: DataFrame) -> DataFrame:
+    return both.select(F.least("x.row", "y.row").alias("u"), F.greatest("x.row", "y.row").alias("v")).distinct()
 
 
 def similar(docs: DataFrame, k: int = 5, views: int = 1, alike: float = ALIKE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, root) of texts that are linked, by overlaps of alike or more, to others; identifiers are long and unique."""
-    schema = pa.schema([("row", pa.int64()), ("key", pa.int64())])
+    schema = pa.schema([("row", pa.int64()), ("keys", pa.list_(pa.int64())), ("n", pa.int64()), ("bits", pa.list_(pa.int64()))])
 
     def work(batch):
-        yield {"row": [x for x in batch.column(0).to_pylist() for _ in range(BANDS)], "key": [key for x in as_bytes(batch.column(1)) for key in band_keys(shingles(x, k))]}
+        own = [shingles(x, k) for x in as_bytes(batch.column(1))]
+        yield {"row": batch.column(0), "keys": [band_keys(x) for x in own], "n": [len(x) for x in own], "bits": [parities(x) for x in own]}
 
     marked = written(fingerprints(docs, k, views, id_col, text_col), "fingerprints")
     nodes = written(marked.groupBy("view", "fp").agg(F.min("doc_id").alias("low")), "nodes")
     near = links(nodes).union(marked.join(nodes, ["view", "fp"]).where("doc_id <> low").select("low", "doc_id"))
-    keyed = written(clean_id(docs, id_col, text_col).mapInArrow(in_batches(work, schema), "row long, key long"), "bands")
-    bucket = Window.partitionBy("key")
+    bands = written(clean_id(docs, id_col, text_col).mapInArrow(in_batches(work, schema), "row long, keys array<long>, n long, bits array<long>"), "bands")
+    bucket, keyed = Window.partitionBy("key"), bands.select("row", F.explode("keys").alias("key"))
     members = written(keyed.withColumns({"low": F.min("row").over(bucket), "n": F.count("*").over(bucket)}).where("n > 1"), "members")
+    marks = written(bands.join(members.select("row").distinct(), "row", "left_semi"), "marks")
     first = members.where("row <> low").select(F.col("low").alias("u"), F.col("row").alias("v")).union(near)
     first = written(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
     edges = confirmed(first, docs, k, alike, id_col, text_col)
 
     spark = docs.sparkSession
-    dropped(spark, marked, nodes, keyed)
+    dropped(spark, marked, nodes, bands)
     roots, turn = components(edges), 0
     while True:
         placed = members.join(roots.withColumnRenamed("node", "row"), "row", "left").select("key", "row", F.coalesce("root", "row").alias("root"))
         rest = written(placed.join(split(placed).select("key"), "key", "left_semi"), "placed")
         whole, few = split(rest).agg(F.sum(F.col("n") * F.col("strays")), F.sum("n") * PIVOTS).first()
         last = turn == TURNS or not whole or whole <= few
-        second = across(rest) if last else sampled(rest, turn)
+        second = across(rest, marks, alike) if last else sampled(rest, turn, marks, alike)
         second = written(second.join(first, ["u", "v"], "left_anti"), "candidates")
         more = confirmed(second, docs, k, alike, id_col, text_col)
         joined = written(edges.union(more), "joined")
         dropped(spark, rest, edges, more)
         edges, tried = joined, first
         if last:
-            dropped(spark, members, second, tried)
+            dropped(spark, members, marks, second, tried)
             found = components(edges)
             dropped(spark, edges)
             return found

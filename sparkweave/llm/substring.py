@@ -292,6 +292,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), whole: bool = F
     found = written(found.groupBy(*by).agg(places.alias("found")), "anchors")
     windows = own.join(found, by).select("doc_id", "text", "row", "found").mapInArrow(window_rows(buckets), PACKED_SQL)
     first = windows.groupBy("bucket").applyInArrow(firsts, PLACE_SQL).groupBy(*by).agg(places.alias("first"))
+    first = written(first, "firsts")  # so that the texts dealt out for windows are given up before they are dealt out again
     marked = own.join(found.join(first, by, "left"), by, "left").select("doc_id", "text", "found", "first", "others")
     schema = T.StructType([*T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept string"), marked.schema["others"]])
     out = marked.mapInArrow(cut_out(whole), schema).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

@@ -616,3 +616,42 @@ def test_near_copies_of_one_base(spark, monkeypatch, turns):
     found = {r["node"]: r["root"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = brute_links([(a, b) for a, x in rows for b, y in rows if a < b and overlap(x, y) >= 0.8])
     assert {i: found.get(i, i) for i, _ in rows} == {i: want.get(i, i) for i, _ in rows}
+
+
+def test_near_stage_writes_no_texts(spark):
+    """pipeline: the stage copied all texts to the shared folder, where they stayed."""
+    import corpus_pipeline
+    from sparkweave.llm import _common
+
+    secret = "zyxwvut unlikely words that only this text has " * 3
+    rows = [(1, secret, "a"), (1, secret, "b"), (2, text(40), "c"), (None, secret + "end", "d"), (3, None, "e"), (3, None, "e")]
+    before = set(Path(_common.shared_dir(spark).removeprefix("file:")).glob("*"))
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, secret), (2, rows[2][1]), (3, None)]
+    left = set(Path(_common.shared_dir(spark).removeprefix("file:")).glob("*")) - before
+    assert left and not any("text" in spark.read.parquet(str(p)).columns for p in left)
+
+
+def test_pairs_that_cannot_be_alike_are_not_made(spark):
+    """pipeline: strays met all rows in each bucket they share, and all those pairs' shingles were dealt out."""
+    from sparkweave.llm import simhash
+
+    random.seed(5)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(w if random.random() > share else f"n{random.random()}" for w in base) for share in [0.005] * 20 + [0.03] * 20]
+    own = [simhash.shingles(t.encode(), 5) for t in texts]
+    marks = spark.createDataFrame([(i, [1, 2, 3], len(x), simhash.parities(x).tolist()) for i, x in enumerate(own)], "row long, keys array<long>, n long, bits array<long>")
+    placed = spark.createDataFrame([(key, i, i) for key in (1, 2, 3) for i in range(40)], "key long, row long, root long")
+    alike = {(i, j) for i in range(40) for j in range(i + 1, 40) if overlap(texts[i], texts[j]) >= 0.8}
+    got = [tuple(r) for r in simhash.across(placed, marks).collect()]
+    assert alike <= set(got) and len(set(got)) == len(got) < 0.6 * 780 < 780 == simhash.across(placed).count()
+    assert {tuple(r) for r in simhash.sampled(placed, 0, marks).collect()} <= set(got)
+    for x in own[:5]:
+        for y in own[20:]:
+            assert sum(int(b).bit_count() for b in (simhash.parities(x) ^ simhash.parities(y)).view("<u8")) <= len(np.setxor1d(x, y))
+
+
+def test_windows_are_settled_before_texts_are_dealt_out_again(spark, docs):
+    """pipeline, op10: the texts dealt out for windows lay on disk beside those dealt out for the result."""
+    plan = substring.remove_repeats(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan and plan.count("MapInArrow") == 1
