@@ -338,3 +338,22 @@ def test_queries_write_only_what_they_read(spark, tmp_path, monkeypatch):
     read = []
     monkeypatch.setattr(queries.Linked, "scored", property(lambda self: read.append(1)))
     assert queries.pr_country_gate(spark, str(tmp_path)).first()["n_pairs"] == len(every) and queries.dc_country_tau(spark, str(tmp_path)).count() and not read
+
+
+def test_copies_of_a_text_are_compared_once(spark):
+    """Rows of a few texts: what is found is that of all rows compared, and no plan makes pairs of all copies."""
+    texts = ["blue ring", "blue rings", "red bolt", "", None]
+    rows = [(f"{i:04}", "XY"[i % 2], texts[i % 5]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id string, country string, text string")
+    asked, pool = (df.withColumn("id", F.concat(F.lit(k), "id")) for k in ("q", "p"))
+    got = retrieval.nearest(asked, pool, k=3, floor=0.2)
+    vectors: dict = {}
+    for r in retrieval.tfidf(asked.unionByName(pool)).collect():
+        vectors.setdefault(r["id"], {})[r["gram"]] = r["weight"]
+    want = set()
+    for i, (n, country, _) in enumerate(rows):
+        if own := vectors.get(f"q{n}"):
+            near = [(-round(sum(x * vectors.get(f"p{m}", {}).get(g, 0.0) for g, x in own.items()), 6), f"p{m}") for m, there, _ in rows if there == country]
+            want |= {(f"q{n}", c, -x, r) for r, (x, c) in enumerate(sorted(y for y in near if y[0] <= -0.2)[:3], 1)}
+    assert {(r["s1"], r["cand"], r["cosine"], r["rank"]) for r in got.collect()} == want and want
+    assert retrieval.texts_of(asked, pool).count() == 8
