@@ -8,11 +8,13 @@ import zipfile
 from collections import Counter
 
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from sparkweave.functions import similarity as S
 from sparkweave.functions import text as X
-from sparkweave.operators import blocking, decide, evaluate, features, retrieval
+from sparkweave.operators import blocking, decide, evaluate, features, learn, retrieval
 from sparkweave.operators.entity import entities
 from sparkweave.plans.run import parsed, run
 from sparkweave.sources import package
@@ -357,3 +359,38 @@ def test_copies_of_a_text_are_compared_once(spark):
             want |= {(f"q{n}", c, -x, r) for r, (x, c) in enumerate(sorted(y for y in near if y[0] <= -0.2)[:3], 1)}
     assert {(r["s1"], r["cand"], r["cosine"], r["rank"]) for r in got.collect()} == want and want
     assert retrieval.texts_of(asked, pool).count() == 8
+
+
+def test_out_of_fold_logistic_is_at_its_optimum_in_few_passes(spark):
+    """Against Spark's own fit carried to its end; the number of jobs doesn't follow a fit's many iterations over all rows."""
+    random.seed(48)
+    rows = [(f"S1-{random.randrange(60)}", f"S2-{i}", float(x), float(y), float(random.random() < 1 / (1 + math.exp(3 - x - 0.5 * y)))) for i in range(3000) for x, y in [(random.randrange(5), 100 * random.randrange(7) - 300)] for y in [y / 100]]
+    df = spark.createDataFrame(rows, "s1 string, cand string, x double, y double, label double").withColumn("same", F.lit(7.0))
+    spark.sparkContext.setJobGroup("logistic", "logistic")
+    got = learn.out_of_fold(df, ["x", "y", "same"], "logistic").cache()
+    assert got.count() == 3000
+    spark.sparkContext._jsc.clearJobGroup()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("logistic")) <= 40
+    vectors = VectorAssembler(inputCols=["x", "y", "same"], outputCol="features").transform(got)
+    for k in range(5):
+        model = LogisticRegression(maxIter=1000, tol=1e-13).fit(vectors.where(F.col("fold") != k))
+        z = model.intercept + model.coefficients[0] * F.col("x") + model.coefficients[1] * F.col("y")
+        assert got.where(F.col("fold") == k).agg(F.max(F.abs(F.col("p") - 1 / (1 + F.exp(-z))))).first()[0] < 1e-5
+    got.unpersist()
+
+
+def test_out_of_fold_logistic_of_classes_apart(spark):
+    """Where no weight is the best, scores go to their limits: rows with x = 0 are never true, half of the others are."""
+    rows = spark.createDataFrame([(f"S1-{i % 20}", f"S2-{i}", float(i % 3 > 0), float(i % 3 == 1)) for i in range(600)], "s1 string, cand string, x double, label double")
+    got = learn.out_of_fold(rows, ["x"], "logistic")
+    assert got.where(F.abs(F.col("p") - F.when(F.col("x") == 0, 0.0).otherwise(0.5)) > 0.02).count() == 0
+    assert got.where("x = 0").agg(F.max("p")).first()[0] < 1e-6
+
+
+def test_out_of_fold_logistic_sees_what_varies_little(spark):
+    """Rows with y = 1 differ by a millionth in x, and that tells how often they are true."""
+    random.seed(49)
+    rows = [(f"S1-{i % 40}", f"S2-{i}", float(y), y * (1 - 1e-6 * j), float(y and random.random() < (0.8 if j else 0.2))) for i in range(4000) for y, j in [(int(i % 4 == 0), random.randrange(2))]]
+    got = learn.out_of_fold(spark.createDataFrame(rows, "s1 string, cand string, y double, x double, label double"), ["y", "x"], "logistic")
+    want = F.when(F.col("y") == 0, 0.0).when(F.col("x") == 1, 0.2).otherwise(0.8)
+    assert got.where(F.abs(F.col("p") - want) > 0.08).count() == 0
