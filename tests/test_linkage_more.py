@@ -16,6 +16,7 @@ from sparkweave.functions import similarity as S
 from sparkweave.functions import text as X
 from sparkweave.operators import blocking, decide, evaluate, features, learn, retrieval
 from sparkweave.operators.entity import entities
+from sparkweave.plans import queries
 from sparkweave.plans.run import parsed, run
 from sparkweave.sources import package
 from sparkweave.sources.records import RECORD, RESULT, documents_as_records, in_input_order, lookup, read_lines, read_tsv, write_results
@@ -394,3 +395,18 @@ def test_out_of_fold_logistic_sees_what_varies_little(spark):
     got = learn.out_of_fold(spark.createDataFrame(rows, "s1 string, cand string, y double, x double, label double"), ["y", "x"], "logistic")
     want = F.when(F.col("y") == 0, 0.0).when(F.col("x") == 1, 0.2).otherwise(0.8)
     assert got.where(F.abs(F.col("p") - want) > 0.08).count() == 0
+
+
+def test_all_features_in_any_number_of_turns(spark, tmp_path, monkeypatch):
+    """Whole records are joined to a bounded number of pairs at a time; the features are those of all pairs at once."""
+    random.seed(50)
+    words = ["garden", "tools", "steel", "pipes", "aka", "blue", "12", "light", "oak", "lamp"]
+    text = lambda: "\n".join(" ".join(random.choices(words, k=random.randint(1, 6))) for _ in range(4))
+    spark.createDataFrame([(i, text(), random.choice(["en", "de"])) for i in range(12)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    names = ("name_ratio", "alias", "rank_inverse", "idf_shared", "idf_max_unshared", "provenance_code")
+    runs = []
+    for most in (1_000_000, 5):
+        monkeypatch.setattr(queries, "WHOLE", most)
+        out = queries.all_features(queries.Linked(spark, str(tmp_path), True), *names)
+        runs.append((len(out.written_at), sorted((r["s1"], r["cand"], *(round(r[c], 9) for c in names)) for r in out.collect())))
+    assert runs[0][0] == 1 < runs[1][0] and runs[0][1] == runs[1][1] and len(runs[0][1]) > 5
